@@ -44,7 +44,7 @@ def search_orders(orders: DataFrame, text: str | None) -> DataFrame:
     """case-insensitive contains over name, phone, email or order id text."""
     if not text:
         return orders
-    p = F.lit(_contains(text))
+    p = _contains(text)
     return orders.where(
         F.col("user_name").ilike(p) | F.col("user_phone").ilike(p) | F.col("user_email").ilike(p)
         | F.col("order_id").cast("string").ilike(p))
@@ -54,7 +54,7 @@ def search_customers(users: DataFrame, text: str | None) -> DataFrame:
     """case-insensitive contains over full name, phone, email."""
     if not text:
         return users
-    p = F.lit(_contains(text))
+    p = _contains(text)
     return users.where(F.col("full_name").ilike(p) | F.col("phone").ilike(p) | F.col("email").ilike(p))
 
 

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from thali.sources.adapters import duckdb_ctes
 from thali.sources.tables import load_tables
@@ -37,12 +39,29 @@ REGISTRY: dict[str, Query] = {}
 def register(key: str, oracle: str | None = None):
     def deco(fn: Callable[[dict[str, DataFrame]], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(_Tables(spark, sf_dir))
+            return money_as_double(fn(_Tables(spark, sf_dir)))
         REGISTRY[key] = Query(build, oracle)
         return fn
     return deco
 
 
+def money_as_double(df: DataFrame) -> DataFrame:
+    """Registered results report money as double, like the reference's JSON.
+
+    Operators keep ``DECIMAL`` (exact sums); only top-level decimal output
+    columns are cast, as the last projection.
+    """
+    dec = {f.name for f in df.schema.fields if isinstance(f.dataType, DecimalType)}
+    if not dec:
+        return df
+    return df.select(*[F.col(c).cast("double").alias(c) if c in dec else F.col(c) for c in df.columns])
+
+
+def dbl(*cols: str) -> str:
+    """DuckDB ``* REPLACE`` clause casting the named money columns to double."""
+    return "replace (" + ", ".join(f"cast({c} as double) as {c}" for c in cols) + ")"
+
+
 class _Tables(dict):
     """Lazily loaded business tables; raw driver tables via ``raw(name)``."""
 
