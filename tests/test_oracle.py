@@ -36,4 +36,4 @@ def test_entry_runs(spark):
 
 def test_every_key_has_oracle_or_is_nested():
     missing = set(QUERIES) - set(ORACLE)
-    assert missing <= {"order_documents", "customer_documents", "chart_series", "address_enrichment"}
+    assert missing <= {"order_documents", "customer_documents", "chart_series"}

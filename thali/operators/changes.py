@@ -75,14 +75,16 @@ def apply_payment_changes(payments: DataFrame, orders: DataFrame, changes: DataF
     """
     valid, rejects = _split(changes, "payment_status", PAYMENT_STATUSES, orders)
     seq, st, tx = F.col("seq"), F.col("payment_status"), F.col("transaction_id")
-    first_seq = F.min("seq").over(Window.partitionBy("order_id"))
-    per_order = (valid.withColumn("_first", first_seq).groupBy("order_id").agg(
+    done = st == "completed"
+    per_order = (valid.groupBy("order_id").agg(
         F.max_by("payment_status", "seq").alias("_status"),
         F.max_by("transaction_id", F.when(tx != "", seq)).alias("_tx"),
         F.min_by("transaction_id", "seq").alias("_first_tx"),
-        F.max_by("changed_at", F.when(st == "completed", seq)).alias("_paid_at"),
-        F.max_by("changed_at", F.when((st == "completed") & (seq > F.col("_first")), seq)).alias("_paid_after"),
-    ))
+        F.max_by("changed_at", F.when(done, seq)).alias("_paid_at"),
+        F.max(F.when(done, seq)).alias("_paid_seq"),
+        F.min("seq").alias("_first_seq"))
+        # an inserted payment takes a completion time only from a later change
+        .withColumn("_paid_after", F.when(F.col("_paid_seq") > F.col("_first_seq"), F.col("_paid_at"))))
     existing = payments.join(per_order, "order_id", "left")
     updated = (existing
                .withColumn("payment_status", F.coalesce("_status", "payment_status"))

@@ -279,6 +279,56 @@ def _p7(t):
     return geo.nearest_depot(t["addresses"], _depots(t))
 
 
-@register("address_enrichment", None)
+def _enc(x: str) -> str:
+    e = f"url_encode({x})"
+    for code, raw in (("%21", "!"), ("%27", "''"), ("%28", "("), ("%29", ")"), ("%2A", "*")):
+        e = f"replace({e}, '{code}', '{raw}')"
+    return e
+
+
+def _dms_sql(c: str, pos: str, neg: str) -> str:
+    a = f"abs({c})"
+    deg = f"floor({a})"
+    md = f"(({a} - {deg}) * 60)"
+    return (f"cast(cast({deg} as bigint) as varchar) || '° ' || cast(cast(floor({md}) as bigint) as varchar) "
+            f"|| ''' ' || printf('%.2f', ({md} - floor({md})) * 60) || '\" ' "
+            f"|| case when {c} >= 0 then '{pos}' else '{neg}' end")
+
+
+_FMT = ("concat_ws(', ', nullif(address_line1, ''), nullif(address_line2, ''), 'Near ' || nullif(landmark, ''), "
+        "nullif(city, ''), nullif(state, ''), 'Pincode: ' || nullif(pincode, ''))")
+_V = _VALID.format(a="latitude", o="longitude")
+_L6, _O6 = "printf('%.6f', latitude)", "printf('%.6f', longitude)"
+# The shared adapter computes coordinates in floating point, where the two
+# engines differ in the last bit (19.01 vs 19.009999999999998); the oracle
+# rounds to 9 places before printing a coordinate's shortest text.
+_LT, _OT = "cast(round(latitude, 9) as varchar)", "cast(round(longitude, 9) as varchar)"
+_ADDR_ORACLE = f"""
+with a as (select x.*, u.phone _user_phone, {_FMT} fa from f_addresses x left join f_users u on x.user_id = u.id)
+select * exclude (_user_phone, fa), fa formatted_address,
+  coalesce(cast(city as varchar), 'null') || ', ' || coalesce(cast(state as varchar), 'null') || ' - '
+    || coalesce(cast(pincode as varchar), 'null') city_line,
+  _user_phone phone_shown,
+  coalesce({_V}, false) has_valid_coordinates,
+  case when latitude is not null and longitude is not null then 'https://www.google.com/maps?q='
+    || {_LT} || ',' || {_OT} || '&z=15' end map_link,
+  case when latitude is not null and longitude is not null then 'https://www.google.com/maps?q='
+    || {_LT} || ',' || {_OT} end map_link_plain,
+  case when {_V} then 'https://www.google.com/maps?q=' || {_L6} || ',' || {_O6} || '&z=15'
+    || case when trim(fa) <> '' then '&layer=c&cbll=' || {_L6} || ',' || {_O6} || '&cbp=' else '' end end map_link_view,
+  case when {_V} then 'https://www.google.com/maps/dir/?api=1'
+    || case when fa <> '' then '&origin=' || {_enc('trim(fa)')} else '' end
+    || '&destination=' || {_L6} || ',' || {_O6} || '&travelmode=driving' end directions_link,
+  case when {_V} then 'https://www.google.com/maps/@?api=1&map_action=pano&viewpoint=' || {_L6} || ',' || {_O6}
+    end street_view_link,
+  case when {_V} then {_L6} end latitude_text,
+  case when {_V} then {_O6} end longitude_text,
+  case when {_V} then {_dms_sql('latitude', 'N', 'S')} end latitude_dms,
+  case when {_V} then {_dms_sql('longitude', 'E', 'W')} end longitude_dms
+from a
+"""
+
+
+@register("address_enrichment", sql("addresses", "users")(_ADDR_ORACLE))
 def _p6(t):
     return geo.enrich_addresses(t["addresses"], t["users"])
