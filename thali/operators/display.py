@@ -12,6 +12,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thali.functions.numbers import ratio
 from thali.functions.text import ist_text, money_indian_text, money_text, truncate_text
 from thali.operators.listings import order_payment_detail
 
@@ -95,7 +96,7 @@ def customer_display(customers: DataFrame) -> DataFrame:
         "created_at_formatted": ist_text("created_at"),
         "last_login_formatted": ist_text("last_login"),
         "avatar_url": F.when(pic.startswith("http"), pic).otherwise(F.lit(DEFAULT_AVATAR)),
-        "avg_per_order": F.coalesce(F.try_divide(F.col("total_spent"), F.col("total_orders")), F.lit(0.0)),
+        "avg_per_order": ratio(F.col("total_spent"), F.col("total_orders")),
         "email_short": truncate_text("email", 20),
         "total_spent_formatted": money_text("total_spent"),
     })

@@ -252,8 +252,8 @@ def customer_base_stats(customers: DataFrame) -> DataFrame:
         F.count(F.col("last_login")).alias("recently_active"),
         F.count(F.when(F.col("total_orders") > 0, 1)).alias("with_orders"),
         F.count(F.when(F.col("total_orders") > 5, 1)).alias("frequent_customers"),
-        F.coalesce(F.sum("total_spent"), F.lit(0.0)).alias("total_spent"),
-        F.coalesce(F.max("total_spent"), F.lit(0.0)).alias("top_spend"),
+        money_sum("total_spent").alias("total_spent"),
+        F.coalesce(F.max("total_spent").cast("double"), F.lit(0.0)).alias("top_spend"),
     )
 
 

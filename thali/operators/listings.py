@@ -193,7 +193,7 @@ def customer_rollup(users: DataFrame, orders: DataFrame) -> DataFrame:
     return (users.join(per_user, users["id"] == per_user["user_id"], "left")
             .drop("user_id")
             .withColumn("total_orders", F.coalesce("total_orders", F.lit(0)).cast("long"))
-            .withColumn("total_spent", F.coalesce(F.col("_spent").cast("double"), F.lit(0.0)))
+            .withColumn("total_spent", F.coalesce(F.col("_spent"), F.lit(0).cast("decimal(28,2)")))
             .drop("_spent"))
 
 

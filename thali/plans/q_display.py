@@ -299,10 +299,7 @@ _FMT = ("concat_ws(', ', nullif(address_line1, ''), nullif(address_line2, ''), '
         "nullif(city, ''), nullif(state, ''), 'Pincode: ' || nullif(pincode, ''))")
 _V = _VALID.format(a="latitude", o="longitude")
 _L6, _O6 = "printf('%.6f', latitude)", "printf('%.6f', longitude)"
-# The shared adapter computes coordinates in floating point, where the two
-# engines differ in the last bit (19.01 vs 19.009999999999998); the oracle
-# rounds to 9 places before printing a coordinate's shortest text.
-_LT, _OT = "cast(round(latitude, 9) as varchar)", "cast(round(longitude, 9) as varchar)"
+_LT, _OT = "cast(latitude as varchar)", "cast(longitude as varchar)"
 _ADDR_ORACLE = f"""
 with a as (select x.*, u.phone _user_phone, {_FMT} fa from f_addresses x left join f_users u on x.user_id = u.id)
 select * exclude (_user_phone, fa), fa formatted_address,

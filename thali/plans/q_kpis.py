@@ -195,15 +195,15 @@ def _revenue_summary(t):
 with r as (
   select u.id, u.is_active, u.last_login, coalesce(o.n, 0) order_count, coalesce(o.spent, 0) total_spent
   from f_users u left join (
-    select user_id, count(*) n, cast(sum(total_amount) as double) spent from f_orders group by user_id) o
+    select user_id, count(*) n, sum(total_amount) spent from f_orders group by user_id) o
   on u.id = o.user_id)
 select count(*) total_customers,
   count(case when is_active then 1 end) active_customers,
   count(last_login) recently_active,
   count(case when order_count > 0 then 1 end) with_orders,
   count(case when order_count > 5 then 1 end) frequent_customers,
-  coalesce(sum(total_spent), 0.0) total_spent,
-  coalesce(max(total_spent), 0.0) top_spend
+  cast(coalesce(sum(total_spent), 0) as double) total_spent,
+  cast(coalesce(max(total_spent), 0) as double) top_spend
 from r
 """))
 def _customer_base_stats(t):

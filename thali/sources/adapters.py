@@ -21,6 +21,8 @@ from __future__ import annotations
 import re
 
 # Fixed adapter texts (see FIXTURES.md); dates stored as UTC TIMESTAMP_NTZ.
+# Coordinates pass through DECIMAL(10,2) so both engines hold the same double
+# (DuckDB's floating-point sum gave 19.009999999999998 where Spark gave 19.01).
 ADAPTER_SQL: dict[str, str] = {
     "users": """
 select c_custkey id, c_name full_name,
@@ -71,8 +73,8 @@ select c_custkey*2+k address_id, c_custkey user_id, k=0 is_default,
   case when c_custkey%5=0 then 'Park' end landmark,
   concat('City',cast(c_custkey%9 as varchar(9))) city, 'State' state,
   case when c_custkey%6=0 then null else cast(400000+c_custkey%999 as varchar(9)) end pincode,
-  case when c_custkey%13=0 then null when c_custkey%17=0 then 95.0 when c_custkey%19=0 then 0.0 else cast(8.0+((c_custkey*7919+k*101)%2900)/100.0 as double) end latitude,
-  cast(68.0+((c_custkey*104729+k*211)%2900)/100.0 as double) longitude
+  case when c_custkey%13=0 then null when c_custkey%17=0 then 95.0 when c_custkey%19=0 then 0.0 else cast(cast(8.0+((c_custkey*7919+k*101)%2900)/100.0 as decimal(10,2)) as double) end latitude,
+  cast(cast(68.0+((c_custkey*104729+k*211)%2900)/100.0 as decimal(10,2)) as double) longitude
 from ${customer}, (select 0 k union all select 1 k) z
 where (k=0 and c_custkey%10<>9) or (k=1 and c_custkey%2=0)
 """,
