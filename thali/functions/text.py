@@ -53,8 +53,20 @@ def money_indian_text(col: Column | str) -> Column:
 
 
 def ist_text(col: Column | str) -> Column:
-    """``dd Mon YYYY, hh:mm AM`` in IST; NULL -> ``''``."""
-    return F.coalesce(F.date_format(ist_timestamp(_c(col)), IST_TEXT_PATTERN), F.lit(""))
+    """``dd Mon YYYY, hh:mm AM`` in IST; NULL -> ``''``.
+
+    Built from the wall-clock fields of the IST ``TIMESTAMP_NTZ`` (the date
+    half formats a ``DATE``), because ``date_format`` on a timestamp goes
+    through the session zone and would move times that fall in that zone's
+    DST gap.  The result equals ``IST_TEXT_PATTERN`` under any session zone.
+    """
+    t = ist_timestamp(_c(col))
+    h = F.hour(t)
+    clock = F.concat(F.lpad(((h + 11) % 12 + 1).cast("string"), 2, "0"), F.lit(":"),
+                     F.lpad(F.minute(t).cast("string"), 2, "0"), F.lit(" "),
+                     F.when(h < 12, F.lit("AM")).otherwise(F.lit("PM")))
+    text = F.concat(F.date_format(F.to_date(t), "dd MMM yyyy"), F.lit(", "), clock)
+    return F.coalesce(text, F.lit(""))
 
 
 def truncate_text(col: Column | str, max_length: int, empty: str = "") -> Column:
