@@ -178,3 +178,15 @@ def test_pages_concatenate(spark):
     after = listings.keyset_after(listing, [("order_date", True), ("order_id", False)],
                                   (datetime(2024, 1, 2, 7, 0), 6))
     assert [r["order_id"] for r in after.orderBy(*listings._listing_sort()).collect()] == [4, 3, 2, 1]
+
+
+def test_texts_independent_of_session_zone(spark):
+    # IST 1997-04-06 02:14 lies in Los Angeles' DST gap; the text must not move
+    df = spark.createDataFrame([(1, datetime(1997, 4, 5, 20, 44))], "order_id long, order_date timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        got = df.select(display.ist_text("order_date")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == "06 Apr 1997, 02:14 AM"
