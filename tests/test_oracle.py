@@ -5,10 +5,11 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from thali.plans import REGISTRY
 from tools.oracle_check import compare, con_for
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = {k: q.build for k, q in REGISTRY.items()}
+ORACLE = {k: q.oracle for k, q in REGISTRY.items() if q.oracle}
 
 
 @pytest.fixture(scope="module")

@@ -6,9 +6,9 @@ from datetime import date
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
 from thali.operators import kpis, listings
+from thali.plans import REGISTRY
 from thali.sources.tables import load_tables
 
 
@@ -34,9 +34,9 @@ def test_recent_orders_use_group_limit(spark):
     assert "WindowGroupLimit" in plan
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(REGISTRY))
 def test_no_python_evaluation(spark, key):
-    df = entry.queries()[key](spark, SF_SMALL)
+    df = REGISTRY[key].build(spark, SF_SMALL)
     plan = df._jdf.queryExecution().sparkPlan().toString()
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF"):
         assert node not in plan
