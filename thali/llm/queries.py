@@ -3,10 +3,11 @@ its production parameters, to its whole table."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thali.llm import exact_dedup, mixing, quality, sharding
+from thali.llm import bpe, exact_dedup, mixing, quality, sharding, simhash
 from thali.llm.common import read_table
 
 # The white space class, as DuckDB's regex takes it.
@@ -21,6 +22,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.groups(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+
+
 @query
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_by_bytes(read_table(spark, sf_dir, "documents"), n_shards=40)
@@ -28,6 +35,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+@query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN).drop("ids")
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(read_table(spark, sf_dir, "documents"))
