@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thali.llm import bpe, exact_dedup, mixing, quality, sharding, simhash
+from thali.llm import bpe, chat, exact_dedup, licenses, mixing, quality, sharding, simhash
 from thali.llm.common import read_table
 
 # The white space class, as DuckDB's regex takes it.
@@ -47,6 +47,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.formatted(turns.unionByName(own)))
+
+
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read_table(spark, sf_dir, "documents"))
@@ -66,3 +74,8 @@ with t as (
 select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.content) as text_sha256
 from t join g on t.content = g.content
 """
+
+
+@query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
