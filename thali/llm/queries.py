@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thali.llm import bpe, chat, exact_dedup, licenses, mixing, quality, sharding, simhash
+from thali.llm import bpe, chat, exact_dedup, langid, licenses, mixing, quality, sharding, simhash, suffix_tree
 from thali.llm.common import read_table
 
 # The white space class, as DuckDB's regex takes it.
@@ -35,6 +35,16 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+@query
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
