@@ -61,7 +61,7 @@ def laid_out(docs: DataFrame) -> DataFrame:
                        F.crc32(F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8")).alias("crc"))
     order = Window.partitionBy("source", "run").orderBy("doc_id", "crc", "size")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumns({"start": F.coalesce(F.sum("size").over(before), F.lit(0)), "copy": F.row_number().over(order)}).drop("crc")
+    return rows.withColumns({"start": F.coalesce(F.sum("size").over(before), F.lit(0)), "copy": F.row_number().over(order)})
 
 
 def draws(blocks: list[int], wanted: list[int], shards: int, seed: int) -> np.ndarray:
@@ -154,7 +154,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BL
                         F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
     placed = (rows.join(bases, rows["source"].eqNullSafe(bases["_s"]) & (rows["run"] == bases["_r"]))
               .join(F.broadcast(table), F.col("source").eqNullSafe(F.col("of")))
-              .select("doc_id", "source", "size", "source_size", "target", "source_no",
+              .select("doc_id", "source", "size", "crc", "copy", "source_size", "target", "source_no",
                       (F.col("base") + F.col("start")).alias("offset")))
 
     first, last = F.col("offset"), F.col("offset") + F.col("size")
@@ -173,3 +173,38 @@ def taken(docs: DataFrame, **how) -> DataFrame:
     got = spans.groupBy("source_no", "offset").agg(F.sum("n_words").alias("taken")).withColumn("_some", F.lit(True))
     return (rows.withColumn("_some", F.col("size") > 0).join(got, ["source_no", "offset", "_some"], "left")
             .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"))
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix as documents with the columns of ``docs``.
+
+    A round takes a document whole or some spans of its words.  Taken whole,
+    the row stays as it is; else its text is the taken words with one space
+    between, a line for each unbroken run.  A document taken in three rounds
+    gives three rows; one taken in none gives no row.  ``n_chars``, where
+    there, is the new text's length.
+    """
+    rows, spans = mixed(docs, **how)
+    got = spans.groupBy("source_no", "offset", "round").agg(
+        F.sum("n_words").alias("got"), F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("parts"))
+    # a document of n words has at most n / BLOCK + 2 spans a round
+    got = rows.where("size > 0").join(got, ["source_no", "offset"]).select(
+        *[F.col(c).alias(f"_{c}") for c in ("doc_id", "size", "source", "crc", "got", "parts")])
+    text = F.coalesce(docs["text"], F.lit(""))
+    whole = docs.select(*[docs[c] for c in docs.columns], F.crc32(F.encode(text, "UTF-8")).alias("_of"))
+    first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "source", "_of").orderBy(F.lit(0))
+    met = whole.withColumn("_n", F.row_number().over(first)).where("_n = 1").join(
+        got, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_of") == F.col("_crc")))
+    met = met.withColumn("_words", words(F.col("text")))
+    # spans that follow one another are one run
+    starts = F.filter(F.transform(F.col("_parts"), lambda p, i: F.when((i == 0) | (
+        F.get(F.col("_parts"), i - 1)["from_word"] + F.get(F.col("_parts"), i - 1)["n_words"] < p["from_word"]),
+        p["from_word"])), lambda x: x.isNotNull())
+    ends = F.filter(F.transform(F.col("_parts"), lambda p, i: F.when(
+        F.coalesce(F.get(F.col("_parts"), i + 1)["from_word"] > p["from_word"] + p["n_words"], F.lit(True)),
+        p["from_word"] + p["n_words"])), lambda x: x.isNotNull())
+    cut = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.array_join(
+        F.slice(F.col("_words"), (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int")), " ")), "\n")
+    met = met.withColumn("_text", F.when(F.col("_got") == F.col("_size"), F.col("text")).otherwise(cut))
+    return met.select(*[F.col("_text").alias(c) if c == "text" else F.char_length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c)
+                        for c in docs.columns])
