@@ -13,8 +13,8 @@ Decoding concatenates up the same tree.
 The rank file is read on the driver and sent to the tasks (under 1 MB).
 
 Defined results: null and empty texts have no tokens and decode to no bytes;
-repeated rows are encoded alike; other columns stay; an empty table gives an
-empty result.
+repeated rows are encoded alike; other columns stay, but those named like an
+output are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -155,11 +155,15 @@ def _codec(spark, rank_file: str, pattern: str):
     return lambda: Codec(raw.value, pattern)
 
 
+# Columns that the operator makes.
+_OWN = ("text", "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """``docs`` without ``text``, with ``ids``: little-endian unsigned 32-bit
     integers in one binary value."""
     make = _codec(docs.sparkSession, rank_file, pattern)
-    rest = [f for f in docs.schema.fields if f.name not in ("text", "ids")]
+    rest = [f for f in docs.schema.fields if f.name not in _OWN]
     schema = docs.select(*[docs[f.name] for f in rest]).withColumn("ids", F.lit(b"")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -36,6 +36,12 @@ def fenced(c: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
+def nested(rows: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and the whole row as ``_row``: whatever names the
+    other columns have, they meet none of an operator's own."""
+    return rows.select(*[rows[c] for c in columns], F.struct(*[rows[c] for c in rows.columns]).alias("_row"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thali.llm.common import GAP, lookup, stored
+from thali.llm.common import GAP, lookup, nested, stored
 
 SALTS = 16
 
@@ -75,8 +75,8 @@ def drop_exact_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     keep = _winners(_contents(docs, _sha256), salts).select(
         F.col("keep_id").alias("_keep"), F.col("digest").alias("_of"))
-    content = F.regexp_replace(F.coalesce(docs["text"], F.lit("")), GAP, " ")
-    rows = docs.withColumn("_digest", _sha256(content))
-    joined = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_keep"]) & (rows["_digest"] == keep["_of"]), "left_semi")
+    rows = nested(docs, "doc_id", "text")
+    rows = rows.withColumn("_digest", _sha256(F.regexp_replace(F.coalesce("text", F.lit("")), GAP, " ")))
+    joined = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("_of")), "left_semi")
     first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "_digest").orderBy("_digest")
-    return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_row.*")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thali.llm.common import stored, words
+from thali.llm.common import nested, stored, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
@@ -190,8 +190,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     # a document of n words has at most n / BLOCK + 2 spans a round
     got = rows.where("size > 0").join(got, ["source_no", "offset"]).select(
         *[F.col(c).alias(f"_{c}") for c in ("doc_id", "size", "source", "crc", "got", "parts")])
-    text = F.coalesce(docs["text"], F.lit(""))
-    whole = docs.select(*[docs[c] for c in docs.columns], F.crc32(F.encode(text, "UTF-8")).alias("_of"))
+    whole = nested(docs, "doc_id", "text", "source").withColumn("_of", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "source", "_of").orderBy(F.lit(0))
     met = whole.withColumn("_n", F.row_number().over(first)).where("_n = 1").join(
         got, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_of") == F.col("_crc")))
@@ -206,5 +205,5 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     cut = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.array_join(
         F.slice(F.col("_words"), (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int")), " ")), "\n")
     met = met.withColumn("_text", F.when(F.col("_got") == F.col("_size"), F.col("text")).otherwise(cut))
-    return met.select(*[F.col("_text").alias(c) if c == "text" else F.char_length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c)
-                        for c in docs.columns])
+    new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    return met.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thali.llm.common import BLANKS, fenced, words
+from thali.llm.common import BLANKS, fenced, nested, words
 
 # Common words of the four languages.
 STOP_WORDS = (
@@ -137,5 +137,4 @@ def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    judged = judge(docs.select(*docs.columns, F.struct(*docs.columns).alias("_row")), rules)
-    return judged.where("kept").select("_row.*")
+    return judge(nested(docs, "text"), rules).where("kept").select("_row.*")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thali.llm.common import lookup, stored
+from thali.llm.common import lookup, nested, stored
 from thali.llm.components import smallest_reachable
 
 SHINGLE = 3
@@ -125,6 +125,6 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = M
     component, once; an id that repeats with another text keeps both."""
     keep = groups(docs, shingle, most_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = keep.select(F.col("component_id").alias("_keep"), F.col("fp").alias("_fp")).distinct()
-    rows = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    rows = nested(docs, "doc_id", "text").join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
     same = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), F.sha2("text", 256)).orderBy(F.lit(0))
-    return rows.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
+    return rows.withColumn("_n", F.row_number().over(same)).where("_n = 1").select("_row.*")
