@@ -54,7 +54,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(read_table(spark, sf_dir, "documents"))
+    return quality.verdicts(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @query
@@ -75,6 +76,61 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _values(items) -> str:
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
+
+
+ORACLE["op6_quality_rules"] = rf"""
+with t as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{_GAP}'), lambda x: x <> '') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents
+), windows as (
+  select rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select rid, w, unnest(range(1, len(w) - 1)) as i from t)
+), repeated as (
+  select rid, i from (select *, count(*) over (partition by rid, g) as n from windows) where n > 1
+), covered as (
+  select rid, count(distinct i + k) as n from repeated, (values (0), (1), (2)) o(k) group by rid
+), m as (
+  select t.rid, doc_id, len(w) as n_words, length(list_aggregate(list_concat([''], w), 'string_agg', '')) as word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(covered.n, 0) as n_repeat_words,
+    len(list_filter(w, lambda x: x in ({_values(sorted({f(x) for x in quality.STOP_WORDS for f in (str.lower, str.capitalize, str.upper)}))}))) as n_stop,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*•·‣]'))) as n_bullet,
+    len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*$'))) as n_ellipsis
+  from t left join covered using (rid)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  n_words >= 50 and 100 * n_repeat_words <= 50 * n_words and word_chars >= 2 * n_words and word_chars <= 25 * n_words
+    and n_symbols <= 0.3 * n_words and n_stop >= 0.04 * n_words and n_dup_lines <= 0.4 * n_lines
+    and n_bullet <= 0.9 * n_lines and n_ellipsis <= 0.3 * n_lines as kept
+from m
+"""
+
+ORACLE["op7_chat_format"] = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), e as (
+  select *, length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) as text_chars,
+    length(regexp_replace(replace(replace(role, '&', '&amp;'), chr(10), '&nl;'), '<(\\*)\|', '<\1\\|', 'g')) as role_chars,
+    lag(role) over (partition by conv_id order by turn nulls first, role, text) is distinct from role as starts
+  from c
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(text_chars + case when starts then 24 + role_chars else 10 end)::bigint as formatted_chars
+from e group by conv_id
+"""
+
 ORACLE["op9_exact_dedup"] = rf"""
 with t as (
   select doc_id, regexp_replace(coalesce(text, ''), '{_GAP}', ' ', 'g') as content from documents
@@ -89,3 +145,49 @@ from t join g on t.content = g.content
 @query
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _places(phrase: str) -> str:
+    own = phrase.split()
+    same = " and ".join(f"w[i + {k}] = '{word}'" if k else f"w[i] = '{word}'" for k, word in enumerate(own))
+    return f"list_filter(range(1, len(w) + 1), lambda i: {same})"
+
+
+ORACLE["op10_licenses"] = rf"""
+with t as (
+  select row_number() over () as rid, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as t from documents
+), d as (
+  select rid, doc_id, t, list_filter(regexp_split_to_array(t, '{_WORDS}'), lambda x: x <> '') as w from t
+), p as (
+  select rid, doc_id, len(w) as n_words, {", ".join(f'{_places(p)} as p{k}' for k, (p, _) in enumerate(licenses.PHRASES))} from d
+), b as (
+  select rid, doc_id, n_words, {" || ".join(f"p{k}" for k in range(len(licenses.PHRASES)))} as places,
+    {" || ".join(f"case when len(p{k}) > 0 then ['{name}'] else [] end" for k, (_, name) in enumerate(licenses.PHRASES))} as base
+  from p
+), lines as (
+  select rid, n, list_distinct(list_filter(regexp_split_to_array(l, '{_WORDS}'), lambda x: x <> '')) as own from (
+    select rid, unnest(string_split(t, chr(10))) as l, generate_subscripts(string_split(t, chr(10)), 1) as n from t)
+), blocks as (
+  select rid, n, own, list_distinct(flatten(list(own) over (partition by rid order by n rows between current row and {licenses.WRAP - 1} following))) as wide
+  from lines
+), templates(k, label, words) as (
+  values {", ".join(f"({k}, '{label}', [{_values(licenses.template_words(text))}])" for k, (label, text) in enumerate(licenses.TEMPLATES))}
+), hits as (
+  select rid, n, k, label, words, len(words) > {licenses.LINE_WORDS} as long,
+    len(list_intersect(case when len(words) > {licenses.LINE_WORDS} then wide else own end, words)) / len(words) as share
+  from blocks, templates where len(list_intersect(wide, words)) >= ceil({licenses.THRESHOLD} * len(words) - 1e-9)
+), matched as (
+  select h.* from hits h where share >= {licenses.THRESHOLD} - 1e-9 and not exists (
+    select 1 from hits o where o.rid = h.rid and o.n = h.n and o.long = h.long and o.share >= {licenses.THRESHOLD} - 1e-9
+      and len(o.words) > len(h.words) and len(list_intersect(o.words, h.words)) = len(h.words))
+), found as (
+  select rid, list(distinct label) as labels, max(share) as best from matched group by rid
+)
+select doc_id, n_words, len(places) as n_base, list_min(places) - 1 as first_word, list_max(places) - 1 as last_word,
+  array_to_string(list_sort(base), ',') as base_labels,
+  array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') as labels, coalesce(best, 0.0) as score
+from b left join found using (rid)
+"""
