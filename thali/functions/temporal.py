@@ -79,16 +79,25 @@ def period_filter(col: Column | str, period: str, as_of: date,
 
 
 def check_range(start: str | None, end: str | None) -> tuple[date, date]:
-    """Validate a custom range on the driver (F7): ISO dates, ordered, <= 1 year."""
-    if not start or not end:
-        raise ValueError("Both start date and end date are required")
+    """The two days of a custom range (F7), or ``ValueError``: both must be ISO
+    dates, in order, and span at most ``MAX_RANGE_DAYS``."""
     try:
-        lo = datetime.strptime(start, "%Y-%m-%d").date()
-        hi = datetime.strptime(end, "%Y-%m-%d").date()
-    except ValueError as exc:
-        raise ValueError(f"Invalid date format. Use YYYY-MM-DD: {exc}") from exc
-    if lo > hi:
-        raise ValueError("Start date cannot be after end date")
-    if (hi - lo).days > MAX_RANGE_DAYS:
-        raise ValueError("Date range cannot exceed 1 year")
-    return lo, hi
+        first, last = (date.fromisoformat(x or "") for x in (start, end))
+    except ValueError:
+        raise ValueError(f"a range needs two ISO dates, got {start!r} and {end!r}") from None
+    span = (last - first).days
+    if not 0 <= span <= MAX_RANGE_DAYS:
+        raise ValueError(f"a range runs forward over at most {MAX_RANGE_DAYS} days, this one over {span}")
+    return first, last
+
+
+def period_days(period: str, as_of: date, start: date | None = None, end: date | None = None) -> tuple[date, date] | None:
+    """Days outside which ``period_filter`` and today cannot hold; ``None``: no bound.
+
+    A trailing window is open upwards, so only a closed period has a bound.
+    """
+    if period == "today":
+        return as_of, as_of
+    if period == "custom" and start is not None and end is not None:
+        return min(start, as_of), max(end, as_of)
+    return None

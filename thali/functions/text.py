@@ -77,6 +77,16 @@ def truncate_text(col: Column | str, max_length: int, empty: str = "") -> Column
             .otherwise(F.concat(F.substring(c, 1, max_length), F.lit("..."))))
 
 
+def template_truncate(col: Column | str, length: int, leeway: int = 5) -> Column:
+    """The page templates' ``truncate``: unchanged up to ``length + leeway``
+    characters, else the first ``length - 3`` cut back to the last blank, and
+    ``...``; NULL -> ``''``."""
+    c = _c(col)
+    head = F.substring(c, 1, length - 3)
+    cut = F.when(F.instr(head, " ") > 0, F.regexp_replace(head, r"(?s) [^ ]*$", "")).otherwise(head)
+    return F.when(c.isNull(), F.lit("")).when(F.char_length(c) <= length + leeway, c).otherwise(F.concat(cut, F.lit("...")))
+
+
 def uri_component(col: Column | str) -> Column:
     """Browser-style ``encodeURIComponent``: blanks as ``%20``, ``!'()~`` left as is."""
     enc = F.url_encode(_c(col))

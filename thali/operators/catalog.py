@@ -2,8 +2,8 @@
 
 ``times_ordered`` is the reference's correlated count written as what
 Catalyst would decorrelate it to: order lines aggregated per (type, id)
-first, then one left join, so each catalogue row meets at most one count
-row whatever the skew of the order lines.
+first, then one left join of the united catalogues on (type, id), so lines
+are aggregated once and each catalogue row meets at most one count row.
 """
 
 from __future__ import annotations
@@ -27,13 +27,6 @@ def times_ordered(order_items: DataFrame) -> DataFrame:
     return order_items.groupBy("item_type", "item_id").agg(F.count(F.lit(1)).alias("times_ordered"))
 
 
-def _with_times(items: DataFrame, kind: str, counts: DataFrame) -> DataFrame:
-    c = counts.where(F.col("item_type") == kind).select(F.col("item_id").alias("_iid"), "times_ordered")
-    return (items.withColumn("item_type", F.lit(kind))
-            .join(c, F.col("id") == F.col("_iid"), "left").drop("_iid")
-            .withColumn("times_ordered", F.coalesce("times_ordered", F.lit(0)).cast("long")))
-
-
 def search_items(items: DataFrame, search: str | None = None, category: str | None = None) -> DataFrame:
     """name contains ``search`` (case-insensitive), category equals ``category``."""
     if search:
@@ -47,20 +40,16 @@ def all_items(services: DataFrame, menu: DataFrame, order_items: DataFrame, item
               search: str | None = None, category: str | None = None) -> DataFrame:
     """U2 + J8 + F3: services then menu (``src`` 0 / 1) with times ordered,
     restricted to the chosen type(s) and filters."""
-    counts = times_ordered(order_items)
-    parts = []
-    if item_type in ("all", SERVICE):
-        parts.append(_with_times(search_items(services, search, category), SERVICE, counts)
-                     .withColumn("src", F.lit(0)))
-    if item_type in ("all", MENU):
-        parts.append(_with_times(search_items(menu, search, category), MENU, counts)
-                     .withColumn("src", F.lit(1)))
-    if not parts:
+    chosen = [(items, kind, src) for src, (items, kind) in enumerate(((services, SERVICE), (menu, MENU))) if item_type in ("all", kind)]
+    if not chosen:
         raise ValueError(f"unknown item type {item_type!r}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    out = None
+    for items, kind, src in chosen:
+        part = search_items(items, search, category).withColumns({"item_type": F.lit(kind), "src": F.lit(src)})
+        out = part if out is None else out.unionByName(part)
+    counts = times_ordered(order_items).withColumnsRenamed({"item_type": "_type", "item_id": "_id"})
+    return (out.join(counts, (F.col("item_type") == F.col("_type")) & (F.col("id") == F.col("_id")), "left").drop("_type", "_id")
+            .withColumn("times_ordered", F.coalesce("times_ordered", F.lit(0)).cast("long")))
 
 
 def items_listing(items: DataFrame) -> DataFrame:
@@ -75,6 +64,11 @@ def item_categories(services: DataFrame, menu: DataFrame) -> DataFrame:
     return s.union(m).distinct().orderBy("category", "type")
 
 
+def both_lists(services: DataFrame, menu: DataFrame) -> DataFrame:
+    """Services and menu as one list with their type."""
+    return services.withColumn("item_type", F.lit(SERVICE)).unionByName(menu.withColumn("item_type", F.lit(MENU)))
+
+
 def item_display(items: DataFrame) -> DataFrame:
     """P10: price texts; discount text only when the discount is non-zero."""
     return (items.withColumn("price_formatted", money_text("price"))

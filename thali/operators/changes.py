@@ -5,8 +5,9 @@ Parquet tables take no ``UPDATE``/``MERGE``, so a batch of changes yields
 new versioned folder (``thali.sinks.exports.write_snapshot``).
 
 Several changes to one order collapse to one row per order with
-``max_by(value, seq)`` aggregates (partial aggregation, so a hot order costs
-no extra), and the snapshot is one left join on ``order_id``.
+``max_by`` aggregates (partial aggregation, so a hot order costs no extra), and
+the snapshot is one left join on ``order_id``.  Changes of one order with equal
+``seq`` follow in the order of their other values, the same in every output.
 """
 
 from __future__ import annotations
@@ -27,17 +28,16 @@ class ChangeResult(NamedTuple):
     rejects: DataFrame
 
 
-def _split(changes: DataFrame, status_col: str, domain: tuple[str, ...], orders: DataFrame):
+def _reason(status_col: str, domain: tuple[str, ...]):
     s = F.col(status_col)
-    known = changes.join(orders.select("order_id"), "order_id", "left_semi")
-    unknown = changes.join(orders.select("order_id"), "order_id", "left_anti")
-    reason = (F.when(s.isNull() | (s == ""), F.lit("status_required"))
-              .when(~s.isin(*domain), F.lit("invalid_status")))
-    valid = known.where(reason.isNull())
-    rejects = (known.where(reason.isNotNull()).withColumn("reason", reason)
-               .unionByName(unknown.withColumn(
-                   "reason", F.coalesce(reason, F.lit("unknown_order")))))
-    return valid, rejects
+    return F.when(s.isNull() | (s == ""), F.lit("status_required")).when(~s.isin(*domain), F.lit("invalid_status"))
+
+
+def _rejects(marked: DataFrame, changes: DataFrame, status_col: str, domain: tuple[str, ...]) -> DataFrame:
+    """Rows of ``marked`` (changes left-joined to orders, ``_known`` set on a
+    match) that are not applied, with the reason."""
+    reason = F.coalesce(_reason(status_col, domain), F.when(F.col("_known").isNull(), F.lit("unknown_order")))
+    return marked.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(*changes.columns, "reason")
 
 
 def apply_status_changes(orders: DataFrame, changes: DataFrame) -> ChangeResult:
@@ -47,21 +47,24 @@ def apply_status_changes(orders: DataFrame, changes: DataFrame) -> ChangeResult:
     (``''`` overwrites, NULL keeps).  History carries the real old status
     (previous change, or the stored status for the first one).
     """
-    valid, rejects = _split(changes, "new_status", ORDER_STATUSES, orders)
+    at = F.struct("seq", "new_status", "notes", "changed_by")
+    valid = changes.where(_reason("new_status", ORDER_STATUSES).isNull())
     last = valid.groupBy("order_id").agg(
-        F.max_by("new_status", "seq").alias("_new_status"),
-        F.max_by("notes", F.when(F.col("notes").isNotNull(), F.col("seq"))).alias("_new_notes"),
+        F.max_by("new_status", at).alias("_new_status"),
+        F.max_by("notes", F.when(F.col("notes").isNotNull(), at)).alias("_new_notes"),
         F.count(F.when(F.col("notes").isNotNull(), 1)).alias("_has_notes"))
+    # changes of unknown orders find no row to change
     snapshot = (orders.join(last, "order_id", "left")
                 .withColumn("status", F.coalesce("_new_status", "status"))
                 .withColumn("notes", F.when(F.col("_has_notes") > 0, F.col("_new_notes")).otherwise(F.col("notes")))
                 .drop("_new_status", "_new_notes", "_has_notes")
                 .select(*orders.columns))
-    w = Window.partitionBy("order_id").orderBy("seq")
-    history = (valid.join(orders.select("order_id", F.col("status").alias("_base")), "order_id")
+    base = orders.select("order_id", F.col("status").alias("_base"), F.lit(True).alias("_known"))
+    w = Window.partitionBy("order_id").orderBy("seq", "new_status", "notes", "changed_by")
+    history = (valid.join(base, "order_id")
                .withColumn("old_status", F.coalesce(F.lag("new_status").over(w), F.col("_base")))
                .select("order_id", "seq", "old_status", "new_status", "changed_by", "notes"))
-    return ChangeResult(snapshot, history, rejects)
+    return ChangeResult(snapshot, history, _rejects(changes.join(base, "order_id", "left"), changes, "new_status", ORDER_STATUSES))
 
 
 def apply_payment_changes(payments: DataFrame, orders: DataFrame, changes: DataFrame) -> ChangeResult:
@@ -73,33 +76,38 @@ def apply_payment_changes(payments: DataFrame, orders: DataFrame, changes: DataF
     first change inserts it, so its time is not a completion time).  The
     ``history`` frame holds activity rows for the log sink (K5).
     """
-    valid, rejects = _split(changes, "payment_status", PAYMENT_STATUSES, orders)
-    seq, st, tx = F.col("seq"), F.col("payment_status"), F.col("transaction_id")
+    valid = changes.where(_reason("payment_status", PAYMENT_STATUSES).isNull())
+    st, tx = F.col("payment_status"), F.col("transaction_id")
+    at = F.struct("seq", "payment_status", "transaction_id", "changed_at")
     done = st == "completed"
     per_order = (valid.groupBy("order_id").agg(
-        F.max_by("payment_status", "seq").alias("_status"),
-        F.max_by("transaction_id", F.when(tx != "", seq)).alias("_tx"),
-        F.min_by("transaction_id", "seq").alias("_first_tx"),
-        F.max_by("changed_at", F.when(done, seq)).alias("_paid_at"),
-        F.max(F.when(done, seq)).alias("_paid_seq"),
-        F.min("seq").alias("_first_seq"))
+        F.max_by("payment_status", at).alias("_status"),
+        F.max_by("transaction_id", F.when(tx != "", at)).alias("_tx"),
+        F.min_by("transaction_id", at).alias("_first_tx"),
+        F.max_by("changed_at", F.when(done, at)).alias("_paid_at"),
+        F.max(F.when(done, at)).alias("_paid"),
+        F.min(at).alias("_first"))
         # an inserted payment takes a completion time only from a later change
-        .withColumn("_paid_after", F.when(F.col("_paid_seq") > F.col("_first_seq"), F.col("_paid_at"))))
-    existing = payments.join(per_order, "order_id", "left")
-    updated = (existing
-               .withColumn("payment_status", F.coalesce("_status", "payment_status"))
-               .withColumn("transaction_id", F.coalesce("_tx", "transaction_id"))
-               .withColumn("payment_date", F.coalesce("_paid_at", "payment_date"))
-               .select(*payments.columns))
-    missing = per_order.join(payments.select("order_id"), "order_id", "left_anti")
-    new_rows = (missing.join(orders.select("order_id", "user_id", F.col("total_amount").alias("amount"),
-                                           "payment_mode"), "order_id")
-                .select(F.lit(None).cast(payments.schema["payment_id"].dataType).alias("payment_id"),
-                        "order_id", "user_id", "amount", "payment_mode",
-                        F.col("_status").alias("payment_status"),
-                        F.coalesce("_tx", "_first_tx").alias("transaction_id"),
-                        F.col("_paid_after").alias("payment_date")))
-    snapshot = updated.unionByName(new_rows.select(*payments.columns))
+        .withColumn("_paid_after", F.when(F.col("_paid") > F.col("_first"), F.col("_paid_at"))))
+    base = orders.select("order_id", F.col("user_id").alias("_user"), F.col("total_amount").alias("_amount"),
+                         F.col("payment_mode").alias("_mode"), F.lit(True).alias("_known"))
+    # a new id is above all given ones, and one payment is new per order
+    above = payments.agg(F.coalesce(F.max("payment_id"), F.lit(0))).scalar()
+    both = payments.withColumn("_old", F.lit(True)).join(per_order.join(base, "order_id"), "order_id", "full")
+    old = F.col("_old").isNotNull()
+    new = {
+        "payment_id": F.when(old, F.col("payment_id")).otherwise(above + F.col("order_id")),
+        "user_id": F.when(old, F.col("user_id")).otherwise(F.col("_user")),
+        "amount": F.when(old, F.col("amount")).otherwise(F.col("_amount")),
+        "payment_mode": F.when(old, F.col("payment_mode")).otherwise(F.col("_mode")),
+        "payment_status": F.coalesce("_status", "payment_status"),
+        "transaction_id": F.when(old, F.coalesce("_tx", "transaction_id")).otherwise(F.coalesce("_tx", "_first_tx")),
+        "payment_date": F.when(old, F.coalesce("_paid_at", "payment_date")).otherwise(F.col("_paid_after")),
+    }
+    snapshot = both.select(*[new.get(c, F.col(c)).cast(payments.schema[c].dataType).alias(c) for c in payments.columns])
+    marked = changes.join(base.select("order_id", "_known"), "order_id", "left")
+    valid = valid.join(base.select("order_id"), "order_id", "left_semi")
+    rejects = _rejects(marked, changes, "payment_status", PAYMENT_STATUSES)
     activity = valid.select(
         F.lit(None).cast("int").alias("user_id"),
         F.lit("payment_update").alias("activity_type"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thali.functions.numbers import ratio
-from thali.functions.text import ist_text, money_indian_text, money_text, truncate_text
+from thali.functions.text import ist_text, money_indian_text, money_text, template_truncate
 from thali.operators.listings import order_payment_detail
 
 # Order status display name, colour, icon, server badge, browser badge.
@@ -32,6 +32,7 @@ PAYMENT_STATUS = {
     "refunded": ("Refunded", "#6c757d", "undo", "secondary"),
     "cancelled": ("Cancelled", "#dc3545", "ban", "danger"),
 }
+# What an unknown status shows, and the picture of a customer without one.
 UNKNOWN = ("#6c757d", "question-circle", "secondary", "bg-secondary")
 DEFAULT_AVATAR = "https://res.cloudinary.com/demo/image/upload/v1633427556/default-avatar.png"
 
@@ -89,15 +90,20 @@ def explode_order_items(orders: DataFrame) -> DataFrame:
 
 
 def customer_display(customers: DataFrame) -> DataFrame:
-    """Date texts, avatar (own only if ``http...``), average per order,
-    shortened e-mail and spend text (input = J7 output)."""
+    """Date texts, avatar (own only if ``http...``), average per order with
+    its text, shortened e-mail and location, last login or ``Never``, and spend
+    text (input = J7 output)."""
     pic = F.col("profile_pic")
+    average = F.round(F.col("total_spent").cast("decimal(28,2)") / F.col("total_orders"), 0).cast("long").cast("string")
     return customers.withColumns({
         "created_at_formatted": ist_text("created_at"),
         "last_login_formatted": ist_text("last_login"),
         "avatar_url": F.when(pic.startswith("http"), pic).otherwise(F.lit(DEFAULT_AVATAR)),
         "avg_per_order": ratio(F.col("total_spent"), F.col("total_orders")),
-        "email_short": truncate_text("email", 20),
+        "avg_text": F.when(F.col("total_orders") > 0, F.concat(F.lit("Avg: ₹"), average)).otherwise(F.lit("No orders")),
+        "email_short": template_truncate("email", 20),
+        "location_short": template_truncate("location", 15),
+        "last_login_shown": F.when(F.col("last_login").isNull(), F.lit("Never")).otherwise(ist_text("last_login")),
         "total_spent_formatted": money_text("total_spent"),
     })
 
@@ -127,16 +133,21 @@ def order_timeline(orders: DataFrame) -> DataFrame:
 
 
 def payment_display(orders: DataFrame, payments: DataFrame) -> DataFrame:
-    """Payment panel per order and payment row."""
+    """Payment panel per order and payment row (J3).  Empty texts fall
+    back like missing ones; a signature is cut at 50 and always gets ``...``."""
     j = order_payment_detail(orders, payments)
-    sig = F.col("razorpay_signature") if "razorpay_signature" in j.columns else F.lit(None).cast("string")
+
+    def text(c: str) -> Column:
+        return F.when(F.col(c) != "", F.col(c)) if c in j.columns else F.lit(None).cast("string")
+
     return j.select(
         "order_id", "payment_id",
-        F.upper(F.coalesce(F.col("payment_status"), F.lit("pending"))).alias("status_shown"),
-        money_indian_text("total_amount").alias("amount_formatted"),
-        F.coalesce(F.col("payment_mode"), F.lit("N/A")).alias("mode_shown"),
-        F.coalesce(F.col("transaction_id"), F.lit("")).alias("transaction_shown"),
+        F.upper(F.coalesce(text("payment_status"), F.lit("pending"))).alias("status_shown"),
+        money_text("total_amount").alias("amount_formatted"),
+        F.coalesce(text("payment_mode"), F.lit("N/A")).alias("mode_shown"),
+        F.coalesce(text("transaction_id"), F.lit("")).alias("transaction_shown"),
         ist_text("payment_date").alias("payment_date_formatted"),
-        F.when(F.char_length(sig) > 50, F.concat(F.substring(sig, 1, 50), F.lit("..."))).otherwise(sig)
-        .alias("signature_short"),
+        text("razorpay_order_id").alias("razorpay_order_shown"),
+        text("razorpay_payment_id").alias("razorpay_payment_shown"),
+        F.concat(F.substring(text("razorpay_signature"), 1, 50), F.lit("...")).alias("signature_short"),
     )

@@ -1,28 +1,31 @@
 """Locations and addresses.
 
-P5 and P6 are row-local projections.  P7 (nearest depot) never pairs
-rows: the depot list is size-checked, turned into one bounded array by a
-scalar subquery (evaluated once), and each address folds over that array
-with ``aggregate`` -- no join, no shuffle of the address side.
+P5 and P6 are row-local projections.  P7 (nearest depot) is an exact spatial
+join for any number of depots, see ``nearest_depot``.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thali.functions.numbers import plain_float_text
 from thali.functions.text import uri_component
 
 # Packed location separator and the number pattern Python's
 # float() accepts for the coordinates (plain, exponent, inf/nan).
 LOCATION_SEP = " | "
-_NUMBER = r"^\s*[+-]?((\d+(_\d+)*)?\.?\d+(_\d+)*([eE][+-]?\d+)?|\d+\.|inf|infinity|nan)\s*$"
+_DIGITS = r"\d+(_\d+)*"
+_NUMBER = rf"^\s*[+-]?(({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?|inf|infinity|nan)\s*$"
 # Earth radius per distance unit (km, miles, nautical miles).
 EARTH_RADIUS = {"K": 6371.0, "M": 3958.8, "N": 3440.1}
+# Fixed value: the maps address.
 MAPS = "https://www.google.com/maps"
-MAX_DEPOTS = 10_000
+#: Cells along each axis of the cube around the earth, from coarse to fine; a
+#: cell has at most 16 x 16 x 16 cells of the next level, the finest is 390 m.
+GRID = (8, 128, 2048, 32768)
+# Rounding room of the pruning bounds (squared chords; 6 m on the ground).
+_ROOM = 1e-12
 
 
 def _num(part: Column) -> Column:
@@ -89,6 +92,7 @@ def enrich_addresses(addresses: DataFrame, users: DataFrame | None = None) -> Da
         F.concat(F.lit("Near "), _nz(F.col("landmark"))), _nz(F.col("city")), _nz(F.col("state")),
         F.concat(F.lit("Pincode: "), _nz(F.col("pincode"))))
     lat6, lon6 = _fixed6(lat), _fixed6(lon)
+    lat_text, lon_text = plain_float_text(lat), plain_float_text(lon)
     df = addresses
     own_phone = F.col("phone") if "phone" in addresses.columns else F.lit(None).cast("string")
     if users is not None:
@@ -107,10 +111,9 @@ def enrich_addresses(addresses: DataFrame, users: DataFrame | None = None) -> Da
         "phone_shown": phone,
         "has_valid_coordinates": valid,
         "map_link": F.when(lat.isNotNull() & lon.isNotNull(),
-                           F.concat(F.lit(MAPS + "?q="), lat.cast("string"), F.lit(","), lon.cast("string"),
-                                    F.lit("&z=15"))),
+                           F.concat(F.lit(MAPS + "?q="), lat_text, F.lit(","), lon_text, F.lit("&z=15"))),
         "map_link_plain": F.when(lat.isNotNull() & lon.isNotNull(),
-                                 F.concat(F.lit(MAPS + "?q="), lat.cast("string"), F.lit(","), lon.cast("string"))),
+                                 F.concat(F.lit(MAPS + "?q="), lat_text, F.lit(","), lon_text)),
         "map_link_view": F.when(valid, F.concat(
             F.lit(MAPS + "?q="), lat6, F.lit(","), lon6, F.lit("&z=15"),
             F.when(F.trim(formatted) != "", F.concat(F.lit("&layer=c&cbll="), lat6, F.lit(","), lon6, F.lit("&cbp=")))
@@ -129,43 +132,90 @@ def enrich_addresses(addresses: DataFrame, users: DataFrame | None = None) -> Da
     return out.drop("_user_phone") if users is not None else out
 
 
-def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, unit: str = "K") -> Column:
-    """Great-circle distance, 2 decimals; NULL for an invalid point."""
+def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, unit: str = "K") -> Column:
+    """Great-circle distance of two valid points, not rounded."""
     r = EARTH_RADIUS.get(unit, EARTH_RADIUS["K"])
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = (F.sin(dlat / 2) * F.sin(dlat / 2)
          + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon / 2) * F.sin(dlon / 2))
-    d = F.lit(2 * r) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
-    return F.when(valid_point(lat1, lon1) & valid_point(lat2, lon2), F.round(d, 2))
+    return F.lit(2 * r) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
-def nearest_depot(addresses: DataFrame, depots: DataFrame, unit: str = "K",
-                  max_depots: int = MAX_DEPOTS) -> DataFrame:
-    """Each address with its nearest depot and the distance.
+def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, unit: str = "K") -> Column:
+    """Great-circle distance, 2 decimals; NULL for an invalid point."""
+    return F.when(valid_point(lat1, lon1) & valid_point(lat2, lon2), F.round(great_circle(lat1, lon1, lat2, lon2, unit), 2))
 
-    ``depots`` (depot_id, latitude, longitude) must hold at most
-    ``max_depots`` rows; this is checked with a bounded count before the
-    list becomes one array (scalar subquery), so the array's size is proven.
-    Invalid addresses get NULLs; ties go to the lower depot id.
-    """
-    n = depots.limit(max_depots + 1).count()
-    if n > max_depots:
-        raise ValueError(f"more than {max_depots} depots; nearest_depot folds over an in-memory list")
-    good = depots.where(valid_point(F.col("latitude"), F.col("longitude")))
-    arr = good.agg(F.array_sort(F.collect_list(F.struct(
-        F.col("depot_id").alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))))).scalar()
-    lat, lon = F.col("latitude"), F.col("longitude")
-    zero = F.struct(F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("km"))
 
-    def step(acc: Column, dep: Column) -> Column:
-        dist = haversine(lat, lon, dep["lat"], dep["lon"], unit)
-        better = acc["km"].isNull() | (dist < acc["km"])
-        return F.when(dist.isNotNull() & better, F.struct(dep["id"].alias("id"), dist.alias("km"))).otherwise(acc)
+def _on_sphere(points: DataFrame) -> DataFrame:
+    """``points`` with the unit vector ``x, y, z`` of (lat, lon)."""
+    lat, lon = F.radians("lat"), F.radians("lon")
+    return points.withColumns({"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)})
 
-    best = F.aggregate(F.col("_depots"), zero, step)
-    return (addresses.select("address_id", "user_id", "latitude", "longitude", arr.alias("_depots"))
-            .select("address_id", "user_id", "latitude", "longitude",
-                    best["id"].alias("depot_id"), best["km"].alias("distance")))
+
+def _cell(n: int) -> Column:
+    """Number of the grid cell of ``x, y, z`` at ``n`` cells an axis."""
+    at = [F.least(F.floor((F.col(c) + 1) / 2 * n), F.lit(n - 1)).cast("long") for c in "xyz"]
+    return (at[0] * n + at[1]) * n + at[2]
 
 
-__all__ = ["parse_locations", "enrich_addresses", "haversine", "nearest_depot", "valid_point", "math"]
+def _bounds(box: Column) -> tuple[Column, Column]:
+    """Least and greatest squared chord from ``x, y, z`` to a box."""
+    near = far = F.lit(0.0)
+    for c in "xyz":
+        low, high = box[f"{c}0"] - F.col(c), F.col(c) - box[f"{c}1"]
+        out = F.greatest(low, high, F.lit(0.0))
+        reach = F.greatest(F.abs(low), F.abs(high))
+        near, far = near + out * out, far + reach * reach
+    return near, far
+
+
+def _pruned(rows: DataFrame, boxes: str, over: Window | None) -> DataFrame:
+    """``rows`` once for each of their ``boxes`` that may hold the nearest
+    depot: no box whose nearest corner is farther than another's farthest."""
+    met = F.transform(boxes, lambda b: F.struct(b["cell"].alias("cell"), _bounds(b)[0].alias("near"), _bounds(b)[1].alias("far")))
+    rows = rows.withColumn("met", met)
+    best = F.array_min(F.transform("met", lambda m: m["far"]))
+    rows = rows.withColumn("best", F.min(best).over(over) if over is not None else best)
+    left = F.filter("met", lambda m: m["near"] <= F.col("best") + _ROOM)
+    return rows.select("lat", "lon", "x", "y", "z", F.explode(F.transform(left, lambda m: m["cell"])).alias("cell"))
+
+
+def nearest_depot(addresses: DataFrame, depots: DataFrame, unit: str = "K") -> DataFrame:
+    """Each address with its nearest depot and the distance.
+
+    ``depots`` (depot_id, latitude, longitude) may have any number of rows.
+    Points on the unit sphere fall in a cube grid of several levels.  Level by
+    level, a point keeps the cells that may hold its nearest depot, and meets
+    the boxes of their occupied sub-cells by an equi-join on the cell; depots
+    are met one by one in the finest cells only.  No level pairs a point with
+    more than the sub-cells of a few cells.  Distances are compared exactly
+    and rounded after; ties go to the lower depot id.  Invalid addresses, and
+    all addresses without a valid depot, get NULLs.
+    """
+    lat, lon = F.col("latitude"), F.col("longitude")
+    ok = valid_point(lat, lon)
+    # depots at one place: the lowest id stands for all
+    sites = _on_sphere(depots.where(ok).groupBy(lat.alias("lat"), lon.alias("lon")).agg(F.min("depot_id").alias("depot_id")))
+    box = [f(c).alias(f"{c}{i}") for c in "xyz" for i, f in ((0, F.min), (1, F.max))]
+
+    def occupied(level: int) -> DataFrame:
+        n = GRID[level]
+        cells = sites.withColumns({"cell": _cell(n), "parent": _cell(GRID[level - 1]) if level else F.lit(0).cast("long")})
+        cells = cells.groupBy("parent", "cell").agg(*box)
+        return cells.groupBy("parent").agg(F.collect_list(F.struct("cell", *[f"{c}{i}" for c in "xyz" for i in (0, 1)])).alias("boxes"))
+
+    points = _on_sphere(addresses.where(ok).select(lat.alias("lat"), lon.alias("lon")).distinct())
+    top = occupied(0).select("boxes").scalar()  # at most 8 x 8 x 8 boxes
+    rows = _pruned(points.withColumn("boxes", top), "boxes", None)
+    same = Window.partitionBy("lat", "lon")
+    for level in range(1, len(GRID)):
+        met = rows.join(occupied(level), rows["cell"] == F.col("parent")).drop("parent", "cell")
+        rows = _pruned(met, "boxes", same)
+    leaf = sites.select(_cell(GRID[-1]).alias("_cell"), "depot_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    met = rows.join(leaf, F.col("cell") == F.col("_cell"))
+    far = great_circle(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"), unit)
+    best = met.groupBy("lat", "lon").agg(F.min(F.struct(far.alias("far"), "depot_id")).alias("best"))
+    return (addresses.select("address_id", "user_id", "latitude", "longitude")
+            .join(best, (lat == F.col("lat")) & (lon == F.col("lon")), "left")
+            .select("address_id", "user_id", "latitude", "longitude",
+                    F.col("best.depot_id").alias("depot_id"), F.round("best.far", 2).alias("distance")))

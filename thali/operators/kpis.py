@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thali.functions.numbers import money, money_sum, pct0, pct1, ratio
-from thali.functions.ordering import order_desc, pg_asc
+from thali.functions.ordering import order_desc
 from thali.functions.temporal import ist_date, ist_timestamp, ntz, on_ist_days, period_filter
 
 # Order status domain and its groupings.
@@ -79,12 +79,11 @@ def header_counters(orders: DataFrame, as_of: date) -> DataFrame:
 def status_distribution(orders: DataFrame) -> DataFrame:
     """A3: count and share (1 decimal) of all orders per status, largest first.
 
-    The total is a scalar subquery, evaluated once, not a join.
+    The total is the sum of the grouped rows, so the table is read once.
     """
-    total = orders.select(F.count(F.lit(1))).scalar()
     return (
         orders.groupBy("status").agg(F.count(F.lit(1)).alias("count"))
-        .withColumn("percentage", pct1(F.col("count"), total))
+        .withColumn("percentage", pct1(F.col("count"), F.sum("count").over(Window.partitionBy())))
         .orderBy(*order_desc("count", "status"))
     )
 
@@ -119,7 +118,7 @@ def _daily(orders: DataFrame, start: date | None, end: date | None, days: int |
     else:
         if as_of is None:
             raise ValueError("as_of is required for a trailing window")
-        pred = ts >= ntz(as_of - timedelta(days=days or 7))
+        pred = ts >= ntz(as_of - timedelta(days=7 if days is None else days))
     return orders.select("order_date", "total_amount", "user_id").where(pred) \
         .withColumn("date", ist_date("order_date"))
 
@@ -171,7 +170,7 @@ def payment_methods(payments: DataFrame) -> DataFrame:
     stay two rows, both shown as ``Unknown``.
     """
     done = payments.where(F.col("payment_status") == "completed")
-    total = done.select(F.count(F.lit(1))).scalar()
+    total = F.sum("order_count").over(Window.partitionBy())  # over the grouped rows
     return (
         done.groupBy("payment_mode")
         .agg(F.count(F.lit(1)).alias("order_count"), money(F.sum("amount")).alias("total_amount"))
@@ -281,15 +280,13 @@ def customer_acquisition(orders: DataFrame) -> DataFrame:
     """Per IST month, customers whose first order falls in it (new) and
     distinct customers ordering in it whose first order was earlier (repeat).
 
-    Both sides are aggregates keyed by customer, so the join is between
-    pre-aggregated frames (one row per customer / per customer-month).
+    One distinct (customer, month); a customer's first month is the least of
+    its rows there, one a month however many orders it has.
     """
-    o = orders.where(F.col("order_date").isNotNull() & F.col("user_id").isNotNull()) \
-        .select("user_id", F.date_trunc("month", ist_timestamp("order_date")).alias("m"))
-    first = o.groupBy("user_id").agg(F.min("m").alias("first_m"))
-    active = o.distinct()
+    active = orders.where(F.col("order_date").isNotNull() & F.col("user_id").isNotNull()) \
+        .select("user_id", F.date_trunc("month", ist_timestamp("order_date")).alias("m")).distinct()
     return (
-        active.join(first, "user_id")
+        active.withColumn("first_m", F.min("m").over(Window.partitionBy("user_id")))
         .groupBy(F.to_date("m").alias("month"))
         .agg(F.count(F.when(F.col("m") == F.col("first_m"), 1)).alias("new_customers"),
              F.count(F.when(F.col("m") > F.col("first_m"), 1)).alias("repeat_customers"))
@@ -302,11 +299,3 @@ def delivered_count(orders: DataFrame) -> DataFrame:
     """Orders whose status is ``delivered``."""
     return orders.agg(F.count(F.when(F.col("status") == "delivered", 1)).alias("delivered_orders"))
 
-
-__all__ = [
-    "period_kpis", "header_counters", "status_distribution", "status_counts", "status_count_row",
-    "top_items", "daily_sales", "daily_breakdown", "category_sales", "payment_methods",
-    "top_items_by_name", "customer_status_summary", "status_summary", "revenue_summary",
-    "customer_base_stats", "page_revenue", "hourly_orders", "customer_acquisition",
-    "delivered_count", "pg_asc",
-]

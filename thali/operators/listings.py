@@ -14,8 +14,9 @@ Scale notes
   partial ``WindowGroupLimit`` before the shuffle, so at most ``k`` rows per
   key and map task are shuffled even for a customer holding a third of
   all orders.
-* Pages are a top-k on a total order (the key breaks ties); deep pages use
-  ``keyset_after`` (a range predicate on the sort key) instead of offsets.
+* Pages take their top-k orders or customers first and join lines, payments
+  and names to those; deep pages use ``keyset_after`` (a range predicate on the
+  sort key) instead of offsets.
 """
 
 from __future__ import annotations
@@ -129,18 +130,13 @@ def order_payment_detail(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
 
 def order_lines_with_catalog(order_items: DataFrame, services: DataFrame, menu: DataFrame) -> DataFrame:
-    """Order lines with their catalogue photo (service or menu by type)."""
-    s = services.select(F.col("id").alias("_sid"), F.col("photo").alias("_sphoto"))
-    m = menu.select(F.col("id").alias("_mid"), F.col("photo").alias("_mphoto"))
-    t = F.col("item_type")
-    return (order_items
-            .join(s, (t == "service") & (F.col("item_id") == F.col("_sid")), "left")
-            .join(m, (t == "menu") & (F.col("item_id") == F.col("_mid")), "left")
-            .withColumn("item_photo_catalog",
-                        F.when(t == "service", F.col("_sphoto"))
-                        .when(t == "menu", F.col("_mphoto"))
-                        .otherwise(F.col("item_photo")))
-            .drop("_sid", "_sphoto", "_mid", "_mphoto"))
+    """Order lines with their catalogue photo (service or menu by type):
+    both catalogues as one table with its type, joined once."""
+    photos = services.select(F.lit("service").alias("_type"), F.col("id").alias("_id"), F.col("photo").alias("_photo")).unionByName(
+        menu.select(F.lit("menu").alias("_type"), F.col("id").alias("_id"), F.col("photo").alias("_photo")))
+    own = F.when(F.col("item_type").isin("service", "menu"), F.col("_photo")).otherwise(F.col("item_photo"))
+    return (order_items.join(photos, (F.col("item_type") == F.col("_type")) & (F.col("item_id") == F.col("_id")), "left")
+            .withColumn("item_photo_catalog", own).drop("_type", "_id", "_photo"))
 
 
 ADDRESS_COLUMNS = ("address_id", "full_name", "phone", "address_line1", "address_line2", "landmark", "city",
@@ -199,14 +195,32 @@ def customer_rollup(users: DataFrame, orders: DataFrame) -> DataFrame:
 
 # --- lists and pages -----------------------------------------------------------
 
+#: Key lists of up to this many rows (a page number times its size) are broadcast.
+BROADCAST_KEYS = 100_000
+
+
+def only_keys(rows: DataFrame, keys: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows`` of the ``keys``, a list of at most ``most`` rows: broadcast
+    while that bound is small, else a shuffle join."""
+    return rows.join(F.broadcast(keys) if most <= BROADCAST_KEYS else keys, key, "left_semi")
+
+
+def _first_orders(orders: DataFrame, sort: list[Column], k: int) -> DataFrame:
+    """The first ``k`` orders by ``sort`` (dates and ids only): the top-k runs
+    on these columns, and names join to the few that are left."""
+    keys = orders.select("order_id", "order_date").orderBy(*sort).limit(k).select("order_id")
+    return only_keys(orders, keys, "order_id", k)
+
+
 def todays_orders(orders: DataFrame, order_items: DataFrame, as_of: date, k: int = 50) -> DataFrame:
     """The IST day's orders with line counts, newest first, ``k`` rows.
 
-    The day filter is applied to orders before the join, as a UTC range
-    the parquet scan receives.
+    The day's top ``k`` orders are taken first; only their lines are counted.
     """
-    day = orders.where(on_ist_days("order_date", as_of))
-    return order_item_counts(day, order_items).orderBy(*order_desc("order_date", "order_id")).limit(k)
+    newest = order_desc("order_date", "order_id")
+    first = _first_orders(orders.where(on_ist_days("order_date", as_of)), newest, k)
+    lines = only_keys(order_items, first.select("order_id"), "order_id", k)
+    return order_item_counts(first, lines).orderBy(*newest).limit(k)
 
 
 def recent_activity(orders: DataFrame, k: int = 10) -> DataFrame:
@@ -214,8 +228,9 @@ def recent_activity(orders: DataFrame, k: int = 10) -> DataFrame:
     badge = F.lit("secondary")
     for s, b in reversed(list(ACTIVITY_BADGE.items())):
         badge = F.when(F.col("status") == s, F.lit(b)).otherwise(badge)
-    return (orders.select("order_id", "user_name", "status", "order_date", badge.alias("status_badge"))
-            .orderBy(*order_desc("order_date", "order_id")).limit(k))
+    newest = order_desc("order_date", "order_id")
+    return (_first_orders(orders, newest, k).select("order_id", "user_name", "status", "order_date", badge.alias("status_badge"))
+            .orderBy(*newest).limit(k))
 
 
 def _check_page(page: int) -> int:
@@ -239,9 +254,20 @@ def _listing_sort() -> list[Column]:
     return [pg_desc("order_date"), pg_asc("order_id"), pg_asc("payment_status"), pg_asc("payment_mode")]
 
 
-def orders_page(listing: DataFrame, page: int = 1) -> DataFrame:
-    """O1: page ``page`` (20 rows) of a listing, newest first."""
-    return listing.orderBy(*_listing_sort()).offset(_check_page(page)).limit(PAGE_SIZE)
+def orders_page(orders: DataFrame, order_items: DataFrame, payments: DataFrame, page: int = 1, search: str | None = None,
+                status: str | None = None, start: date | None = None, end: date | None = None) -> DataFrame:
+    """O1: page ``page`` (20 rows) of the listing, newest first.
+
+    Every order gives at least one listing row and the order starts with
+    (date, id), so the first ``offset + 20`` matching orders hold the page:
+    they are taken first, and only their lines and payments are joined.
+    """
+    offset = _check_page(page)
+    k = offset + PAGE_SIZE
+    first = _first_orders(filter_orders(search_orders(orders, search), status, start, end), _listing_sort()[:2], k)
+    keys = first.select("order_id")
+    listing = orders_with_payments(first, only_keys(order_items, keys, "order_id", k), only_keys(payments, keys, "order_id", k))
+    return listing.orderBy(*_listing_sort()).offset(offset).limit(PAGE_SIZE)
 
 
 def page_counts(listing: DataFrame) -> DataFrame:
@@ -292,9 +318,20 @@ def customers_sorted(listing: DataFrame, sort: str = "newest") -> DataFrame:
     return listing.orderBy(*CUSTOMER_SORTS.get(sort, CUSTOMER_SORTS["newest"])())
 
 
-def customers_page(listing: DataFrame, page: int = 1, sort: str = "newest") -> DataFrame:
-    """O2: page ``page`` of the customer listing, newest first by default."""
-    return customers_sorted(listing, sort).offset(_check_page(page)).limit(PAGE_SIZE)
+def customers_page(users: DataFrame, orders: DataFrame, page: int = 1, sort: str = "newest",
+                   search: str | None = None) -> DataFrame:
+    """O2: page ``page`` of the customer listing, newest first by default.
+
+    The date sorts need no order data: the first ``offset + 20`` customers are
+    taken first, and only their orders are rolled up.
+    """
+    offset = _check_page(page)
+    k = offset + PAGE_SIZE
+    if sort not in ("most_orders", "most_spent"):
+        users = search_customers(users, search).orderBy(*CUSTOMER_SORTS.get(sort, CUSTOMER_SORTS["newest"])()).limit(k)
+        orders = only_keys(orders, users.select(F.col("id").alias("user_id")), "user_id", k)
+        search = None
+    return customers_sorted(customers_listing(users, orders, search), sort).offset(offset).limit(PAGE_SIZE)
 
 
 def customer_recent_orders(orders: DataFrame, k: int = 5) -> DataFrame:

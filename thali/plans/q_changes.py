@@ -5,10 +5,9 @@ their size grows with the data:
 
 * status changes: pending orders placed before 1998 are cancelled (seq 1,
   with a note); every order with a refunded payment asks for the invalid
-  status ``refunded`` (seq 2, rejected); every order with a completed
-  payment is marked completed (seq 3, no note, so the seq-1 note stays);
-  the orders of customers without any order row... none: unknown orders come
-  from payments whose order is missing (none at these scales).
+  status ``refunded`` (seq 2, rejected); every order with a completed payment
+  is marked completed (seq 3, no note, so the seq-1 note stays); every hundredth
+  order's negative id is completed (seq 4): no such order exists.
 * payment changes: delivered orders are paid at their delivery time with a
   transaction id (seq 1); cancelled orders get payment status ``cancelled``
   and an empty transaction id (seq 2).
@@ -19,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from thali.operators import changes, documents
-from thali.plans.registry import AS_OF, dbl, register, sql
+from thali.plans import q_kpis  # noqa: F401  its oracles are used below
+from thali.plans.registry import AS_OF, REGISTRY, dbl, register, sql
 from thali.sinks import exports
 from thali.sources.tables import table_report
 
@@ -29,13 +29,14 @@ def status_change_batch(t):
     cancel = (o.where((F.col("status") == "pending") & (F.col("order_date") < F.lit("1998-01-01").cast("timestamp_ntz")))
               .select("order_id", F.lit("cancelled").alias("new_status"), F.lit("auto-cancel").alias("notes"),
                       F.lit("rules").alias("changed_by"), F.lit(1).cast("long").alias("seq")))
-    refunded = (p.where(F.col("payment_status") == "refunded").select("order_id").distinct()
-                .select("order_id", F.lit("refunded").alias("new_status"), F.lit(None).cast("string").alias("notes"),
-                        F.lit("rules").alias("changed_by"), F.lit(2).cast("long").alias("seq")))
-    paid = (p.where(F.col("payment_status") == "completed").select("order_id").distinct()
-            .select("order_id", F.lit("completed").alias("new_status"), F.lit(None).cast("string").alias("notes"),
-                    F.lit("rules").alias("changed_by"), F.lit(3).cast("long").alias("seq")))
-    return cancel.unionByName(refunded).unionByName(paid)
+    asked = p.where(F.col("payment_status").isin("refunded", "completed")).select("order_id", "payment_status").distinct()
+    paid = asked.select("order_id", F.col("payment_status").alias("new_status"), F.lit(None).cast("string").alias("notes"),
+                        F.lit("rules").alias("changed_by"),
+                        F.when(F.col("payment_status") == "refunded", 2).otherwise(3).cast("long").alias("seq"))
+    unknown = t.raw("orders").where(F.col("o_orderkey") % 100 == 0).select(
+        (-F.col("o_orderkey")).alias("order_id"), F.lit("completed").alias("new_status"), F.lit(None).cast("string").alias("notes"),
+        F.lit("rules").alias("changed_by"), F.lit(4).cast("long").alias("seq"))
+    return cancel.unionByName(paid).unionByName(unknown)
 
 
 _STATUS_BATCH_SQL = """
@@ -45,7 +46,9 @@ batch as (
   union all
   select distinct order_id, 'refunded', null, 'rules', 2 from f_payments where payment_status = 'refunded'
   union all
-  select distinct order_id, 'completed', null, 'rules', 3 from f_payments where payment_status = 'completed'),
+  select distinct order_id, 'completed', null, 'rules', 3 from f_payments where payment_status = 'completed'
+  union all
+  select -order_id, 'completed', null, 'rules', 4 from f_orders where order_id % 100 = 0),
 valid as (
   select * from batch where new_status in ('pending', 'processing', 'completed', 'cancelled', 'delivered')
     and order_id in (select order_id from f_orders)),
@@ -89,15 +92,12 @@ def _c1r(t):
 
 
 def payment_change_batch(t):
-    o = t["orders"]
-    paid = (o.where(F.col("status") == "delivered")
-            .select("order_id", F.lit("completed").alias("payment_status"),
-                    F.concat(F.lit("TXN"), F.col("order_id").cast("string")).alias("transaction_id"),
-                    F.col("delivery_date").alias("changed_at"), F.lit(1).cast("long").alias("seq")))
-    cancelled = (o.where(F.col("status") == "cancelled")
-                 .select("order_id", F.lit("cancelled").alias("payment_status"), F.lit("").alias("transaction_id"),
-                         F.col("order_date").alias("changed_at"), F.lit(2).cast("long").alias("seq")))
-    return paid.unionByName(cancelled)
+    paid = F.col("status") == "delivered"
+    return t["orders"].where(F.col("status").isin("delivered", "cancelled")).select(
+        "order_id", F.when(paid, F.lit("completed")).otherwise(F.lit("cancelled")).alias("payment_status"),
+        F.when(paid, F.concat(F.lit("TXN"), F.col("order_id").cast("string"))).otherwise(F.lit("")).alias("transaction_id"),
+        F.when(paid, F.col("delivery_date")).otherwise(F.col("order_date")).alias("changed_at"),
+        F.when(paid, 1).otherwise(2).cast("long").alias("seq"))
 
 
 @register("apply_payment_changes", sql("orders", "payments")("""
@@ -119,11 +119,11 @@ per2 as (
   from per p)
 select y.payment_id, y.order_id, y.user_id, cast(y.amount as double) amount, y.payment_mode,
   coalesce(per2.st, y.payment_status) payment_status, coalesce(per2.tx, y.transaction_id) transaction_id,
-  coalesce(per2.paid_at, y.payment_date) payment_date
+  coalesce(per2.paid_at, y.payment_date) payment_date, y.razorpay_order_id, y.razorpay_payment_id, y.razorpay_signature
 from f_payments y left join per2 on y.order_id = per2.order_id
 union all
-select null, o.order_id, o.user_id, cast(o.total_amount as double), o.payment_mode, per2.st,
-  coalesce(per2.tx, per2.first_tx), per2.paid_after
+select (select max(payment_id) from f_payments) + o.order_id, o.order_id, o.user_id, cast(o.total_amount as double), o.payment_mode, per2.st,
+  coalesce(per2.tx, per2.first_tx), per2.paid_after, null, null, null
 from per2 join f_orders o on o.order_id = per2.order_id
 where per2.order_id not in (select order_id from f_payments)
 """))
@@ -141,13 +141,29 @@ def _c3(t):
     return changes.apply_status_changes(t["orders"], changes.bulk_status_changes(ids, "delivered")).snapshot
 
 
+@register("bulk_delete_orders_orders", sql("orders")(f"select * {dbl('total_amount')} from f_orders where status <> 'cancelled'"))
+def _c4_orders(t):
+    return _c4_tables(t)[0]
+
+
+@register("bulk_delete_orders_payments", sql("orders", "payments")(f"""
+select * {dbl('amount')} from f_payments where order_id not in (select order_id from f_orders where status = 'cancelled')
+"""))
+def _c4_payments(t):
+    return _c4_tables(t)[2]
+
+
+def _c4_tables(t):
+    ids = t["orders"].where(F.col("status") == "cancelled").select("order_id")
+    return changes.bulk_delete_orders(t["orders"], t["order_items"], t["payments"], ids)
+
+
 @register("bulk_delete_orders", sql("orders", "order_items")(f"""
 select * {dbl('price', 'total')} from f_order_items
 where order_id not in (select order_id from f_orders where status = 'cancelled')
 """))
 def _c4(t):
-    ids = t["orders"].where(F.col("status") == "cancelled").select("order_id")
-    return changes.bulk_delete_orders(t["orders"], t["order_items"], t["payments"], ids)[1]
+    return _c4_tables(t)[1]
 
 
 @register("order_documents", None)
@@ -211,7 +227,26 @@ select item_type category, count(*) order_count, cast(sum(total) as double) tota
 from f_order_items group by item_type
 """))
 def _k4(t):
-    return exports.statistics_sections(t["orders"], t["order_items"], t["payments"], "week", AS_OF)["categories"]
+    return _k4_section(t, "categories")
+
+
+def _k4_section(t, name):
+    return exports.statistics_sections(t["orders"], t["order_items"], t["payments"], "month", AS_OF)[name]
+
+
+@register("export_statistics_kpis", REGISTRY["period_kpis_month"].oracle)
+def _k4_kpis(t):
+    return _k4_section(t, "kpis")
+
+
+@register("export_statistics_daily", REGISTRY["daily_sales"].oracle)
+def _k4_daily(t):
+    return _k4_section(t, "daily")
+
+
+@register("export_statistics_payments", REGISTRY["payment_methods"].oracle)
+def _k4_payments(t):
+    return _k4_section(t, "payment_methods")
 
 
 @register("activity_log", sql("orders")("""

@@ -35,8 +35,13 @@ def _o4(t):
     return catalog.items_listing(catalog.all_items(t["services"], t["menu"], t["order_items"]))
 
 
-@register("all_items", _items_sql(("menu",)))
+@register("all_items", _items_sql(("service", "menu")))
 def _u2(t):
+    return catalog.all_items(t["services"], t["menu"], t["order_items"])
+
+
+@register("menu_items", _items_sql(("menu",)))
+def _u2_menu(t):
     return catalog.all_items(t["services"], t["menu"], t["order_items"], item_type="menu")
 
 
@@ -70,28 +75,25 @@ def _money_sql(x: str) -> str:
     return f"case when {x} is null then '₹0.00' else '₹' || format('{{:,.2f}}', {x}) end"
 
 
-@register("item_display", sql("services")(f"""
+@register("item_display", sql("services", "menu")(f"""
 select * {_dbl(_MONEY3)}, {_money_sql('price')} price_formatted, {_money_sql('final_price')} final_price_formatted,
   case when coalesce(discount, 0) <> 0 then {_money_sql('discount')} end discount_formatted
-from f_services
+from (select *, 'service' item_type from f_services union all select *, 'menu' from f_menu)
 """))
 def _p10(t):
-    return catalog.item_display(t["services"])
+    return catalog.item_display(catalog.both_lists(t["services"], t["menu"]))
 
 
 @register("order_items_photo", sql("order_items", "services", "menu")("""
-with j as (
-  select oi.*, case when oi.item_type = 'service' then s.photo when oi.item_type = 'menu' then m.photo
-                    else oi.item_photo end item_photo_catalog
-  from f_order_items oi
-  left join f_services s on oi.item_type = 'service' and oi.item_id = s.id
-  left join f_menu m on oi.item_type = 'menu' and oi.item_id = m.id)
-select * replace (cast(price as double) as price, cast(total as double) as total),
-  coalesce(case when item_photo <> '' then item_photo end,
-           case when item_photo_catalog <> '' then item_photo_catalog end,
-           case when item_type = 'service'
-                then 'https://res.cloudinary.com/demo/image/upload/v1633427556/sample_service.jpg'
-                else 'https://res.cloudinary.com/demo/image/upload/v1633427556/sample_food.jpg' end) photo_url
+with cat as (
+  select 'service' kind, id, photo, 'sample_service' fallback from f_services
+  union all select 'menu', id, photo, 'sample_food' from f_menu),
+j as (
+  select oi.*, coalesce(cat.photo, case when oi.item_type not in ('service', 'menu') then oi.item_photo end) item_photo_catalog,
+    'https://res.cloudinary.com/demo/image/upload/v1633427556/' || case oi.item_type when 'service' then 'sample_service' else 'sample_food' end || '.jpg' standard
+  from f_order_items oi left join cat on oi.item_type = cat.kind and oi.item_id = cat.id)
+select * exclude (standard) replace (cast(price as double) as price, cast(total as double) as total),
+  coalesce(nullif(item_photo, ''), nullif(item_photo_catalog, ''), standard) photo_url
 from j
 """))
 def _p8(t):
@@ -174,6 +176,12 @@ def _p4(t):
     return display.explode_order_items(t["orders"])
 
 
+def _truncate_sql(x: str, n: int) -> str:
+    head = f"left({x}, {n - 3})"
+    return (f"case when {x} is null then '' when length({x}) <= {n + 5} then {x} "
+            f"else regexp_replace({head}, ' [^ ]*$', '') || '...' end")
+
+
 @register("customer_display", sql("users", "orders")(f"""
 with j7 as (
   select u.*, coalesce(o.n, 0) total_orders, coalesce(o.spent, 0.0) total_spent
@@ -184,8 +192,9 @@ select *, {_ist_text('created_at')} created_at_formatted, {_ist_text('last_login
   case when starts_with(profile_pic, 'http') then profile_pic
        else '{display.DEFAULT_AVATAR}' end avatar_url,
   coalesce(total_spent / nullif(total_orders, 0), 0.0) avg_per_order,
-  case when email is null or email = '' then '' when length(email) <= 20 then email
-       else left(email, 20) || '...' end email_short,
+  case when total_orders > 0 then 'Avg: ₹' || cast(round(cast(total_spent as decimal(28,2)) / total_orders) as bigint) else 'No orders' end avg_text,
+  {_truncate_sql('email', 20)} email_short, {_truncate_sql('location', 15)} location_short,
+  case when last_login is null then 'Never' else {_ist_text('last_login')} end last_login_shown,
   {_money_sql('total_spent')} total_spent_formatted
 from j7
 """))
@@ -209,17 +218,20 @@ def _p11(t):
 
 
 @register("payment_display", sql("orders", "payments")(f"""
-select o.order_id, p.payment_id, upper(coalesce(p.payment_status, 'pending')) status_shown,
-  {_indian_sql('o.total_amount')} amount_formatted,
-  coalesce(p.payment_mode, 'N/A') mode_shown, coalesce(p.transaction_id, '') transaction_shown,
-  {_ist_text('p.payment_date')} payment_date_formatted, cast(null as varchar) signature_short
+select o.order_id, p.payment_id, upper(coalesce(nullif(p.payment_status, ''), 'pending')) status_shown,
+  {_money_sql('o.total_amount')} amount_formatted,
+  coalesce(nullif(p.payment_mode, ''), 'N/A') mode_shown, coalesce(p.transaction_id, '') transaction_shown,
+  {_ist_text('p.payment_date')} payment_date_formatted,
+  nullif(p.razorpay_order_id, '') razorpay_order_shown, nullif(p.razorpay_payment_id, '') razorpay_payment_shown,
+  case when p.razorpay_signature <> '' then left(p.razorpay_signature, 50) || '...' end signature_short
 from f_orders o left join f_payments p on o.order_id = p.order_id
 """))
 def _p12(t):
     return display.payment_display(t["orders"], t["payments"])
 
 
-_NUM = r"^\s*[+-]?((\d+(_\d+)*)?\.?\d+(_\d+)*([eE][+-]?\d+)?|\d+\.|inf|infinity|nan)\s*$"
+_DIGITS = "[0-9](_?[0-9])*"
+_NUM = rf"^\s*[-+]?(({_DIGITS}([.]({_DIGITS})?)?|[.]{_DIGITS})(e[-+]?{_DIGITS})?|inf(inity)?|nan)\s*$"
 
 
 def _num_sql(p: str) -> str:
@@ -255,10 +267,10 @@ def _depots(t):
 
 
 def _hav_sql(a1: str, o1: str, a2: str, o2: str) -> str:
-    return (f"round(2 * 6371.0 * atan2(sqrt(sin(radians({a2} - {a1}) / 2) * sin(radians({a2} - {a1}) / 2) + "
+    return (f"(2 * 6371.0 * atan2(sqrt(sin(radians({a2} - {a1}) / 2) * sin(radians({a2} - {a1}) / 2) + "
             f"cos(radians({a1})) * cos(radians({a2})) * sin(radians({o2} - {o1}) / 2) * sin(radians({o2} - {o1}) / 2)), "
             f"sqrt(1 - (sin(radians({a2} - {a1}) / 2) * sin(radians({a2} - {a1}) / 2) + "
-            f"cos(radians({a1})) * cos(radians({a2})) * sin(radians({o2} - {o1}) / 2) * sin(radians({o2} - {o1}) / 2)))), 2)")
+            f"cos(radians({a1})) * cos(radians({a2})) * sin(radians({o2} - {o1}) / 2) * sin(radians({o2} - {o1}) / 2)))))")
 
 
 _VALID = "{a} is not null and {o} is not null and {a} between -90 and 90 and {o} between -180 and 180"
@@ -271,7 +283,7 @@ with d as (
 c as (
   select a.address_id, d.depot_id, {_hav_sql('a.latitude', 'a.longitude', 'd.lat', 'd.lon')} km
   from f_addresses a, d where {_VALID.format(a='a.latitude', o='a.longitude')}),
-b as (select address_id, arg_min(depot_id, (km, depot_id)) depot_id, min(km) distance from c group by address_id)
+b as (select address_id, arg_min(depot_id, (km, depot_id)) depot_id, round(min(km), 2) distance from c group by address_id)
 select a.address_id, a.user_id, a.latitude, a.longitude, b.depot_id, b.distance
 from f_addresses a left join b on a.address_id = b.address_id
 """))

@@ -56,7 +56,8 @@ def _j2_all(t):
 @register("order_payment_detail", sql("orders", "payments")("""
 select o.order_id, o.user_id, o.user_name, o.user_phone, o.user_email, cast(o.total_amount as double) total_amount, o.delivery_location,
   o.status, o.items, o.order_date, o.delivery_date, o.notes,
-  p.payment_id, p.payment_status, p.payment_mode, p.transaction_id, p.payment_date, cast(p.amount as double) amount
+  p.payment_id, p.payment_status, p.payment_mode, p.transaction_id, p.payment_date, cast(p.amount as double) amount,
+  p.razorpay_order_id, p.razorpay_payment_id, p.razorpay_signature
 from f_orders o left join f_payments p on o.order_id = p.order_id
 """))
 def _j3(t):
@@ -64,11 +65,10 @@ def _j3(t):
 
 
 @register("order_lines_with_catalog", sql("order_items", "services", "menu")("""
-select oi.*, case when oi.item_type = 'service' then s.photo when oi.item_type = 'menu' then m.photo
-                  else oi.item_photo end item_photo_catalog
+with cat as (select 'service' kind, id, photo from f_services union all select 'menu', id, photo from f_menu)
+select oi.*, coalesce(cat.photo, case when oi.item_type not in ('service', 'menu') then oi.item_photo end) item_photo_catalog
 from (select * replace (cast(price as double) as price, cast(total as double) as total) from f_order_items) oi
-left join f_services s on oi.item_type = 'service' and oi.item_id = s.id
-left join f_menu m on oi.item_type = 'menu' and oi.item_id = m.id
+left join cat on oi.item_type = cat.kind and oi.item_id = cat.id
 """))
 def _j4(t):
     return listings.order_lines_with_catalog(t["order_items"], t["services"], t["menu"])
@@ -177,22 +177,19 @@ def _t2(t):
 @register("orders_page", sql("orders", "order_items", "payments")(
     "with " + _j2() + f" select * {dbl('total_amount')} from j2 order by {_LISTING_SORT} limit 20"))
 def _o1(t):
-    return listings.orders_page(listings.orders_listing(t["orders"], t["order_items"], t["payments"]), 1)
+    return listings.orders_page(t["orders"], t["order_items"], t["payments"], 1)
 
 
 @register("orders_page_filtered", sql("orders", "order_items", "payments")(
     "with " + _j2(_FILTER) + f" select * {dbl('total_amount')} from j2 order by {_LISTING_SORT} limit 20 offset 20"))
 def _o1b(t):
-    listing = listings.orders_listing(t["orders"], t["order_items"], t["payments"],
-                                      status=STATUS, start=UTC_FROM, end=UTC_TO)
-    return listings.orders_page(listing, 2)
+    return listings.orders_page(t["orders"], t["order_items"], t["payments"], 2, status=STATUS, start=UTC_FROM, end=UTC_TO)
 
 
 @register("orders_page_search", sql("orders", "order_items", "payments")(
     "with " + _j2(_SEARCH) + f" select * {dbl('total_amount')} from j2 order by {_LISTING_SORT} limit 20"))
 def _o1c(t):
-    listing = listings.orders_listing(t["orders"], t["order_items"], t["payments"], search=ORDER_SEARCH)
-    return listings.orders_page(listing, 1)
+    return listings.orders_page(t["orders"], t["order_items"], t["payments"], 1, search=ORDER_SEARCH)
 
 
 @register("orders_page_count", sql("orders", "order_items", "payments")(
@@ -207,20 +204,19 @@ def _o1d(t):
     "with " + _j2() + f", pg as (select * from j2 order by {_LISTING_SORT} limit 20) "
     "select cast(coalesce(sum(total_amount), 0) as double) page_revenue from pg"))
 def _a15(t):
-    page = listings.orders_page(listings.orders_listing(t["orders"], t["order_items"], t["payments"]), 1)
-    return kpis.page_revenue(page)
+    return kpis.page_revenue(listings.orders_page(t["orders"], t["order_items"], t["payments"], 1))
 
 
 @register("customers_page", sql("users", "orders")(
     "with " + _J7 + f" select * from j7 where {_CSEARCH} order by created_at desc nulls first, id limit 20"))
 def _o2(t):
-    return listings.customers_page(listings.customers_listing(t["users"], t["orders"], CUSTOMER_SEARCH), 1)
+    return listings.customers_page(t["users"], t["orders"], 1, search=CUSTOMER_SEARCH)
 
 
 @register("customers_sorted", sql("users", "orders")(
     "with " + _J7 + " select * from j7 order by total_spent desc nulls first, id limit 20 offset 40"))
 def _o3(t):
-    return listings.customers_page(listings.customers_listing(t["users"], t["orders"]), 3, "most_spent")
+    return listings.customers_page(t["users"], t["orders"], 3, "most_spent")
 
 
 @register("customer_recent_orders", sql("orders")("""

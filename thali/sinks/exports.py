@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thali.functions.temporal import TRAILING_DAYS
 from thali.operators import kpis, listings
 
 
@@ -54,9 +55,10 @@ def export_customers(users: DataFrame, orders: DataFrame, path: str, search: str
 
 def statistics_sections(orders: DataFrame, order_items: DataFrame, payments: DataFrame, period: str,
                         as_of: date, start: date | None = None, end: date | None = None) -> dict[str, DataFrame]:
-    """K4 sections: KPIs, daily, category and payment-method frames."""
+    """K4 sections: KPIs and daily rows of the period (a trailing window's own
+    days, else 7), category and payment-method frames."""
     daily = (kpis.daily_sales(orders, start=start, end=end, as_of=as_of)
-             if period == "custom" and start and end else kpis.daily_sales(orders, days=7, as_of=as_of))
+             if period == "custom" and start and end else kpis.daily_sales(orders, days=TRAILING_DAYS.get(period, 7), as_of=as_of))
     return {
         "kpis": kpis.period_kpis(orders, period, as_of, start, end),
         "daily": daily,

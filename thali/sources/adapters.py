@@ -2,7 +2,7 @@
 
 One SQL text per table serves both Spark and the DuckDB oracle, so the
 operator under test is the only thing written twice.  ``${name}`` marks an
-input table and three macros cover the dialect differences:
+input table and four macros cover the dialect differences:
 
 =========  ==========================================  =====================
 macro      Spark                                       DuckDB
@@ -10,8 +10,12 @@ macro      Spark                                       DuckDB
 TS('x')    timestamp_ntz'x'                            timestamp 'x'
 MIN[e]     make_dt_interval(0,0,cast(e as int),0)      to_minutes(e)
 DAY[e]     make_dt_interval(cast(e as int),0,0,0)      to_days(cast(e as int))
+EACH[..]   lateral view explode(array(..)) z as k      , unnest([..]) z(k)
 =========  ==========================================  =====================
 
+Names and item texts come by a left join to a side that is grouped by its key,
+so the optimiser drops the join where a query does not read them.
+
 In Spark the text runs through ``spark.sql(text, name=DataFrame)``, so no
 temporary view is registered and every input is a lazily planned frame.
 """
@@ -46,7 +50,7 @@ select o_orderkey order_id, o_custkey user_id, c_name user_name,
   o_orderdate+MIN[(o_orderkey*37)%1440] order_date,
   case when substr(o_orderpriority,1,1)='5' then o_orderdate+MIN[(o_orderkey*37)%1440]+DAY[2] end delivery_date,
   cast(null as varchar(9)) notes
-from ${orders} join ${customer} on o_custkey=c_custkey
+from ${orders} left join (select c_custkey, min(c_name) c_name from ${customer} group by c_custkey) c on o_custkey=c_custkey
 """,
     "order_items": """
 select l_orderkey order_id, l_linenumber line_no,
@@ -56,14 +60,17 @@ select l_orderkey order_id, l_linenumber line_no,
   cast(l_quantity as int) quantity,
   cast(floor(l_extendedprice/l_quantity) as decimal(18,2)) price,
   cast(l_extendedprice as decimal(18,2)) total
-from ${lineitem} join ${part} on l_partkey=p_partkey
+from ${lineitem} left join (select p_partkey, min(p_name) p_name from ${part} group by p_partkey) p on l_partkey=p_partkey
 """,
     "payments": """
 select order_id*10+k payment_id, order_id, user_id, total_amount amount, payment_mode,
   case when k=2 then 'refunded' else case order_id%4 when 0 then 'pending' when 3 then 'failed' else 'completed' end end payment_status,
   case when order_id%3=0 then concat('tx',cast(order_id as varchar(20))) end transaction_id,
-  case when k<2 and order_id%4 in (1,2) then order_date end payment_date
-from ${f_orders}, (select 0 k union all select 1 k union all select 2 k) z
+  case when k<2 and order_id%4 in (1,2) then order_date end payment_date,
+  case when order_id%6=0 then concat('order_',cast(order_id as varchar(20))) when order_id%6=1 then '' end razorpay_order_id,
+  case when order_id%6=0 then concat('pay_',cast(order_id as varchar(20))) end razorpay_payment_id,
+  case order_id%6 when 0 then repeat(concat('s',cast(order_id as varchar(20))),12) when 1 then '' when 2 then concat('sig',cast(order_id as varchar(20))) end razorpay_signature
+from ${f_orders} EACH[0,1,2]
 where order_id%10<>0 and (k=0 or (k=1 and order_id%70=3) or (k=2 and order_id%50=1))
 """,
     "addresses": """
@@ -75,7 +82,7 @@ select c_custkey*2+k address_id, c_custkey user_id, k=0 is_default,
   case when c_custkey%6=0 then null else cast(400000+c_custkey%999 as varchar(9)) end pincode,
   case when c_custkey%13=0 then null when c_custkey%17=0 then 95.0 when c_custkey%19=0 then 0.0 else cast(cast(8.0+((c_custkey*7919+k*101)%2900)/100.0 as decimal(10,2)) as double) end latitude,
   cast(cast(68.0+((c_custkey*104729+k*211)%2900)/100.0 as decimal(10,2)) as double) longitude
-from ${customer}, (select 0 k union all select 1 k) z
+from ${customer} EACH[0,1]
 where (k=0 and c_custkey%10<>9) or (k=1 and c_custkey%2=0)
 """,
     "services": """
@@ -112,11 +119,13 @@ _MACROS = {
         "TS": lambda a: f"timestamp_ntz{a}",
         "MIN": lambda e: f"make_dt_interval(0,0,cast({e} as int),0)",
         "DAY": lambda e: f"make_dt_interval(cast({e} as int),0,0,0)",
+        "EACH": lambda e: f"lateral view explode(array({e})) z as k",
     },
     "duckdb": {
         "TS": lambda a: f"timestamp {a}",
         "MIN": lambda e: f"to_minutes({e})",
         "DAY": lambda e: f"to_days(cast({e} as int))",
+        "EACH": lambda e: f", unnest([{e}]) z(k)",
     },
 }
 
@@ -133,6 +142,7 @@ def render(name: str, dialect: str) -> str:
     text = re.sub(r"TS\(('[^']*')\)", lambda m: macros["TS"](m.group(1)), text)
     text = re.sub(r"MIN\[([^\]]*)\]", lambda m: macros["MIN"](m.group(1)), text)
     text = re.sub(r"DAY\[([^\]]*)\]", lambda m: macros["DAY"](m.group(1)), text)
+    text = re.sub(r"EACH\[([^\]]*)\]", lambda m: macros["EACH"](m.group(1)), text)
     if dialect == "spark":
         text = text.replace("{", "{{").replace("}", "}}")
         return re.sub(r"\$\{\{(\w+)\}\}", r"{\1}", text)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thali.functions.temporal import ntz
 from thali.sources.adapters import ADAPTER_INPUTS, render
 
 BUSINESS_TABLES = ("users", "orders", "order_items", "payments", "addresses", "services", "menu")
@@ -44,6 +47,16 @@ def load_table(spark: SparkSession, path: str, name: str,
     return df
 
 
+def orders_between(spark: SparkSession, path: str, start: date, end: date) -> DataFrame:
+    """Orders whose raw date allows an ``order_date`` in ``[start, end]`` (UTC
+    or IST days): a coarse range on the stored column, which reaches the scan.
+    Callers still apply their exact predicate."""
+    raw = read_raw(spark, path, "orders")
+    lo, hi = start - timedelta(days=2), end + timedelta(days=2)
+    near = raw.where((F.col("o_orderdate") >= ntz(lo)) & (F.col("o_orderdate") < ntz(hi)))
+    return spark.sql(render("orders", "spark"), orders=near, customer=read_raw(spark, path, "customer"))
+
+
 def load_tables(spark: SparkSession, path: str,
                 names: tuple[str, ...] = BUSINESS_TABLES) -> dict[str, DataFrame]:
     """The business tables as lazy frames keyed by name.
