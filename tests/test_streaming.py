@@ -1,11 +1,14 @@
-"""Streams end in the state the batch form computes."""
+"""Streams end in the state the batch form computes, also across a restart and
+under a session zone with daylight saving (SURVEY §5, invariants)."""
 
 import os
-from datetime import timedelta
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from thali.session import checkpoint_dir
 from thali.sources.tables import load_tables, read_raw
 from thali.streaming import live
 
@@ -14,29 +17,37 @@ def _rows(df, key):
     return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple(str(x) for x in r[:key]))
 
 
-def test_live_counters_stream_equals_batch(spark, scratch):
+def _drain(query):
+    query.processAllAvailable()
+    query.stop()
+
+
+@pytest.fixture(params=["UTC", "America/Los_Angeles"])
+def zone(spark, request):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_live_counters_resume_without_loss_or_repeat(spark, scratch, zone):
     orders = load_tables(spark, SF_SMALL, ("orders",))["orders"]
-    src = os.path.join(scratch, "orders")
-    orders.repartition(3).write.parquet(src)
-    q = live.start_live_counters(spark, src, orders.schema, name="t_live",
-                                 checkpoint=os.path.join(scratch, "ck1"))
-    q.processAllAvailable()
-    q.stop()
-    got = spark.sql("select * from t_live")
-    want = live.live_counters(orders)
-    assert _rows(got, 1) == _rows(want, 1)
+    src, out, ck = (os.path.join(scratch, x) for x in ("orders", "out", "ck"))
+    cut = F.lit("1998-06-01 12:00:00").cast("timestamp_ntz")
+    for part in (0, 1):  # the later orders arrive after the query was stopped
+        orders.where((F.col("order_date") >= cut).cast("int") == part).write.parquet(os.path.join(src, f"p{part}"))
+        _drain(live.start_live_counters(spark, src + "/*", orders.schema, out, name="t_live", checkpoint=ck))
+    _drain(live.start_live_counters(spark, src + "/*", orders.schema, out, name="t_live", checkpoint=ck))
+    assert _rows(live.latest(spark, out, ["day"]), 1) == _rows(live.live_counters(orders), 1)
 
 
 def test_update_counts_append_closed_windows(spark, scratch):
     events = read_raw(spark, SF_SMALL, "events")
-    src = os.path.join(scratch, "events")
+    src, out = os.path.join(scratch, "events"), os.path.join(scratch, "out")
     events.write.parquet(src)
-    q = live.start_update_counts(spark, src, events.schema, name="t_upd", checkpoint=os.path.join(scratch, "ck2"))
-    q.processAllAvailable()
-    q.stop()
-    got = _rows(spark.sql("select * from t_upd"), 1)
-    last = events.agg(F.max("ts")).first()[0]
-    cutoff = last - timedelta(hours=1)
+    _drain(live.start_update_counts(spark, src, events.schema, out, name="t_upd", checkpoint=os.path.join(scratch, "ck"), trigger=None))
+    got = _rows(spark.read.parquet(out).drop("batch"), 1)
+    cutoff = events.agg(F.max("ts")).first()[0] - timedelta(hours=1)
     want = [r for r in _rows(live.update_counts(events), 1) if r[0] + timedelta(seconds=30) <= cutoff]
     assert got == want and len(got) > 0
 
@@ -45,19 +56,47 @@ def test_map_view_counts_with_repeat_and_late(spark, scratch):
     t = load_tables(spark, SF_SMALL, ("addresses",))
     events = read_raw(spark, SF_SMALL, "events")
     views = live.map_view_events(events, t["addresses"])
-    src = os.path.join(scratch, "views")
+    src, out, ck = (os.path.join(scratch, x) for x in ("views", "out", "ck"))
     views.coalesce(1).write.json(os.path.join(src, "a"))
-    q = live.start_map_view_counts(spark, os.path.join(src, "*"), name="t_map",
-                                   checkpoint=os.path.join(scratch, "ck3"))
+    q = live.start_map_view_counts(spark, os.path.join(src, "*"), out, name="t_map", checkpoint=ck)
     q.processAllAvailable()
     # a repeated event inside the watermark (counted twice: events carry no id)
     recent = (events.agg(F.max("ts")).first()[0] - timedelta(minutes=10)).strftime("%Y-%m-%dT%H:%M:%S.000Z")
     first = spark.createDataFrame([("1.5", "2.5", "X", recent, "ua", "r")] * 2, live.MAP_VIEW_SCHEMA)
     late = spark.createDataFrame([("1.5", "2.5", "X", "2020-01-01T00:00:00.000Z", "ua", "r")], live.MAP_VIEW_SCHEMA)
     first.unionByName(late).coalesce(1).write.json(os.path.join(src, "b"))
-    q.processAllAvailable()
-    q.stop()
-    got = spark.sql("select * from t_map")
-    final = got.groupBy("hour_start", "latitude", "longitude").agg(F.max("views").alias("views"))
+    _drain(q)
+    keys = ["hour_start", "latitude", "longitude"]
     want = live.map_view_counts(views.unionByName(first))
-    assert _rows(final, 3) == _rows(want, 3)
+    assert _rows(live.latest(spark, out, keys).select(*want.columns), 3) == _rows(want, 3)
+
+
+TIMES = [datetime(2024, 11, 3, 8, 30), datetime(2024, 11, 3, 9, 30), datetime(2024, 3, 10, 2, 30, 0, 123000), datetime(2024, 3, 10, 9, 59, 59, 999999)]
+
+
+def test_instants_and_texts_do_not_depend_on_the_zone(spark, zone):
+    df = spark.createDataFrame([(t,) for t in TIMES], "ts timestamp_ntz")
+    got = df.select("ts", F.unix_micros(live.to_instant("ts")).alias("us"), live.to_utc_ntz(live.to_instant("ts")).alias("back"),
+                    live._iso_text(F.col("ts")).alias("text")).collect()
+    for r in got:
+        assert r["us"] == (r["ts"] - datetime(1970, 1, 1)) // timedelta(microseconds=1) and r["back"] == r["ts"]
+        assert r["text"] == r["ts"].isoformat(timespec="milliseconds") + "Z"
+
+
+def test_update_counts_keep_the_hours_of_an_autumn_change_apart(spark, zone):
+    rows = [(1, TIMES[0]), (2, TIMES[1]), (3, TIMES[1]), (3, TIMES[0])]  # event 3 twice, earliest last
+    for order in (rows, rows[::-1]):
+        events = spark.createDataFrame([(i, t, "purchase") for i, t in order], "event_id long, ts timestamp_ntz, event_type string")
+        assert _rows(live.update_counts(events), 1) == [(TIMES[0], 2), (TIMES[1], 1)]
+
+
+def test_a_session_without_a_shared_folder_is_refused():
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Bare)

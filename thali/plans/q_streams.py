@@ -20,9 +20,10 @@ def _x1(t):
 
 
 @register("update_counts", """
+with first as (select event_id, min(ts) ts from events where event_type = 'purchase' and ts is not null group by event_id)
 select timestamp '1970-01-01 00:00:00' + to_seconds(cast(floor(epoch(ts) / 30) * 30 as bigint)) window_start,
-  count(distinct event_id) new_orders
-from events where event_type = 'purchase' and ts is not null group by 1
+  count(*) new_orders
+from first group by 1
 """)
 def _x2(t):
     return live.update_counts(t.raw("events"))

@@ -6,8 +6,6 @@ anything set here except what they read back from ``spark.conf``.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -34,20 +32,18 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets this to a shared filesystem; it is only filled in here
-    when unset (local runs and tests), with a fresh scratch folder.
+    A cluster sets it to a filesystem that all executors and the next driver
+    see; without it stream offsets and state would be lost with this machine,
+    so a session that names none is refused.
     """
     sc = spark.sparkContext
-    current = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="thali-ckpt-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return named

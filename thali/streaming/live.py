@@ -7,17 +7,22 @@ in the shared folder (``spark.checkpoint.dir``), so a restarted query
 resumes from its offsets and state after executor or driver loss.
 
 Event time: stored values are UTC ``TIMESTAMP_NTZ``; watermarks need
-``TIMESTAMP``, so ``to_instant`` shifts the UTC wall clock into the session
-zone before the cast -- correct under any session time zone.  Late data:
-dropped after a one hour watermark.
+``TIMESTAMP``, so ``to_instant`` counts microseconds from the wall-clock
+fields.  No step goes through local time, so both hours of an autumn DST
+change stay apart under any session time zone.  Late data: dropped after a one
+hour watermark.
+
+Results are durable: every micro-batch is written by ``foreachBatch`` to its
+own folder ``batch=N``, overwritten if the batch runs again, so a restart from
+the checkpoint loses and repeats nothing.  ``latest`` reads the newest row of
+each key.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from thali.functions.numbers import money_sum
 from thali.session import checkpoint_dir
@@ -33,18 +38,23 @@ MAP_VIEW_SCHEMA = ("latitude string, longitude string, address string, timestamp
                    "userAgent string, referrer string")
 
 
-def _zone(df: DataFrame) -> str:
-    return df.sparkSession.conf.get("spark.sql.session.timeZone")
+_DAY = 86_400_000_000
 
 
-def to_instant(df: DataFrame, col: str) -> Column:
-    """UTC ``TIMESTAMP_NTZ`` -> ``TIMESTAMP`` (the same instant), zone-safe."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(_zone(df)), F.col(col)).cast("timestamp")
+def to_instant(col: Column | str) -> Column:
+    """UTC ``TIMESTAMP_NTZ`` -> ``TIMESTAMP`` (the same instant)."""
+    c = F.col(col) if isinstance(col, str) else col
+    seconds = F.extract(F.lit("SECOND"), c)
+    clock = (F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * 1_000_000 + (seconds * 1_000_000).cast("long")
+    return F.timestamp_micros(F.unix_date(c.cast("date")).cast("long") * _DAY + clock)
 
 
-def to_utc_ntz(df: DataFrame, col: Column) -> Column:
-    """``TIMESTAMP`` -> UTC wall clock as ``TIMESTAMP_NTZ`` (zone-safe output)."""
-    return F.convert_timezone(F.lit(_zone(df)), F.lit("UTC"), col.cast("timestamp_ntz"))
+def to_utc_ntz(col: Column) -> Column:
+    """``TIMESTAMP`` -> its UTC wall clock as ``TIMESTAMP_NTZ``."""
+    micros = F.unix_micros(col)
+    days = F.floor(micros / _DAY).cast("int")
+    seconds = ((micros - days.cast("long") * _DAY).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(days, F.lit(0), F.lit(0), seconds)
 
 
 def _watermarked(df: DataFrame, col: str) -> DataFrame:
@@ -54,7 +64,7 @@ def _watermarked(df: DataFrame, col: str) -> DataFrame:
 def live_counters(orders: DataFrame) -> DataFrame:
     """Orders and non-cancelled revenue per IST day (tumbling 1-day
     windows offset to 18:30 UTC)."""
-    ev = _watermarked(orders.select(to_instant(orders, "order_date").alias("et"), "status", "total_amount")
+    ev = _watermarked(orders.select(to_instant("order_date").alias("et"), "status", "total_amount")
                       .where(F.col("et").isNotNull()), "et")
     nc = F.col("status") != "cancelled"
     agg = ev.groupBy(F.window("et", "1 day", "1 day", IST_DAY_OFFSET).alias("w")).agg(
@@ -66,16 +76,26 @@ def live_counters(orders: DataFrame) -> DataFrame:
 
 
 def update_counts(events: DataFrame) -> DataFrame:
-    """New order (purchase) events per 30-second poll window, each
-    event id counted once."""
+    """New order (purchase) events per 30-second poll window, each event
+    id counted once, at its earliest time (a stream, which cannot take an event
+    back, counts it at its first arrival)."""
     ev = (events.where(F.col("event_type") == "purchase")
-          .select("event_id", to_instant(events, "ts").alias("et")))
+          .select("event_id", to_instant("ts").alias("et")).where(F.col("et").isNotNull()))
     if ev.isStreaming:
         ev = ev.withWatermark("et", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
     else:
-        ev = ev.dropDuplicates(["event_id"])
+        ev = ev.groupBy("event_id").agg(F.min("et").alias("et"))
     agg = ev.groupBy(F.window("et", POLL).alias("w")).agg(F.count(F.lit(1)).alias("new_orders"))
-    return agg.select(to_utc_ntz(events, F.col("w.start")).alias("window_start"), "new_orders")
+    return agg.select(to_utc_ntz(F.col("w.start")).alias("window_start"), "new_orders")
+
+
+def _iso_text(c: Column) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss.SSSZ`` from the wall-clock fields (``date_format``
+    would move times in the session zone's DST gap)."""
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    millis = F.floor(F.extract(F.lit("SECOND"), c) * 1000).cast("int") % 1000
+    return F.concat(c.cast("date").cast("string"), F.lit("T"), two(F.hour(c)), F.lit(":"), two(F.minute(c)), F.lit(":"),
+                    two(F.second(c)), F.lit("."), F.lpad(millis.cast("string"), 3, "0"), F.lit("Z"))
 
 
 def map_view_events(events: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -89,7 +109,7 @@ def map_view_events(events: DataFrame, addresses: DataFrame) -> DataFrame:
         F.col("latitude").cast("string").alias("latitude"),
         F.col("longitude").cast("string").alias("longitude"),
         "address",
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
+        _iso_text(F.col("ts")).alias("timestamp"),
         F.lit("Mozilla/5.0").alias("userAgent"), F.lit("/orders").alias("referrer"))
 
 
@@ -100,39 +120,50 @@ def map_view_counts(views: DataFrame) -> DataFrame:
     ev = views.select(F.col("latitude").try_cast("double").alias("lat"),
                       F.col("longitude").try_cast("double").alias("lon"),
                       ntz.alias("_ntz"))
-    ev = ev.select("lat", "lon", to_instant(ev, "_ntz").alias("et")).where(F.col("et").isNotNull())
+    ev = ev.select("lat", "lon", to_instant("_ntz").alias("et")).where(F.col("et").isNotNull())
     ev = _watermarked(ev, "et")
     agg = ev.groupBy(F.window("et", MAP_BUCKET).alias("w"), "lat", "lon").agg(F.count(F.lit(1)).alias("views"))
-    return agg.select(to_utc_ntz(views, F.col("w.start")).alias("hour_start"),
+    return agg.select(to_utc_ntz(F.col("w.start")).alias("hour_start"),
                       F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "views")
 
 
 # --- stream wiring -------------------------------------------------------------
 
-def _checkpoint(spark: SparkSession, name: str, location: str | None) -> str:
-    return location or os.path.join(checkpoint_dir(spark), "streams", name)
+def _run(spark: SparkSession, out: DataFrame, name: str, path: str, mode: str, checkpoint: str | None,
+         trigger: str | None) -> StreamingQuery:
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
-
-def start_live_counters(spark: SparkSession, orders_dir: str, schema, sink: str = "memory",
-                        name: str = "live_counters", checkpoint: str | None = None, trigger: str | None = None):
-    """Run X1 over parquet files arriving in ``orders_dir`` (update mode)."""
-    src = spark.readStream.schema(schema).parquet(orders_dir)
-    w = live_counters(src).writeStream.outputMode("update").format(sink).queryName(name) \
-        .option("checkpointLocation", _checkpoint(spark, name, checkpoint))
+    place = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    w = out.writeStream.outputMode(mode).queryName(name).foreachBatch(keep).option("checkpointLocation", place)
     return (w.trigger(processingTime=trigger) if trigger else w).start()
 
 
-def start_update_counts(spark: SparkSession, events_dir: str, schema, sink: str = "memory",
-                        name: str = "update_counts", checkpoint: str | None = None):
-    """Run X2 over parquet event files (append mode: closed windows only)."""
-    src = spark.readStream.schema(schema).parquet(events_dir)
-    return (update_counts(src).writeStream.outputMode("append").format(sink).queryName(name)
-            .option("checkpointLocation", _checkpoint(spark, name, checkpoint)).start())
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key that a stream has written to ``path``."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return newest.select(*keys, "_v.*")
+
+
+def _source(spark: SparkSession, schema, kind: str, folder: str) -> DataFrame:
+    return spark.readStream.schema(schema).format(kind).load(folder)
+
+
+def start_live_counters(spark: SparkSession, orders_dir: str, schema, path: str, name: str = "live_counters",
+                        checkpoint: str | None = None, trigger: str | None = None) -> StreamingQuery:
+    """Run X1 over parquet files arriving in ``orders_dir``; changed days go to ``path``."""
+    return _run(spark, live_counters(_source(spark, schema, "parquet", orders_dir)), name, path, "update", checkpoint, trigger)
+
+
+def start_update_counts(spark: SparkSession, events_dir: str, schema, path: str, name: str = "update_counts",
+                        checkpoint: str | None = None, trigger: str | None = POLL) -> StreamingQuery:
+    """Run X2 over parquet event files; closed windows go to ``path``."""
+    return _run(spark, update_counts(_source(spark, schema, "parquet", events_dir)), name, path, "append", checkpoint, trigger)
 
 
-def start_map_view_counts(spark: SparkSession, json_dir: str, sink: str = "memory",
-                          name: str = "map_view_counts", checkpoint: str | None = None):
-    """Run X3 over posted JSON map-view events (update mode)."""
-    src = spark.readStream.schema(MAP_VIEW_SCHEMA).json(json_dir)
-    return (map_view_counts(src).writeStream.outputMode("update").format(sink).queryName(name)
-            .option("checkpointLocation", _checkpoint(spark, name, checkpoint)).start())
+def start_map_view_counts(spark: SparkSession, json_dir: str, path: str, name: str = "map_view_counts",
+                          checkpoint: str | None = None, trigger: str | None = None) -> StreamingQuery:
+    """Run X3 over posted JSON map-view events; changed hours go to ``path``."""
+    return _run(spark, map_view_counts(_source(spark, MAP_VIEW_SCHEMA, "json", json_dir)), name, path, "update", checkpoint, trigger)
