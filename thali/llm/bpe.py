@@ -23,15 +23,17 @@ import base64
 from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thali.llm.common import slices
+
 LEAF = 4096
 PIECE_LEAF = 32
 IDS_LEAF = 4096
-CACHED = 1_000_000
+CACHED = 250_000
 NONE = 1 << 40  # above any rank
 
 
@@ -166,13 +168,13 @@ def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     rest = [f for f in docs.schema.fields if f.name not in _OWN]
     schema = docs.select(*[docs[f.name] for f in rest]).withColumn("ids", F.lit(b"")).schema
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = make()
-        for f in frames:
-            ids = [codec.encode(t) if t else b"" for t in f.pop("text")]
-            yield f.assign(ids=ids)
+        for part in slices(batches):
+            ids = [codec.encode(t) if t else b"" for t in part.column(part.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], [*part.schema.names[:-1], "ids"])
 
-    return docs.select(*[docs[f.name] for f in rest], docs["text"]).mapInPandas(run, schema)
+    return docs.select(*[docs[f.name] for f in rest], docs["text"]).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -180,12 +182,13 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     make = _codec(encoded.sparkSession, rank_file, pattern)
     schema = encoded.withColumn("decoded", F.lit(b"")).schema
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = make()
-        for f in frames:
-            yield f.assign(decoded=[codec.decode(memoryview(x).cast("I").tolist()) for x in f["ids"]])
+        for part in slices(batches):
+            back = [codec.decode(memoryview(x).cast("I").tolist()) if x else b"" for x in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.binary())], [*part.schema.names, "decoded"])
 
-    return encoded.mapInPandas(run, schema)
+    return encoded.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:

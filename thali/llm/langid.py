@@ -19,10 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thali.llm.common import slices
+
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -30,10 +32,11 @@ EMBED = 4
 PAD = 256
 SAMPLE_ROWS = 500
 SAMPLE_CHARS = 512
+PARTS = 16
 STEPS, BATCH, RATE = 500, 96, 0.02
 #: Windows that go through the filters at once.
 AT_ONCE = 1024
-TEXTS_AT_ONCE = 500
+TEXTS_AT_ONCE = 256
 SEED = 7
 
 
@@ -52,8 +55,11 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS)
     mark = F.xxhash64("doc_id", "text")
     room = F.greatest(F.char_length("text") - chars, F.lit(0)) + 1
     known = known.select("lang", mark.alias("mark"), F.substr(F.col("text"), (F.pmod(mark, room) + 1).cast("int"), F.lit(chars)).alias("passage"))
-    first = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "passage"))).where(F.col("n") <= rows)
-    return sorted((r["lang"], r["passage"]) for r in first.select("lang", "passage").collect())
+    # the least of each part of a language, then of the language: at most PARTS * rows meet in a task
+    known = known.withColumn("part", F.pmod("mark", F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        known = known.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("mark", "passage"))).where(F.col("n") <= rows)
+    return sorted((r["lang"], r["passage"]) for r in known.select("lang", "passage").collect())
 
 
 def windows(data: bytes) -> np.ndarray:
@@ -153,16 +159,15 @@ def identify(docs: DataFrame) -> DataFrame:
     net = train(sample(docs))
     schema = docs.select("doc_id", held_out().alias("held_out"), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            lang, score = np.full(len(f), "und", dtype=object), np.zeros(len(f))
-            spell = np.nonzero(f["text"].notna().to_numpy())[0]
-            if net is not None and len(spell):
-                texts, names = f["text"].to_numpy(), np.array(net.labels, dtype=object)
-                for some in np.array_split(spell, -(-len(spell) // TEXTS_AT_ONCE)):
-                    best, score[some] = net.predict([texts[i].encode() for i in some])
-                    lang[some] = names[best]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": f["held_out"], "lang_pred": lang, "score": score})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, TEXTS_AT_ONCE):
+            texts = part.column(2).to_pylist()
+            spell = [i for i, t in enumerate(texts) if t is not None and net is not None]
+            lang, score = ["und"] * len(texts), [0.0] * len(texts)
+            for i, best, p in zip(spell, *(net.predict([texts[i].encode() for i in spell]) if spell else ((), ()))):
+                lang[i], score[i] = net.labels[best], float(p)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                             ["doc_id", "held_out", "lang_pred", "score"])
 
     spelled = F.when(has_letter(), F.col("text"))
-    return docs.select("doc_id", held_out().alias("held_out"), spelled.alias("text")).mapInPandas(run, schema)
+    return docs.select("doc_id", held_out().alias("held_out"), spelled.alias("text")).mapInArrow(run, schema)

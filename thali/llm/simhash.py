@@ -24,12 +24,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thali.llm.common import lookup, nested, stored
+from thali.llm.common import lookup, nested, slices, stored
 from thali.llm.components import smallest_reachable
 
 SHINGLE = 3
@@ -66,13 +66,13 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            fp = np.array([fingerprint(t, shingle) if t else 0 for t in f["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "fp": fp.view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            fp = np.array([fingerprint(t, shingle) if t else 0 for t in part.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     schema = docs.select("doc_id", F.lit(0).cast("long").alias("fp")).schema
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _segment(c: Column, s: int) -> Column:

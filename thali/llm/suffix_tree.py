@@ -18,8 +18,9 @@ whatever the input: each depth has at most ``1 / LEAST_SHARE`` contexts of that
 share, so the states fit the driver and a broadcast.
 
 The base score needs every token's count.  A chunk of texts (``CHUNK_TOKENS``
-tokens, within one task) sends each distinct word once to be counted and gets
-its count back, so rows follow distinct words, not tokens.
+tokens, within one task) sends each distinct word once to be counted, and gets
+back the counts of those that other chunks have too, so rows follow distinct
+words, not tokens.
 
 Defined results: a null text is an empty one, which has the end mark alone; a
 null ``doc_id`` hashes as an empty string; repeated rows are texts of their
@@ -33,21 +34,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from thali.llm.common import lookup, stored
+from thali.llm.common import lookup, slices, stored
 
 DEPTH = 5
 LEAST_SHARE = 2e-5
 LEAST_DIVERGENCE = 0.002
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 3_000_000
 BASE_WEIGHT = 0.5
 SYMBOLS = 257
 _BITS = 9
 _MASK = (1 << _BITS) - 1
 #: Distinct grams that a task holds before it hands them on.
-_HELD = 1 << 20
+_HELD = 1 << 19
+#: Bytes of text that are counted at once.
+_AT_ONCE = 1 << 21
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -77,64 +82,80 @@ def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(key[place > 0], return_counts=True)
 
 
+def added(keys: np.ndarray, times: np.ndarray, streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Counted keys with the grams of ``streams`` added."""
+    new, n = grams(streams)
+    keys, back = np.unique(np.concatenate((keys, new)), return_inverse=True)
+    return keys, np.bincount(back, weights=np.concatenate((times, n)), minlength=len(keys)).astype(np.int64)
+
+
 def read_chunks(docs: DataFrame) -> DataFrame:
     """One pass over the texts.  Rows by ``kind``: a document (chunk, number,
     doc_id, its tokens as codes of the chunk), a word of a chunk (chunk, code,
-    word, learned count), a gram (key, learned count)."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"kind string, chunk string, number long, doc_id {id_type}, data binary, n long"
+    word, learned count), all words of a chunk by code packed in one value
+    (``spelling``; ``counts`` likewise), a gram (key, learned count)."""
+    ids = docs.select("doc_id").schema["doc_id"]
+    schema = StructType([StructField("kind", StringType()), StructField("chunk", StringType()), StructField("number", LongType()),
+                         StructField("doc_id", ids.dataType), StructField("data", BinaryType()), StructField("n", LongType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        task, chunk = f"{context.partitionId()}-{context.taskAttemptId()}", 0
+        task, chunk, id_type = f"{context.partitionId()}-{context.taskAttemptId()}", 0, None
         code: dict[bytes, int] = {}
         counts = np.zeros(0, dtype=np.int64)
         keys, times, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        streams: list[bytes] = []
+        waiting = 0
 
-        def rows(kind, number, doc_id, data, n):
-            return pd.DataFrame({"kind": kind, "chunk": f"{task}-{chunk}", "number": number, "doc_id": doc_id, "data": data, "n": n})
+        def rows(kind, number, data, n, doc_id=None):
+            size = len(number)
+            columns = [pa.repeat(pa.scalar(kind), size), pa.repeat(pa.scalar(f"{task}-{chunk}"), size), pa.array(number, pa.int64()),
+                       pa.nulls(size, id_type) if doc_id is None else doc_id, pa.nulls(size, pa.binary()) if data is None else pa.array(data, pa.binary()),
+                       pa.array(n, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["kind", "chunk", "number", "doc_id", "data", "n"])
 
         def words():
-            return rows("word", range(len(code)), None, list(code), counts[:len(code)])
-
-        def gram_rows():
-            return rows("gram", keys, None, None, times)
-
-        for f in frames:
-            for at in range(0, len(f), 500):
-                part = f.iloc[at:at + 500]
-                ids, data, streams = part["doc_id"].tolist(), [], []
-                for doc_id, text in zip(ids, part["text"]):
-                    own = tokens(text)
-                    codes = np.fromiter((code.setdefault(w, len(code)) for w in own), dtype=np.uint32, count=len(own))
-                    data.append(zlib.compress(codes.tobytes(), 1))
-                    seen += len(own)
-                    if learned(doc_id):
-                        streams.append(stream(own))
-                        if len(counts) < len(code):
-                            counts = np.concatenate((counts, np.zeros(max(len(code), len(counts)) + 1024, np.int64)))
-                        np.add.at(counts, codes, 1)
+            own, spelled = counts[:len(code)], list(code)
+            for at in range(0, len(spelled), 1 << 16):
+                part = spelled[at:at + (1 << 16)]
+                yield rows("word", np.arange(at, at + len(part)), part, own[at:at + len(part)])
+            yield rows("spelling", [0], [zlib.compress(b"\n".join(spelled), 1)], [0])
+            yield rows("counts", [0], [zlib.compress(own.tobytes(), 1)], [0])
+
+        for part in slices(batches):
+            id_type = part.column(0).type
+            data = []
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                own = tokens(text)
+                codes = np.fromiter((code.setdefault(w, len(code)) for w in own), dtype=np.uint32, count=len(own))
+                data.append(zlib.compress(codes.tobytes(), 1))
+                seen += len(own)
                 if len(counts) < len(code):
-                    counts = np.concatenate((counts, np.zeros(len(code), np.int64)))
-                yield rows("doc", range(at, at + len(ids)), part["doc_id"].to_numpy(), data, 0)
-                if streams:
-                    new, n = grams(streams)
-                    keys, back = np.unique(np.concatenate((keys, new)), return_inverse=True)
-                    times = np.bincount(back, weights=np.concatenate((times, n)), minlength=len(keys)).astype(np.int64)
-                if len(keys) > _HELD:
-                    yield gram_rows()
-                    keys, times = keys[:0], times[:0]
-                if seen >= CHUNK_TOKENS:
-                    yield words()
-                    chunk, seen, code, counts = chunk + 1, 0, {}, counts[:0]
+                    counts = np.concatenate((counts, np.zeros(max(len(code), len(counts)) + 1024, np.int64)))
+                if learned(doc_id):
+                    streams.append(stream(own))
+                    waiting += len(streams[-1])
+                    np.add.at(counts, codes, 1)
+            yield rows("doc", np.zeros(len(data), np.int64), data, np.zeros(len(data), np.int64), part.column(0))
+            if waiting > _AT_ONCE:
+                keys, times = added(keys, times, streams)
+                streams, waiting = [], 0
+            if len(keys) > _HELD:
+                yield rows("gram", keys, None, times)
+                keys, times = keys[:0], times[:0]
+            if seen >= CHUNK_TOKENS:
+                yield from words()
+                chunk, seen, code, counts = chunk + 1, 0, {}, counts[:0]
         if code:
-            yield words()
+            yield from words()
+        if streams:
+            keys, times = added(keys, times, streams)
         if len(keys):
-            yield gram_rows()
+            yield rows("gram", keys, None, times)
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _low(depth: Column) -> Column:
@@ -257,19 +278,24 @@ def score(docs: DataFrame) -> DataFrame:
 
     words = chunks.where("kind = 'word'").select(F.col("chunk").alias("of"), F.col("number").alias("code"), F.col("data").alias("word"), "n")
     known = stored(words.groupBy("word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("chunks")), "words")
-    texts = chunks.where("kind = 'doc'").select("chunk", "number", "doc_id", "data")
-    ends = texts.select("doc_id").where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 1).count()
+    texts = chunks.where("kind in ('doc', 'spelling', 'counts')").select("chunk", "kind", "doc_id", "data")
+    ends = chunks.where("kind = 'doc'").select("doc_id").where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 1).count()
     sums = known.agg(F.sum("c").alias("c"), F.sum(F.when(F.col("c") > 0, 1)).alias("v"), F.sum("chunks").alias("rows")).first()
     n_all, n_distinct = (sums["c"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    counted = lookup(words.drop("n"), known, "word", "chunks", sums["rows"] or 0).select("of", "code", "word", "c")
+    # what only one chunk has, it counted itself
+    counted = lookup(words.drop("n"), known.where("chunks > 1"), "word", "chunks", sums["rows"] or 0).where("c is not null").select("of", "code", "c")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
     def run(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        spelled = np.empty(len(words), dtype=object)
-        spelled[words["code"].to_numpy()] = words["word"].to_numpy()
-        c = np.zeros(len(words) + 1)
-        c[words["code"].to_numpy()] = words["c"].to_numpy()
+        packed = {k: zlib.decompress(texts["data"][texts["kind"] == k].iloc[0]) if (texts["kind"] == k).any() else b""
+                  for k in ("spelling", "counts")}
+        texts = texts[texts["kind"] == "doc"]
+        own = np.frombuffer(packed["counts"], dtype=np.int64)
+        spelled = np.empty(len(own), dtype=object)
+        spelled[:] = packed["spelling"].split(b"\n") if len(own) else []
+        c = np.append(own.astype(np.float64), 0.0)
+        c[words["code"].to_numpy(dtype=np.int64)] = words["c"].to_numpy()
         c[-1] = ends
         log = np.log10((c + 0.5) / (n_all + 0.5 * (n_distinct + 1)))
         base, tree_, held, sizes = [], [], [], []
@@ -278,7 +304,7 @@ def score(docs: DataFrame) -> DataFrame:
             for doc_id, data in zip(part["doc_id"].tolist(), part["data"]):
                 codes = np.frombuffer(zlib.decompress(data), dtype=np.uint32)
                 streams.append(stream(spelled[codes].tolist()))
-                base.append(np.append(codes, len(words)))
+                base.append(np.append(codes, len(own)))
                 held.append(not learned(doc_id))
                 sizes.append(len(codes) + 1)
             tree_.append(tree.value.token_logs(streams))
