@@ -1,5 +1,7 @@
 """Hand-written expectations on tiny frames with the edge cases."""
 
+import math
+import random
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 
 from fixtures import orders as make_orders
 from thali.functions.temporal import check_range, ist_date
-from thali.functions.text import money_indian_text, money_text
+from thali.functions.numbers import plain_float_text
+from thali.functions.text import money_indian_text, money_text, template_truncate
 from thali.operators import changes, display, geo, kpis, listings
 
 
@@ -171,7 +174,7 @@ def test_pages_concatenate(spark):
     empty_items = spark.createDataFrame([], "order_id long, line_no int")
     empty_pay = spark.createDataFrame([], "order_id long, payment_status string, payment_mode string")
     listing = listings.orders_listing(o, empty_items, empty_pay)
-    page = listings.orders_page(listing, 1).collect()
+    page = listings.orders_page(o, empty_items, empty_pay, 1).collect()
     assert [r["order_id"] for r in page][:3] == [5, 7, 6]  # NULL date first, then newest
     counts = listings.page_counts(listing).first()
     assert counts["total_count"] == 7 and counts["total_pages"] == 1
@@ -190,3 +193,131 @@ def test_texts_independent_of_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == "06 Apr 1997, 02:14 AM"
+
+
+def test_payment_panel(spark):
+    orders = spark.createDataFrame([(1, Decimal("1234567.00")), (2, None)], "order_id long, total_amount decimal(18,2)")
+    pay = spark.createDataFrame(
+        [(10, 1, "", "", None, "short", "", None), (11, 1, "failed", "Card", "t", "s" * 60, "o", "p"), (12, 2, None, None, "", "", None, "")],
+        "payment_id long, order_id long, payment_status string, payment_mode string, transaction_id string, razorpay_signature string, "
+        "razorpay_order_id string, razorpay_payment_id string").withColumn("payment_date", F.lit(None).cast("timestamp_ntz"))
+    r = {x["payment_id"]: x for x in display.payment_display(orders, pay).collect()}
+    assert r[10]["amount_formatted"] == "₹1,234,567.00" and r[12]["amount_formatted"] == "₹0.00"
+    assert (r[10]["signature_short"], r[11]["signature_short"], r[12]["signature_short"]) == ("short...", "s" * 50 + "...", None)
+    assert (r[10]["status_shown"], r[10]["mode_shown"]) == ("PENDING", "N/A") and r[11]["status_shown"] == "FAILED"
+    assert (r[11]["razorpay_order_shown"], r[11]["razorpay_payment_shown"], r[12]["razorpay_payment_shown"]) == ("o", "p", None)
+
+
+def test_template_truncate(spark):
+    texts = {"a" * 25: "a" * 25, "a" * 26: "a" * 17 + "...", "ab cd ef gh ij kl mn op qr st": "ab cd ef gh ij...",
+             "": "", None: "", "one twothreefourfivesixseven": "one..."}
+    df = spark.createDataFrame([(k,) for k in texts], "x string")
+    got = {r["x"]: r["y"] for r in df.select("x", template_truncate("x", 20).alias("y")).collect()}
+    assert got == texts
+
+
+def test_coordinates_as_text(spark):
+    values = [0.0005, 0.00012, 5e-05, 1.25e-07, 0.001, 12.5, 0.0, -0.0005, 10.0, 12345678.5, -179.999999, 95.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for r in df.select("x", plain_float_text("x").alias("y")).collect():
+        assert r["y"] == str(r["x"])
+
+
+def test_location_numbers_as_python_reads_them(spark):
+    good = ["1.e5", "1_0.", ".5", "1_000.2_5e1_0", " 7 ", "+3", "inf", "-Infinity", "nan"]
+    bad = ["1__0", "_1", "1_", ".", "e5", "1e", "1.5d", "0x1"]
+    df = spark.createDataFrame([(i, f"A | {x} | 2 | L") for i, x in enumerate(good + bad)], "order_id long, delivery_location string")
+    auto = {r["order_id"]: r["is_auto_detected"] for r in geo.parse_locations(df).collect()}
+    for i, x in enumerate(good):
+        float(x)
+        assert auto[i], x
+    for i, x in enumerate(bad, len(good)):
+        assert not auto[i], x
+
+
+def _near(spark, points, depots):
+    a = spark.createDataFrame([(i, i, *p) for i, p in enumerate(points)], "address_id long, user_id long, latitude double, longitude double")
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(depots)], "depot_id long, latitude double, longitude double")
+    return {r["address_id"]: (r["depot_id"], r["distance"]) for r in geo.nearest_depot(a, d).collect()}
+
+
+def test_nearest_of_many_depots(spark):
+    rng = random.Random(4)
+    depots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(6000)]
+    depots += [(19 + rng.gauss(0, 0.01), 73 + rng.gauss(0, 0.01)) for _ in range(6000)]  # a dense town
+    depots += [(19.0, 73.0), (19.0, 73.0), (90.0, 0.0), (-90.0, 10.0), (5.0, 180.0), (5.0, -180.0), (100.0, 0.0)]
+    points = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(60)]
+    points += [(19 + rng.gauss(0, 0.02), 73 + rng.gauss(0, 0.02)) for _ in range(60)]
+    points += [(89.9, 100.0), (-89.99, -20.0), (5.0, 179.999), (19.0, 73.0), (91.0, 0.0)]
+    got = _near(spark, points, depots)
+
+    def km(p, q):
+        (a, b), (c, d) = ([math.radians(x) for x in y] for y in (p, q))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * 6371 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    for i, p in enumerate(points[:-1]):
+        best, at = min((km(p, q), j) for j, q in enumerate(depots[:-1]))
+        assert got[i][1] == round(best, 2) and km(p, depots[got[i][0]]) <= best + 1e-9, (p, got[i], best, at)
+    assert got[len(points) - 1] == (None, None)
+    assert got[len(points) - 2][0] == 12000  # equal distance: the lower id
+
+
+def test_nearest_of_two_depots_metres_apart(spark):
+    got = _near(spark, [(19.0, 73.0), (19.00003, 73.0)], [(19.00003, 73.0), (19.0, 73.0)])
+    assert got == {0: (1, 0.0), 1: (0, 0.0)}
+    assert _near(spark, [(1.0, 1.0)], []) == {0: (None, None)}
+
+
+def test_status_tables(spark):
+    # Fixed values, written out here a second time.
+    orders = {
+        "pending": ("Pending", "#ffc107", "clock", "warning", "bg-warning"), "processing": ("Processing", "#17a2b8", "cogs", "info", "bg-info"),
+        "completed": ("Completed", "#28a745", "check-circle", "success", "bg-success"),
+        "cancelled": ("Cancelled", "#dc3545", "times-circle", "danger", "bg-danger"),
+        "delivered": ("Delivered", "#20c997", "truck", "success", "bg-primary"), "held": ("Held", "#6c757d", "question-circle", "secondary", "bg-secondary")}
+    df = spark.createDataFrame([(s,) for s in orders], "status string")
+    got = {r["status"]: (r["status_name"], r["status_color"], r["status_icon"], r["status_badge"], r["status_badge_js"])
+           for r in display.label_orders(df).collect()}
+    assert got == orders
+    payments = {
+        "pending": ("Pending", "#ffc107", "clock", "warning"), "completed": ("Completed", "#28a745", "check-circle", "success"),
+        "failed": ("Failed", "#dc3545", "times-circle", "danger"), "refunded": ("Refunded", "#6c757d", "undo", "secondary"),
+        "cancelled": ("Cancelled", "#dc3545", "ban", "danger")}
+    df = spark.createDataFrame([(s,) for s in payments], "payment_status string")
+    got = {r["payment_status"]: (r["status_name"], r["status_color"], r["status_icon"], r["status_badge"]) for r in display.label_payments(df).collect()}
+    assert got == payments
+
+
+def test_changes_with_equal_seq_agree_in_every_output(spark):
+    o = make_orders(spark)
+    rows = [(1, "completed", "b", "u", 1), (1, "processing", "a", "u", 1), (1, "cancelled", None, "u", 1)]
+    schema = "order_id long, new_status string, notes string, changed_by string, seq long"
+    for order in (rows, rows[::-1]):
+        res = changes.apply_status_changes(o, spark.createDataFrame(order, schema).repartition(3))
+        last = [r["new_status"] for r in res.history.collect() if r["new_status"] not in {x["old_status"] for x in res.history.collect()}]
+        assert {r["order_id"]: r["status"] for r in res.snapshot.collect()}[1] == last[0] == "processing"
+
+
+def test_inserted_payments_get_ids_of_their_own(spark):
+    o = make_orders(spark)
+    pay = spark.createDataFrame([(500, 1, 10, Decimal("1.00"), "COD", "pending", None, None)],
+                                "payment_id long, order_id long, user_id long, amount decimal(18,2), payment_mode string, "
+                                "payment_status string, transaction_id string, payment_date timestamp_ntz")
+    batch = o.select("order_id", F.lit("completed").alias("payment_status"), F.lit("t").alias("transaction_id"),
+                     F.lit(datetime(2024, 1, 5)).cast("timestamp_ntz").alias("changed_at"), F.lit(1).cast("long").alias("seq"))
+    ids = [r["payment_id"] for r in changes.apply_payment_changes(pay, o, batch).snapshot.collect()]
+    assert None not in ids and len(ids) == len(set(ids)) == 7
+    none = changes.apply_payment_changes(pay.limit(0), o, batch).snapshot
+    assert none.where("payment_id is null").count() == 0 and none.count() == 7
+
+
+def test_days_zero_is_not_the_default_week(spark):
+    o = make_orders(spark)
+    assert kpis.daily_sales(o, days=0, as_of=date(2024, 1, 3)).count() < kpis.daily_sales(o, as_of=date(2024, 1, 3)).count()
+
+
+def test_inactive_customers(spark):
+    users = spark.createDataFrame([(1, True), (2, False), (3, None)], "id long, is_active boolean")
+    assert [r["id"] for r in listings.filter_customers(users, "inactive").collect()] == [2]
+    assert listings.filter_customers(users, "any").count() == 3

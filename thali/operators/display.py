@@ -55,6 +55,17 @@ def order_display(orders: DataFrame) -> DataFrame:
     )
 
 
+def orders_page_display(page: DataFrame) -> DataFrame:
+    """The texts of a listing page: date, amount, status class, shortened
+    e-mail (input = O1 output)."""
+    return page.withColumns({
+        "order_date_formatted": ist_text("order_date"),
+        "total_amount_formatted": money_text("total_amount"),
+        "status_class": F.coalesce(_lookup(ORDER_STATUS, 3, F.coalesce("status", F.lit(""))), F.lit(UNKNOWN[2])),
+        "email_short": template_truncate("user_email", 20),
+    })
+
+
 def label_orders(orders: DataFrame) -> DataFrame:
     """Status name, badge (server and browser forms), colour and icon."""
     s = F.col("status")

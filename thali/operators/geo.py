@@ -82,6 +82,11 @@ def _nz(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def map_link(lat: Column, lon: Column) -> Column:
+    """Map address of a point; NULL without both coordinates."""
+    return F.concat(F.lit(MAPS + "?q="), plain_float_text(lat), F.lit(","), plain_float_text(lon), F.lit("&z=15"))
+
+
 def enrich_addresses(addresses: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """Formatted address, customer-view line and phone, validity,
     three map links, directions and street-view links, 6-place texts, DMS."""
@@ -92,7 +97,6 @@ def enrich_addresses(addresses: DataFrame, users: DataFrame | None = None) -> Da
         F.concat(F.lit("Near "), _nz(F.col("landmark"))), _nz(F.col("city")), _nz(F.col("state")),
         F.concat(F.lit("Pincode: "), _nz(F.col("pincode"))))
     lat6, lon6 = _fixed6(lat), _fixed6(lon)
-    lat_text, lon_text = plain_float_text(lat), plain_float_text(lon)
     df = addresses
     own_phone = F.col("phone") if "phone" in addresses.columns else F.lit(None).cast("string")
     if users is not None:
@@ -110,10 +114,8 @@ def enrich_addresses(addresses: DataFrame, users: DataFrame | None = None) -> Da
         "city_line": F.concat(js("city"), F.lit(", "), js("state"), F.lit(" - "), js("pincode")),
         "phone_shown": phone,
         "has_valid_coordinates": valid,
-        "map_link": F.when(lat.isNotNull() & lon.isNotNull(),
-                           F.concat(F.lit(MAPS + "?q="), lat_text, F.lit(","), lon_text, F.lit("&z=15"))),
-        "map_link_plain": F.when(lat.isNotNull() & lon.isNotNull(),
-                                 F.concat(F.lit(MAPS + "?q="), lat_text, F.lit(","), lon_text)),
+        "map_link": map_link(lat, lon),
+        "map_link_plain": F.concat(F.lit(MAPS + "?q="), plain_float_text(lat), F.lit(","), plain_float_text(lon)),
         "map_link_view": F.when(valid, F.concat(
             F.lit(MAPS + "?q="), lat6, F.lit(","), lon6, F.lit("&z=15"),
             F.when(F.trim(formatted) != "", F.concat(F.lit("&layer=c&cbll="), lat6, F.lit(","), lon6, F.lit("&cbp=")))

@@ -15,28 +15,33 @@ their size grows with the data:
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from thali.operators import changes, documents
 from thali.plans import q_kpis  # noqa: F401  its oracles are used below
 from thali.plans.registry import AS_OF, REGISTRY, dbl, register, sql
 from thali.sinks import exports
-from thali.sources.tables import table_report
 
 
 def status_change_batch(t):
     o, p = t["orders"], t["payments"]
-    cancel = (o.where((F.col("status") == "pending") & (F.col("order_date") < F.lit("1998-01-01").cast("timestamp_ntz")))
-              .select("order_id", F.lit("cancelled").alias("new_status"), F.lit("auto-cancel").alias("notes"),
-                      F.lit("rules").alias("changed_by"), F.lit(1).cast("long").alias("seq")))
+    text, no_text = F.lit("auto-cancel"), F.lit(None).cast("string")
+
+    def change(when, order_id, status, notes, seq):
+        return F.when(when, F.struct(order_id.alias("order_id"), F.lit(status).alias("new_status"), notes.alias("notes"),
+                                     F.lit("rules").alias("changed_by"), F.lit(seq).cast("long").alias("seq")))
+
+    key = F.col("order_id")
+    early = (F.col("status") == "pending") & (F.col("order_date") < F.lit("1998-01-01").cast("timestamp_ntz"))
+    asks = F.array(change(early, key, "cancelled", text, 1), change(key % 100 == 0, -key, "completed", no_text, 4))
+    own = o.select(F.inline(F.filter(asks, lambda c: c.isNotNull())))
     asked = p.where(F.col("payment_status").isin("refunded", "completed")).select("order_id", "payment_status").distinct()
     paid = asked.select("order_id", F.col("payment_status").alias("new_status"), F.lit(None).cast("string").alias("notes"),
                         F.lit("rules").alias("changed_by"),
                         F.when(F.col("payment_status") == "refunded", 2).otherwise(3).cast("long").alias("seq"))
-    unknown = t.raw("orders").where(F.col("o_orderkey") % 100 == 0).select(
-        (-F.col("o_orderkey")).alias("order_id"), F.lit("completed").alias("new_status"), F.lit(None).cast("string").alias("notes"),
-        F.lit("rules").alias("changed_by"), F.lit(4).cast("long").alias("seq"))
-    return cancel.unionByName(paid).unionByName(unknown)
+    return own.unionByName(paid)
 
 
 _STATUS_BATCH_SQL = """
@@ -166,28 +171,99 @@ def _c4(t):
     return _c4_tables(t)[1]
 
 
-@register("order_documents", None)
-def _n1(t):
-    return documents.order_documents(t["orders"], t["order_items"], t["payments"], t["users"], t["addresses"],
-                                     t["services"], t["menu"])
+_LINK = ("case when {p}latitude is not null and {p}longitude is not null then 'https://www.google.com/maps?q=' "
+         "|| cast({p}latitude as varchar) || ',' || cast({p}longitude as varchar) || '&z=15' end")
+_IST = "case when {x} is not null then strftime({x} + interval 330 minute, '%d %b %Y, %I:%M %p') end"
+_MONEY = "case when {x} is null then '₹0.00' else '₹' || format('{{:,.2f}}', {x}) end"
+_ADDRESS = documents.ADDRESS_FIELDS
+_HEADER_SQL = f"""
+header as (
+  select o.* replace (cast(o.total_amount as double) as total_amount),
+    {_IST.format(x='o.order_date')} order_date_formatted, {_IST.format(x='o.delivery_date')} delivery_date_formatted,
+    {_MONEY.format(x='o.total_amount')} total_amount_formatted,
+    u.full_name customer_full_name, u.phone customer_phone, u.email customer_email,
+    {', '.join(f'a.{c} customer_{c}' for c in _ADDRESS)}, {_LINK.format(p='a.')} customer_map_link
+  from f_orders o left join f_users u on o.user_id = u.id
+  left join (select * from (select *, row_number() over (partition by user_id order by address_id) rn
+                            from f_addresses where is_default) where rn = 1) a on a.user_id = u.id)
+"""
+_LINE_SQL = f"""
+line as (
+  select oi.* replace (cast(oi.price as double) as price, cast(oi.total as double) as total,
+      case when coalesce(oi.item_photo, '') = '' and coalesce(c.photo, '') <> '' then c.photo else oi.item_photo end as item_photo),
+    {_MONEY.format(x='oi.price')} price_formatted, {_MONEY.format(x='oi.total')} total_formatted
+  from f_order_items oi left join (
+    select 'service' kind, id, photo from f_services union all select 'menu', id, photo from f_menu) c
+  on oi.item_type = c.kind and oi.item_id = c.id)
+"""
+_PAYMENT_SQL = f"""
+payment as (
+  select order_id, payment_id, payment_status, payment_mode, transaction_id, payment_date, razorpay_order_id, razorpay_payment_id,
+    razorpay_signature, cast(amount as double) amount, {_IST.format(x='payment_date')} payment_date_formatted
+  from f_payments)
+"""
+_ORDER_TABLES = ("orders", "users", "addresses", "order_items", "services", "menu", "payments")
 
 
-@register("order_documents_items", sql("order_items")(f"""
-select order_id, line_no, item_type, item_id, cast(total as double) total from f_order_items
-"""))
-def _n1_flat(t):
-    docs = documents.order_documents(t["orders"], t["order_items"], t["payments"], t["users"], t["addresses"],
-                                     t["services"], t["menu"])
-    return docs.select("order_id", F.explode("lines").alias("i")).select(
-        "order_id", "i.line_no", "i.item_type", "i.item_id", "i.total")
+def _order_documents(t):
+    return documents.order_documents(*(t[x] for x in ("orders", "order_items", "payments", "users", "addresses", "services", "menu")))
 
 
-@register("customer_documents", None)
+@register("order_documents", sql(*_ORDER_TABLES)(f"""
+with {_HEADER_SQL}, {_LINE_SQL}, {_PAYMENT_SQL}
+select *, 'header' section from header
+union all by name select *, 'line' section from line
+union all by name select *, 'payment' section from payment
+"""))
+def _n1(t):
+    return _order_documents(t)
+
+
+@register("order_documents_items", sql(*_ORDER_TABLES)(f"with {_LINE_SQL} select order_id, line_no, item_type, item_id, total, item_photo from line"))
+def _n1_lines(t):
+    return _order_documents(t).where("section = 'line'").select("order_id", "line_no", "item_type", "item_id", "total", "item_photo")
+
+
+@register("customer_documents", sql("users", "addresses", "orders")(f"""
+with recent as (
+  select user_id, cast(row_number() over (partition by user_id order by order_date desc nulls first, order_id) as integer) recent_rank,
+    order_id, cast(total_amount as double) total_amount, status, order_date
+  from f_orders),
+header as (
+  select u.* exclude (id), u.id user_id, (select count(*) from f_orders o where o.user_id = u.id) total_orders,
+    {_IST.format(x='u.created_at')} created_at_formatted, {_IST.format(x='u.last_login')} last_login_formatted
+  from f_users u),
+address as (
+  select user_id, address_id, is_default, {', '.join(_ADDRESS)}, {_LINK.format(p='')} map_link, not coalesce(is_default, false) not_default
+  from f_addresses),
+per_status as (
+  select user_id, status, count(*) orders, cast(sum(total_amount) as double) total_amount from f_orders group by user_id, status)
+select *, 'header' section from header
+union all by name select *, 'address' section from address
+union all by name select *, 'status' section from per_status
+union all by name select *, 'recent' section from recent where recent_rank <= 5
+"""))
 def _n2(t):
     return documents.customer_documents(t["users"], t["addresses"], t["orders"])
 
 
-@register("chart_series", None)
+@register("chart_series", sql("orders", "order_items", "payments")(f"""
+with days as (
+  select cast(order_date + interval 330 minute as date) d, count(*) n, cast(coalesce(sum(total_amount), 0) as double) revenue
+  from f_orders where order_date >= timestamp '{AS_OF - timedelta(days=30)} 00:00:00' group by 1),
+items as (
+  select item_name, sum(quantity) n from f_order_items group by item_name order by n desc nulls first, item_name limit 10),
+modes as (
+  select coalesce(payment_mode, 'Unknown') label, count(*) n, cast(sum(amount) as double) amount
+  from f_payments where payment_status = 'completed' group by payment_mode)
+select 'daily_orders' chart, cast(d - date '1970-01-01' as double) place, strftime(d, '%b %d') "label", cast(n as double) "value",
+  revenue value2, cast(null as varchar) color from days
+union all select 'status_distribution', 0.0, upper(left(status, 1)) || lower(substr(status, 2)), count(*), null,
+  case status when 'pending' then '#ffc107' when 'processing' then '#17a2b8' when 'completed' then '#28a745'
+    when 'cancelled' then '#dc3545' when 'delivered' then '#20c997' else '#6c757d' end from f_orders group by status
+union all select 'top_items', -cast(n as double), item_name, n, null, null from items
+union all select 'payment_methods', -amount, label, n, amount, null from modes
+"""))
 def _n3(t):
     return documents.chart_series(t["orders"], t["order_items"], t["payments"], AS_OF)
 
@@ -259,15 +335,3 @@ from f_orders where status in ('delivered', 'cancelled')
 """))
 def _k5(t):
     return changes.apply_payment_changes(t["payments"], t["orders"], payment_change_batch(t)).history
-
-
-@register("table_report", """
-select t.table_name "table", true present from (values ('users'), ('orders'), ('order_items'), ('payments'),
-  ('addresses')) t(table_name)
-where exists (select 1 from information_schema.tables where table_name = 'orders')
-  and exists (select 1 from information_schema.tables where table_name = 'customer')
-  and exists (select 1 from information_schema.tables where table_name = 'lineitem')
-  and exists (select 1 from information_schema.tables where table_name = 'part')
-""")
-def _s2(t):
-    return table_report(t.spark, t.sf_dir)

@@ -202,6 +202,43 @@ def _p9(t):
     return display.customer_display(listings.customer_rollup(t["users"], t["orders"]))
 
 
+@register("customers_page_display", sql("users", "orders")(f"""
+with first as (select * from f_users order by created_at desc nulls first, id limit 40),
+pg as (
+  select u.*, (select count(*) from f_orders o where o.user_id = u.id) total_orders,
+    coalesce((select cast(sum(total_amount) as double) from f_orders o where o.user_id = u.id), 0.0) total_spent
+  from first u order by created_at desc nulls first, id limit 20 offset 20)
+select *, {_ist_text('created_at')} created_at_formatted, {_ist_text('last_login')} last_login_formatted,
+  case when starts_with(profile_pic, 'http') then profile_pic
+       else 'https://res.cloudinary.com/demo/image/upload/v1633427556/default-avatar.png' end avatar_url,
+  coalesce(total_spent / nullif(total_orders, 0), 0.0) avg_per_order,
+  case when total_orders > 0 then 'Avg: ₹' || cast(round(cast(total_spent as decimal(28,2)) / total_orders) as bigint) else 'No orders' end avg_text,
+  {_truncate_sql('email', 20)} email_short, {_truncate_sql('location', 15)} location_short,
+  case when last_login is null then 'Never' else {_ist_text('last_login')} end last_login_shown,
+  {_money_sql('total_spent')} total_spent_formatted
+from pg
+"""))
+def _customers_page(t):
+    return display.customer_display(listings.customers_page(t["users"], t["orders"], 2))
+
+
+@register("orders_page_display", sql("orders", "order_items", "payments")(f"""
+with j as (
+  select o.order_id, o.user_id, o.user_name, o.user_phone, o.user_email, o.total_amount, o.status, o.order_date, o.delivery_location,
+    (select count(*) from f_order_items i where i.order_id = o.order_id) item_count, p.payment_status, p.payment_mode
+  from f_orders o left join (select distinct order_id, payment_status, payment_mode from f_payments) p on o.order_id = p.order_id),
+pg as (
+  select * from j order by order_date desc nulls first, order_id, payment_status asc nulls last, payment_mode asc nulls last limit 20)
+select * {_dbl('total_amount')}, {_ist_text('order_date')} order_date_formatted, {_money_sql('total_amount')} total_amount_formatted,
+  case status when 'pending' then 'warning' when 'processing' then 'info' when 'completed' then 'success'
+    when 'cancelled' then 'danger' when 'delivered' then 'success' else 'secondary' end status_class,
+  {_truncate_sql('user_email', 20)} email_short
+from pg
+"""))
+def _orders_page(t):
+    return display.orders_page_display(listings.orders_page(t["orders"], t["order_items"], t["payments"], 1))
+
+
 @register("order_timeline", sql("orders")(f"""
 select order_id, 1 step_no, 'Order Placed' step, {_ist_text('order_date')} detail,
   coalesce(status = 'pending', false) active from f_orders

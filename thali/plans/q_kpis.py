@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from thali.functions.temporal import check_range
+from thali.functions.temporal import check_range, period_days
 from thali.operators import kpis
 from thali.operators.listings import customer_rollup
 from thali.plans.registry import AS_OF, RANGE_END, RANGE_START, d, ist_day, register, sql, ts
@@ -37,10 +37,10 @@ from f_orders where {cond}
 
 
 def _kpis(t, period):
-    if period == "custom":
-        lo, hi = check_range(RANGE_START.isoformat(), RANGE_END.isoformat())
-        return kpis.period_kpis(t["orders"], "custom", AS_OF, lo, hi)
-    return kpis.period_kpis(t["orders"], period, AS_OF)
+    lo, hi = check_range(RANGE_START.isoformat(), RANGE_END.isoformat())
+    days = period_days(period, AS_OF, lo, hi)
+    orders = t.orders_between(*days) if days else t["orders"]
+    return kpis.period_kpis(orders, period, AS_OF, lo, hi)
 
 
 for _p, _cond in _PERIODS.items():
@@ -74,6 +74,15 @@ def _status_counts(t):
     return kpis.status_counts(t["orders"])
 
 
+@register("status_count_row", sql("orders")("""
+select count(*) filter (status = 'pending') pending, count(*) filter (status = 'processing') processing,
+  count(*) filter (status = 'completed') completed, count(*) filter (status = 'cancelled') cancelled,
+  count(*) filter (status = 'delivered') delivered, count(*) "all" from f_orders
+"""))
+def _status_count_row(t):
+    return kpis.status_count_row(t["orders"])
+
+
 @register("top_items", sql("order_items")("""
 select item_name, item_type, sum(quantity) total_quantity, cast(sum(total) as double) total_revenue
 from f_order_items group by item_name, item_type
@@ -98,13 +107,13 @@ from f_orders where {cond} group by {ist_day('order_date')}
 
 
 register("daily_sales_custom", _daily_sql(_PERIODS["custom"]))(
-    lambda t: kpis.daily_sales(t["orders"], start=RANGE_START, end=RANGE_END))
+    lambda t: kpis.daily_sales(t.orders_between(RANGE_START, RANGE_END), start=RANGE_START, end=RANGE_END))
 register("daily_sales_week", _daily_sql(_PERIODS["week"]))(
     lambda t: kpis.daily_sales(t["orders"], days=7, as_of=AS_OF))
 register("daily_sales", _daily_sql(_PERIODS["month"]))(
     lambda t: kpis.daily_sales(t["orders"], days=30, as_of=AS_OF))
 register("daily_breakdown", _daily_sql(_PERIODS["custom"], extra=True))(
-    lambda t: kpis.daily_breakdown(t["orders"], start=RANGE_START, end=RANGE_END))
+    lambda t: kpis.daily_breakdown(t.orders_between(RANGE_START, RANGE_END), start=RANGE_START, end=RANGE_END))
 
 
 @register("category_sales", sql("order_items")("""

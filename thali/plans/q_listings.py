@@ -160,7 +160,7 @@ where {ist_day('o.order_date')} = {d(AS_OF)}
 order by o.order_date desc nulls first, o.order_id limit 50
 """))
 def _t1(t):
-    return listings.todays_orders(t["orders"], t["order_items"], AS_OF)
+    return listings.todays_orders(t.orders_between(AS_OF, AS_OF), t["order_items"], AS_OF)
 
 
 @register("recent_activity", sql("orders")("""

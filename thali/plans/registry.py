@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from thali.sources.adapters import duckdb_ctes
-from thali.sources.tables import load_tables
+from thali.sources.tables import load_tables, orders_between
 
 # The data has no "now"; these are the IST dates used as today.
 AS_OF = date(2001, 7, 31)
@@ -75,6 +75,10 @@ class _Tables(dict):
         self[name] = df
         return df
 
+    def orders_between(self, start: date, end: date) -> DataFrame:
+        """Orders with a coarse bound on the stored date, for the scan to prune by."""
+        return orders_between(self.spark, self.sf_dir, start, end)
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
 
