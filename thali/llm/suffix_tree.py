@@ -44,13 +44,13 @@ from thali.llm.common import lookup, slices, stored
 DEPTH = 5
 LEAST_SHARE = 2e-5
 LEAST_DIVERGENCE = 0.002
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 5_000_000
 BASE_WEIGHT = 0.5
 SYMBOLS = 257
 _BITS = 9
 _MASK = (1 << _BITS) - 1
 #: Distinct grams that a task holds before it hands them on.
-_HELD = 1 << 19
+_HELD = 1 << 20
 #: Bytes of text that are counted at once.
 _AT_ONCE = 1 << 21
 
@@ -298,22 +298,20 @@ def score(docs: DataFrame) -> DataFrame:
         c[words["code"].to_numpy(dtype=np.int64)] = words["c"].to_numpy()
         c[-1] = ends
         log = np.log10((c + 0.5) / (n_all + 0.5 * (n_distinct + 1)))
-        base, tree_, held, sizes = [], [], [], []
-        for at in range(0, len(texts), 1000):
-            part, streams = texts.iloc[at:at + 1000], []
-            for doc_id, data in zip(part["doc_id"].tolist(), part["data"]):
-                codes = np.frombuffer(zlib.decompress(data), dtype=np.uint32)
-                streams.append(stream(spelled[codes].tolist()))
-                base.append(np.append(codes, len(own)))
-                held.append(not learned(doc_id))
-                sizes.append(len(codes) + 1)
-            tree_.append(tree.value.token_logs(streams))
-        if not sizes:
-            return pd.DataFrame(columns=[f.split()[0] for f in schema.split(", ")])
-        codes, firsts = np.concatenate(base), np.cumsum(sizes) - sizes
-        mixed = np.log10(BASE_WEIGHT * 10.0 ** log[codes] + (1 - BASE_WEIGHT) * 10.0 ** np.concatenate(tree_))
-        return pd.DataFrame({
-            "doc_id": texts["doc_id"], "held_out": held, "n_tokens": sizes, "n_known": np.add.reduceat((c[codes] > 0).astype(np.int64), firsts),
-            "train_tokens": n_all, "base_score": np.add.reduceat(log[codes], firsts), "score": np.add.reduceat(mixed, firsts)})
+        out = []
+        for at in range(0, len(texts), 500):
+            part, codes, streams = texts.iloc[at:at + 500], [], []
+            for data in part["data"]:
+                codes.append(np.append(np.frombuffer(zlib.decompress(data), dtype=np.uint32), np.uint32(len(own))))
+                streams.append(stream(spelled[codes[-1][:-1]].tolist()))
+            sizes = [len(x) for x in codes]
+            firsts, codes = np.cumsum(sizes) - sizes, np.concatenate(codes)
+            base = log[codes]
+            mixed = np.log10(BASE_WEIGHT * 10.0 ** base + (1 - BASE_WEIGHT) * 10.0 ** tree.value.token_logs(streams))
+            out.append(pd.DataFrame({
+                "doc_id": part["doc_id"], "held_out": [not learned(x) for x in part["doc_id"].tolist()], "n_tokens": sizes,
+                "n_known": np.add.reduceat((c[codes] > 0).astype(np.int64), firsts), "train_tokens": n_all,
+                "base_score": np.add.reduceat(base, firsts), "score": np.add.reduceat(mixed, firsts)}))
+        return pd.concat(out) if out else pd.DataFrame(columns=[f.split()[0] for f in schema.split(", ")])
 
     return texts.groupBy("chunk").cogroup(counted.groupBy("of")).applyInPandas(run, schema)
