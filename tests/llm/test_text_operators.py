@@ -364,6 +364,9 @@ def test_bpe_round_trip(odd, docs, codecs):
             ids = codecs[1].encode_ordinary(t or "")
             want[i, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), sha(t or "")] += 1
         got = bpe.round_trip(df, RANKS, public_tokenizers.PATTERN)
+        apart = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+        assert collections.Counter((r["doc_id"], bytes(r["decoded"])) for r in apart.collect()) == collections.Counter(
+            (i, (t or "").encode()) for i, t in both(df))
         assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got.collect()) == want
 
 

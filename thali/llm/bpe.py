@@ -20,6 +20,8 @@ output are replaced; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import heapq
+import struct
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -33,7 +35,7 @@ from thali.llm.common import slices
 LEAF = 4096
 PIECE_LEAF = 32
 IDS_LEAF = 4096
-CACHED = 250_000
+CACHED = 600_000
 NONE = 1 << 40  # above any rank
 
 
@@ -42,72 +44,115 @@ def load_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
 
 
+class _Pairs(dict):
+    """Rank of what two tokens (packed in one integer) make, found once."""
+
+    def __init__(self, ranks: dict[bytes, int], tokens: dict[int, bytes]):
+        self.ranks, self.tokens = ranks, tokens
+
+    def __missing__(self, pair: int) -> int:
+        if len(self) >= CACHED:
+            self.clear()
+        rank = self.ranks.get(self.tokens[pair >> 32] + self.tokens[pair & 0xFFFFFFFF], NONE)
+        self[pair] = rank
+        return rank
+
+
+class _Known(dict):
+    """Packed ids of the matches met so far; long ones are not kept."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = packed(self.encode(piece.encode()))
+        if len(self) >= CACHED:
+            self.clear()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     """Encoder and decoder for one rank file and splitting pattern."""
 
     def __init__(self, raw: bytes, pattern: str):
         self.ranks = load_ranks(raw)
         self.tokens = {r: t for t, r in self.ranks.items()}
+        self.byte = [self.ranks[bytes([i])] for i in range(256)]
         self.cut = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.pairs = _Pairs(self.ranks, self.tokens)
+        self.known = _Known(self.piece)
 
     # tokens of one match
 
-    def merged(self, data: bytes) -> list[bytes]:
+    def merged(self, data: bytes) -> list[int]:
         """Tokens of a short run of bytes: the lowest rank merges first, the
-        leftmost of equal ones."""
-        rank, parts = self.ranks.get, [data[i:i + 1] for i in range(len(data))]
-        pairs = [rank(data[i:i + 2], NONE) for i in range(len(data) - 1)]
+        leftmost of equal ones.  A token's id is its rank."""
+        if len(data) > 8 * PIECE_LEAF:
+            return self.merged_by_heap(data)
+        ids, rank = [self.byte[x] for x in data], self.pairs.__getitem__
+        pairs = [rank(a << 32 | b) for a, b in zip(ids, ids[1:])]
         while pairs and (best := min(pairs)) < NONE:
             i = pairs.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            ids[i] = best
+            del ids[i + 1], pairs[i]
             if i < len(pairs):
-                pairs[i] = rank(parts[i] + parts[i + 1], NONE)
+                pairs[i] = rank(best << 32 | ids[i + 1])
             if i:
-                pairs[i - 1] = rank(parts[i - 1] + parts[i], NONE)
-        return parts
-
-    def run(self, data: bytes) -> list[bytes]:
+                pairs[i - 1] = rank(ids[i - 1] << 32 | best)
+        return ids
+
+    def merged_by_heap(self, data: bytes) -> list[int]:
+        """The same for a long window that did not settle sooner: pairs wait
+        in a heap by rank and place, and a merged place is skipped."""
+        ids, rank = [self.byte[x] for x in data], self.pairs.__getitem__
+        n = len(ids)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(rank(ids[i] << 32 | ids[i + 1]), i, ids[i], ids[i + 1]) for i in range(n - 1)]
+        heapq.heapify(heap)
+        while heap and heap[0][0] < NONE:
+            made, i, a, b = heapq.heappop(heap)
+            j = right[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue
+            ids[i], ids[j], right[i] = made, -1, right[j]
+            if right[i] < n:
+                left[right[i]] = i
+                heapq.heappush(heap, (rank(made << 32 | ids[right[i]]), i, made, ids[right[i]]))
+            if left[i] >= 0:
+                k = left[i]
+                heapq.heappush(heap, (rank(ids[k] << 32 | made), k, ids[k], made))
+        return [x for x in ids if x >= 0]
+
+    def run(self, data: bytes) -> list[int]:
         """Tokens of a run of bytes of any length, by halves."""
         if len(data) <= PIECE_LEAF:
             return self.merged(data)
         half = len(data) // 2
         return self.join_runs(self.run(data[:half]), self.run(data[half:]))
 
-    def join_runs(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
+    def join_runs(self, left: list[int], right: list[int]) -> list[int]:
         wide = 2
         while True:
             a, b = max(0, len(left) - wide), min(len(right), wide)
-            middle = b"".join(left[a:]) + b"".join(right[:b])
-            whole = a == 0 and b == len(right)
-            new = self.merged(middle) if whole or len(middle) <= 8 * PIECE_LEAF else self.run_between(left[a:], right[:b])
+            new = self.merged(self.decode(left[a:] + right[:b]))
             if (a == 0 or self.stable(left[a - 1], new[0])) and (b == len(right) or self.stable(new[-1], right[b])):
                 return left[:a] + new + right[b:]
             wide *= 2
 
-    def run_between(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
-        """A wide window, cut in halves elsewhere than at its boundary."""
-        data = b"".join(left) + b"".join(right)
-        third = len(data) // 3
-        return self.join_runs(self.run(data[:third]), self.run(data[third:]))
-
-    def stable(self, a: bytes, b: bytes) -> bool:
-        return self.merged(a + b) == [a, b]
-
-    def code(self, piece: str) -> bytes:
-        """Ids of one match, as little-endian 32-bit integers."""
-        got = self.known.get(piece)
-        if got is None:
-            data = piece.encode()
-            whole = self.ranks.get(data)
-            ids = [whole] if whole is not None else [self.ranks[t] for t in self.run(data)]
-            got = b"".join(i.to_bytes(4, "little") for i in ids)
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            if len(piece) <= 64:
-                self.known[piece] = got
-        return got
+    def stable(self, a: int, b: int) -> bool:
+        return self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+
+    def piece(self, data: bytes) -> list[int]:
+        """Ids of one match."""
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None else self.run(data)
 
     # matches of one text
 
@@ -143,7 +188,7 @@ class Codec:
             b *= 2
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.code, self.pieces(text)))
+        return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= IDS_LEAF:
@@ -151,6 +196,9 @@ class Codec:
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
+    def decode_packed(self, ids: bytes | None) -> bytes:
+        return self.decode(memoryview(ids).cast("I").tolist()) if ids else b""
+
 
 def _codec(spark, rank_file: str, pattern: str):
     raw = spark.sparkContext.broadcast(Path(rank_file).read_bytes())
@@ -161,18 +209,23 @@ def _codec(spark, rank_file: str, pattern: str):
 _OWN = ("text", "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, and_back: bool = False) -> DataFrame:
     """``docs`` without ``text``, with ``ids``: little-endian unsigned 32-bit
-    integers in one binary value."""
+    integers in one binary value; ``and_back`` also decodes those ids to
+    ``decoded`` in the same pass."""
     make = _codec(docs.sparkSession, rank_file, pattern)
     rest = [f for f in docs.schema.fields if f.name not in _OWN]
-    schema = docs.select(*[docs[f.name] for f in rest]).withColumn("ids", F.lit(b"")).schema
+    made = ["ids", "decoded"] if and_back else ["ids"]
+    schema = docs.select(*[docs[f.name] for f in rest], *[F.lit(b"").alias(c) for c in made]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = make()
         for part in slices(batches):
             ids = [codec.encode(t) if t else b"" for t in part.column(part.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], [*part.schema.names[:-1], "ids"])
+            columns = [*part.columns[:-1], pa.array(ids, pa.binary())]
+            if and_back:
+                columns.append(pa.array([codec.decode_packed(x) for x in ids], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], *made])
 
     return docs.select(*[docs[f.name] for f in rest], docs["text"]).mapInArrow(run, schema)
 
@@ -185,7 +238,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = make()
         for part in slices(batches):
-            back = [codec.decode(memoryview(x).cast("I").tolist()) if x else b"" for x in part.column("ids").to_pylist()]
+            back = [codec.decode_packed(x) for x in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.binary())], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
@@ -194,7 +247,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """``docs`` without ``text``, with n_tokens, ids and the digests of the
     ids and of what they decode to."""
-    out = decode(encode(docs, rank_file, pattern), rank_file, pattern)
+    out = encode(docs, rank_file, pattern, and_back=True)
     return out.select(*[c for c in out.columns if c not in ("ids", "decoded")],
                       (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
