@@ -86,11 +86,12 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, p
     ``size`` is the column of ``table`` with how many of the ``total`` rows
     hold the key.  Keys with more than ``total / parts`` rows are fewer than
     ``parts`` by counting, so those alone are broadcast; their rows get a
-    random place in the shuffle that joins the others.
+    place by their own hash in the shuffle that joins the others (the same
+    place when a lost task runs again).
     """
     values = [c for c in table.columns if c != key]
     hot = table.where(F.col(size) > total / parts).select(key, F.struct(*values).alias("_hot"))
-    spread = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns, F.monotonically_increasing_id()), F.lit(1 << 20)))
+    spread = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)))
     rest = table.select(key, F.lit(0).cast("long").alias("_spread"), F.struct(*values).alias("_rest"))
     out = (rows.join(F.broadcast(hot), key, "left").withColumn("_spread", spread.cast("long"))
            .join(rest, [key, "_spread"], "left").withColumn("_value", F.coalesce("_hot", "_rest")))

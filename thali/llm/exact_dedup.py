@@ -7,7 +7,8 @@ second combines the salt winners.  Both group on the whole content, so a
 digest collision cannot merge two texts.
 
 Defined results: a null or empty text is a text like any other; a null
-``doc_id`` loses to any id; of rows that repeat both id and text one is kept;
+``doc_id`` loses to any id; of rows that repeat both id and text one is kept, the
+same in every run;
 an empty table gives an empty result; extra columns are ignored by
 ``exact_groups`` and carried along by ``drop_exact_copies``.
 """
@@ -78,5 +79,5 @@ def drop_exact_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     rows = nested(docs, "doc_id", "text")
     rows = rows.withColumn("_digest", _sha256(F.regexp_replace(F.coalesce("text", F.lit("")), GAP, " ")))
     joined = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("_of")), "left_semi")
-    first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "_digest").orderBy("_digest")
+    first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "_digest").orderBy(F.xxhash64("_row"))
     return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_row.*")

@@ -32,7 +32,7 @@ EMBED = 4
 PAD = 256
 SAMPLE_ROWS = 500
 SAMPLE_CHARS = 512
-PARTS = 16
+SPARE = 4
 STEPS, BATCH, RATE = 500, 96, 0.02
 #: Windows that go through the filters at once.
 AT_ONCE = 1024
@@ -50,16 +50,23 @@ def has_letter() -> Column:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(lang, passage): at most ``rows`` a language, those of least hash."""
-    known = docs.where(~held_out() & has_letter() & F.col("lang").isNotNull())
+    """(lang, passage): at most ``rows`` a language, those of least hash.
+
+    Counts by language (one row each) give the share of hashes that holds
+    about ``SPARE * rows`` documents of a language, so few more than the sample
+    meet in a task however large the language is.
+    """
+    known = docs.where(~held_out() & F.col("lang").isNotNull())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not counts:
+        return []
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SPARE * rows / n))]), F.col("lang"))
     mark = F.xxhash64("doc_id", "text")
+    known = known.where((F.pmod(mark, F.lit(1 << 30)) < share * (1 << 30)) & has_letter())
     room = F.greatest(F.char_length("text") - chars, F.lit(0)) + 1
     known = known.select("lang", mark.alias("mark"), F.substr(F.col("text"), (F.pmod(mark, room) + 1).cast("int"), F.lit(chars)).alias("passage"))
-    # the least of each part of a language, then of the language: at most PARTS * rows meet in a task
-    known = known.withColumn("part", F.pmod("mark", F.lit(PARTS)))
-    for by in (["lang", "part"], ["lang"]):
-        known = known.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("mark", "passage"))).where(F.col("n") <= rows)
-    return sorted((r["lang"], r["passage"]) for r in known.select("lang", "passage").collect())
+    first = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "passage"))).where(F.col("n") <= rows)
+    return sorted((r["lang"], r["passage"]) for r in first.select("lang", "passage").collect())
 
 
 def windows(data: bytes) -> np.ndarray:

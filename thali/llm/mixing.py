@@ -191,7 +191,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     got = rows.where("size > 0").join(got, ["source_no", "offset"]).select(
         *[F.col(c).alias(f"_{c}") for c in ("doc_id", "size", "source", "crc", "got", "parts")])
     whole = nested(docs, "doc_id", "text", "source").withColumn("_of", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "source", "_of").orderBy(F.lit(0))
+    first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "source", "_of").orderBy(F.xxhash64("_row"))
     met = whole.withColumn("_n", F.row_number().over(first)).where("_n = 1").join(
         got, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_of") == F.col("_crc")))
     met = met.withColumn("_words", words(F.col("text")))

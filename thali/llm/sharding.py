@@ -14,6 +14,7 @@ one slot; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -120,6 +121,6 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, slots: int = SLOTS, folder: s
     rows = stored(records(docs, slots), "records")
     sums = {r["virtual_slot"]: r["bytes"] for r in slot_sums(rows).collect()}
     m = assign(sums, n_shards, slots)
-    folder = folder or f"{shared_folder(spark)}/thali-llm/slot-map-{spark.sparkContext.applicationId}-{id(m):x}"
+    folder = folder or f"{shared_folder(spark)}/thali-llm/{uuid.uuid4().hex}/slot-map"
     save_map(spark, m, folder)
     return place(rows, load_map(spark, folder))

@@ -126,5 +126,5 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = M
     keep = groups(docs, shingle, most_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = keep.select(F.col("component_id").alias("_keep"), F.col("fp").alias("_fp")).distinct()
     rows = nested(docs, "doc_id", "text").join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    same = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), F.sha2("text", 256)).orderBy(F.lit(0))
+    same = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), F.sha2("text", 256)).orderBy(F.xxhash64("_row"))
     return rows.withColumn("_n", F.row_number().over(same)).where("_n = 1").select("_row.*")
