@@ -227,45 +227,47 @@ class Automaton:
             self.next[i] = longer
         self.log = np.log10(share).astype(np.float32)
 
-    def logs(self, streams: list[bytes], span: int = 1024) -> np.ndarray:
-        """log10 probability of each symbol of the joined streams; 0 for the
-        first symbol of a stream.
-
-        Streams are cut in spans that run side by side; a span first takes the
-        ``DEPTH`` symbols before it, which settle its state.
-        """
-        sizes = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams))
-        firsts = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(streams), dtype=np.uint8)
-        n = -(-(sizes - 1) // span)
-        owner = np.repeat(np.arange(len(streams)), n)
-        at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * span + 1  # first symbol to score
-        lead = np.minimum(at, DEPTH)
-        start, length = firsts[owner] + at - lead, np.minimum(at + span, sizes[owner]) - at + lead
-        order = np.argsort(-length, kind="stable")
-        start, length, lead = start[order], length[order], lead[order]
-        state, out = np.zeros(len(order), np.int64), np.zeros(len(data), dtype=np.float32)
-        log, next_ = self.log.reshape(-1), self.next.reshape(-1)
-        live = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")
-        for step, m in enumerate(live.tolist()):
-            place = start[:m] + step
-            cell = state[:m] * SYMBOLS + data[place] + 1
-            if step < DEPTH:
-                scored = step >= lead[:m]
-                out[place[scored]] = log[cell[scored]]
-            else:
-                out[place] = log[cell]
-            state[:m] = next_[cell]
-        return out
 
-    def token_logs(self, streams: list[bytes]) -> np.ndarray:
-        """log10 probability of each token of the streams, one after another."""
-        data = np.frombuffer(b"".join(streams), dtype=np.uint8)
-        sizes = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams))
-        last = (data == 32) | (data == 10)  # a token ends with a space or is the end mark
-        last[np.cumsum(sizes) - sizes] = False
-        ends = np.cumsum(self.logs(streams), dtype=np.float64)[last]
-        return np.diff(ends, prepend=0.0)
+def symbol_logs(log: np.ndarray, next_: np.ndarray, streams: list[bytes], span: int = 1024) -> np.ndarray:
+    """log10 probability of each symbol of the joined streams by an
+    automaton's tables; 0 for the first symbol of a stream.
+
+    Streams are cut in spans that run side by side; a span first takes the
+    ``DEPTH`` symbols before it, which settle its state.
+    """
+    sizes = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams))
+    firsts = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(streams), dtype=np.uint8)
+    n = -(-(sizes - 1) // span)
+    owner = np.repeat(np.arange(len(streams)), n)
+    at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * span + 1  # first symbol to score
+    lead = np.minimum(at, DEPTH)
+    start, length = firsts[owner] + at - lead, np.minimum(at + span, sizes[owner]) - at + lead
+    order = np.argsort(-length, kind="stable")
+    start, length, lead = start[order], length[order], lead[order]
+    state, out = np.zeros(len(order), np.int64), np.zeros(len(data), dtype=np.float32)
+    log, next_ = log.reshape(-1), next_.reshape(-1)
+    live = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")
+    for step, m in enumerate(live.tolist()):
+        place = start[:m] + step
+        cell = state[:m] * SYMBOLS + data[place] + 1
+        if step < DEPTH:
+            scored = step >= lead[:m]
+            out[place[scored]] = log[cell[scored]]
+        else:
+            out[place] = log[cell]
+        state[:m] = next_[cell]
+    return out
+
+
+def token_logs(log: np.ndarray, next_: np.ndarray, streams: list[bytes]) -> np.ndarray:
+    """log10 probability of each token of the streams, one after another."""
+    data = np.frombuffer(b"".join(streams), dtype=np.uint8)
+    sizes = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams))
+    last = (data == 32) | (data == 10)  # a token ends with a space or is the end mark
+    last[np.cumsum(sizes) - sizes] = False
+    ends = np.cumsum(symbol_logs(log, next_, streams), dtype=np.float64)[last]
+    return np.diff(ends, prepend=0.0)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -274,7 +276,8 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     chunks = stored(read_chunks(docs), "chunks")
     rows = tree_counts(chunks.where("kind = 'gram'").select(F.col("number").alias("key"), "n")).toPandas()  # bounded, see above
-    tree = spark.sparkContext.broadcast(Automaton(rows))
+    automaton = Automaton(rows)
+    tree = spark.sparkContext.broadcast((automaton.log, automaton.next))  # arrays alone: tasks need no class of ours
 
     words = chunks.where("kind = 'word'").select(F.col("chunk").alias("of"), F.col("number").alias("code"), F.col("data").alias("word"), "n")
     known = stored(words.groupBy("word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("chunks")), "words")
@@ -307,7 +310,7 @@ def score(docs: DataFrame) -> DataFrame:
             sizes = [len(x) for x in codes]
             firsts, codes = np.cumsum(sizes) - sizes, np.concatenate(codes)
             base = log[codes]
-            mixed = np.log10(BASE_WEIGHT * 10.0 ** base + (1 - BASE_WEIGHT) * 10.0 ** tree.value.token_logs(streams))
+            mixed = np.log10(BASE_WEIGHT * 10.0 ** base + (1 - BASE_WEIGHT) * 10.0 ** token_logs(*tree.value, streams))
             out.append(pd.DataFrame({
                 "doc_id": part["doc_id"], "held_out": [not learned(x) for x in part["doc_id"].tolist()], "n_tokens": sizes,
                 "n_known": np.add.reduceat((c[codes] > 0).astype(np.int64), firsts), "train_tokens": n_all,
