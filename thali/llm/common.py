@@ -28,6 +28,13 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(c, GAP), "")
 
 
+def literal_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A fixed table as a projection of literals."""
+    names, types = zip(*[f.strip().split(" ", 1) for f in schema.split(",")])
+    made = [F.struct(*[F.lit(v).cast(t).alias(n) for n, t, v in zip(names, types, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*made)))
+
+
 def fenced(c: Column) -> Column:
     """``c`` behind a condition that always holds but that the optimiser
     cannot fold, so a filter on ``c`` is not pushed below its projection.

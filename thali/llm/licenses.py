@@ -26,7 +26,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thali.llm.common import ascii_lower, stored
+from thali.llm.common import ascii_lower, literal_rows, stored
 
 # Base phrases with their labels.
 PHRASES = (
@@ -120,8 +120,8 @@ def matches(rows: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
         wider = [k for k, (_, other) in enumerate(templates) if set(own) < set(template_words(other))]
         sets.append((number, label, own, need, wider))
         prefixes += [(w, number, i, len(own), need, len(own) > LINE_WORDS) for i, w in enumerate(own[:len(own) - need + 1])]
-    prefix = spark.createDataFrame(prefixes, "word string, template int, at_t int, size_t int, need int, long boolean")
-    whole = spark.createDataFrame(sets, "template int, label string, own array<string>, need_all int, wider array<int>")
+    prefix = literal_rows(spark, "word string, template int, at_t int, size_t int, need int, long boolean", prefixes)
+    whole = literal_rows(spark, "template int, label string, own array<string>, need_all int, wider array<int>", sets)
 
     width = lambda x, i: F.struct(
         i.alias("line"), x.alias("held"),

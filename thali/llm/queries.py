@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thali.llm import bpe, chat, exact_dedup, langid, licenses, mixing, quality, sharding, simhash, suffix_tree
-from thali.llm.common import read_table
+from thali.llm.common import literal_rows, read_table
 
 # The white space class, as DuckDB's regex takes it.
 _GAP = r"[\x20\x09-\x0D]+"
@@ -61,7 +61,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
-    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = literal_rows(spark, "conv_id bigint, turn bigint, role string, text string", [(-1, 0, "user", said), (-1, 1, "assistant", said)])
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.formatted(turns.unionByName(own)))
 
