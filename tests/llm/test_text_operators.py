@@ -498,6 +498,27 @@ def test_licenses(spark, odd, docs):
         assert got == want
 
 
+def found_labels(spark, texts):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    return {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in licenses.scan(rows).collect()}
+
+
+def test_wrapped_licenses(spark):
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+           "documentation files, to deal in the Software without restriction").split()
+    texts = [
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", {"mpl-2.0"}),
+        ("licensed under a Creative Commons Attribution 4.0\nInternational License", {"cc-by-4.0"}),
+        ("// licensed under the GNU General Public\n// License, version 3", {"gpl", "gpl-3.0"}),
+        ("x\n" * 500 + "Released\nunder\n\nthe\nMIT\nLicense\n" + "y\n" * 500, {"mit"}),
+        (" * " + "\n * ".join(mit), {"mit"}), ("\n\n".join(mit), {"mit"}), ("\n\n".join(mit[:20]), set())]
+    # a run over every place of the pieces that a text is cut in
+    texts += [("z " * n + "Released under\nthe MIT License", {"mit"}) for n in range(0, 140, 7)]
+    got = found_labels(spark, texts)
+    for i, (text, want) in enumerate(texts):
+        assert got[i] == want, text[:80]
+
+
 # all
 
 def test_empty_tables(spark, none):
