@@ -519,6 +519,20 @@ def test_wrapped_licenses(spark):
         assert got[i] == want, text[:80]
 
 
+def test_licenses_need_their_words_near(spark):
+    by, nc, far = "Licensed under CC BY 4.0", "Licensed under CC BY-NC 4.0", "word " * 100
+    texts = [
+        (f"this is free and {'word ' * 9000} software released {'word ' * 9000} into the public domain", set()),
+        (far.join(["released ", "under ", "the ", "mit ", "license"]), set()),
+        ("word " * 5000 + "Released under the MIT License " + "word " * 5000, {"mit"}),
+        (f"{by} {far} {nc}", {"cc-by", "cc-by-4.0", "cc-by-nc-4.0"}), (f"{nc} {far} {by}", {"cc-by", "cc-by-4.0", "cc-by-nc-4.0"}),
+        (f"{by}, the images are {nc}", {"cc-by", "cc-by-4.0", "cc-by-nc-4.0"}), (f"{by} {nc}", {"cc-by", "cc-by-4.0", "cc-by-nc-4.0"}),
+        (nc, {"cc-by", "cc-by-nc-4.0"}), (f"{nc} and {nc}", {"cc-by", "cc-by-nc-4.0"}), (f"{nc} {far} {nc}", {"cc-by", "cc-by-nc-4.0"})]
+    got = found_labels(spark, texts)
+    for i, (text, want) in enumerate(texts):
+        assert got[i] == want, text[:80]
+
+
 # all
 
 def test_empty_tables(spark, none):

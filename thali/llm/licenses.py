@@ -147,8 +147,8 @@ def scanned(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
 def matches(rows: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, label, first, last, containment) of every run and
     template at or above the threshold, by the places of the run's first and
-    last word; where a window holds two templates and one has all words of the
-    other, the wider one names it.  Repeated rows and runs over two pieces
+    last word; a run within one of a template that has all words of its own and
+    more is left to the wider one.  Repeated rows and runs over two pieces
     repeat."""
     spark, piece = rows.sparkSession, _piece(templates)
     windows = rows.select("doc_id", "text_hash", F.inline("windows"))
@@ -196,7 +196,8 @@ def matches(rows: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     each = found.select("doc_id", "text_hash", "at", "of", F.inline("of")).select("doc_id", "text_hash", "at", "of", "label", "wider", "size_t", F.inline("runs"))
     # a run that does not reach the middle piece is whole in another window
     each = each.where((F.col("last") >= F.col("at")) & (F.col("first") < F.col("at") + piece))
-    within = F.exists("of", lambda x: F.array_contains("wider", x["template"]))
+    within = F.exists("of", lambda x: F.array_contains("wider", x["template"]) & F.exists(
+        x["runs"], lambda o: (o["first"] <= F.col("first")) & (o["last"] >= F.col("last"))))
     return each.where(~within).select("doc_id", "text_hash", "label", "first", "last", (F.col("n") / F.col("size_t")).alias("containment"))
 
 
