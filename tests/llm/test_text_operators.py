@@ -301,6 +301,18 @@ def test_suffix_tree_odd_rows(odd):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
+def test_unknown_words_pay_for_their_spelling(spark):
+    rng = random.Random(3)
+    junk = {n: "".join(rng.choices(string.ascii_letters + string.digits, k=n)) for n in (10, 100, 1000)}
+    out_of = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    rows = [(i, "the cat sat on the mat and the dog sat by the door") for i in range(100) if i not in out_of]
+    rows += list(zip(out_of, junk.values()))
+    got = {r["doc_id"]: r for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({got[i]["base_score"] for i in out_of}) == 1
+    for i, n in zip(out_of, junk):  # a byte that no state expects costs a digit at least
+        assert math.isfinite(got[i]["score"]) and got[i]["score"] < got[i]["base_score"] and got[i]["score"] < -n
+
+
 # language ID
 
 def test_language_id(spark, odd, none):

@@ -11,7 +11,9 @@ towards the suffix's with as much weight as they have distinct next symbols;
 the root adds 1/2 to each of 257 symbols.  A symbol is scored by the longest
 state that is a suffix of what precedes it.  The score smooths each token once
 more, with its base probability: ``BASE_WEIGHT`` of that and the rest of the
-tree's.
+tree's.  The base has one probability for all unknown words together, so in the
+score an unknown word gets that times the tree's probability of its spelling;
+over all tokens the score's probabilities sum to at most 1.
 
 The counts are Spark aggregates over all texts.  The tree itself is bounded
 whatever the input: each depth has at most ``1 / LEAST_SHARE`` contexts of that
@@ -310,7 +312,10 @@ def score(docs: DataFrame) -> DataFrame:
             sizes = [len(x) for x in codes]
             firsts, codes = np.cumsum(sizes) - sizes, np.concatenate(codes)
             base = log[codes]
-            mixed = np.log10(BASE_WEIGHT * 10.0 ** base + (1 - BASE_WEIGHT) * 10.0 ** token_logs(*tree.value, streams))
+            spelling = token_logs(*tree.value, streams)
+            known_or_spelled = np.where(c[codes] > 0, base, base + spelling)
+            mixed = np.logaddexp(  # in logs: a long token's probability is below the smallest double
+                np.log(BASE_WEIGHT) + known_or_spelled * np.log(10), np.log(1 - BASE_WEIGHT) + spelling * np.log(10)) / np.log(10)
             out.append(pd.DataFrame({
                 "doc_id": part["doc_id"], "held_out": [not learned(x) for x in part["doc_id"].tolist()], "n_tokens": sizes,
                 "n_known": np.add.reduceat((c[codes] > 0).astype(np.int64), firsts), "train_tokens": n_all,
