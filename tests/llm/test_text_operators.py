@@ -344,13 +344,17 @@ def test_network_gradients():
 
 # BPE
 
-@pytest.fixture(scope="module")
-def codecs():
+def codec_and_library():
     raw = open(RANKS, "rb").read()
     return bpe.Codec(raw, public_tokenizers.PATTERN), tiktoken.Encoding(
         "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(raw), special_tokens={})
 
 
+@pytest.fixture(scope="module")
+def codecs():
+    return codec_and_library()
+
+
 def ids_of(data):
     return memoryview(data).cast("I").tolist() if data else []
 
@@ -369,6 +373,39 @@ def test_bpe_matches_the_library(codecs, monkeypatch):
         assert ids_of(ours.encode(text)) == library.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("text", ["a" * 3001, "-" * 5000, "abc" * 777 + "x" * 1001 + "q", "=" * 700 + "-" * 900, "\u65e5\u672c" * 900, "ha" * 400 + "he" * 600])
+def test_bpe_of_repeated_units(text):
+    codec, library = codec_and_library()
+    assert list(memoryview(codec.encode(text)).cast("I")) == library.encode_ordinary(text)
+
+
+def test_bpe_of_very_long_runs():
+    codec, _ = codec_and_library()
+    for text in ("a" * 2_000_000, "-" * 200_000 + "end" + "=" * 200_000):
+        assert codec.decode_packed(codec.encode(text)) == text.encode()
+    many = codec_and_library()[0].merged_by_heap(b"a" * 20_000)
+    assert codec.merged_everywhere(b"a" * 20_000) == many
+
+
+def test_bpe_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "KNOWN_PAIRS", 100)
+    codec, library = codec_and_library()
+    rng = random.Random(5)
+    text = " ".join("".join(chr(rng.randrange(0x4e00, 0x9fff)) for _ in range(9)) for _ in range(2000))
+    assert list(memoryview(codec.encode(text)).cast("I")) == library.encode_ordinary(text)
+    assert codec.known_bytes < 21_000 and len(codec.pairs) <= 100 and len(codec.settled) <= 100
+
+
+def test_slices_are_bounded_in_bytes():
+    import pyarrow as pa
+
+    from thali.llm.common import slices
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, None, "b" * 100, "c" * 10, "d" * 10, ""])], ["doc_id", "text"])
+    parts = list(slices([batch, batch.slice(0, 0)], rows=4, size=25))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1], [2], [3, 4, 5]]
+
+
 def test_bpe_round_trip(odd, docs, codecs):
     for df in (odd, docs):
         want = collections.Counter()

@@ -8,9 +8,13 @@ behind a match nor more than two characters past its end.  A long match is
 encoded the same way one level down: halves join by merging a window of tokens
 anew, which grows until each of its ends forms a stable pair with the token
 outside.  Tokens whose neighbours are all stable pairs are the whole encoding.
-Decoding concatenates up the same tree.
+In a run that repeats a short unit (a ruled line, padding) no pair need be
+stable, so its window is the whole run from the start; its few distinct pairs
+are merged everywhere at once.  Decoding concatenates up the same tree.
 
-The rank file is read on the driver and sent to the tasks (under 1 MB).
+The rank file is read on the driver and sent to the tasks (under 1 MB).  What a
+task remembers (matches, pairs) is bounded in bytes and dropped at its end;
+texts are encoded in slices of at most ``AT_ONCE`` bytes, a longer one alone.
 
 Defined results: null and empty texts have no tokens and decode to no bytes;
 repeated rows are encoded alike; other columns stay, but those named like an
@@ -22,9 +26,11 @@ from __future__ import annotations
 import base64
 import heapq
 import struct
+import sys
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -35,7 +41,16 @@ from thali.llm.common import slices
 LEAF = 4096
 PIECE_LEAF = 32
 IDS_LEAF = 4096
-CACHED = 600_000
+#: Bytes of remembered matches a task holds at most; a longer match is not kept.
+KNOWN_BYTES = 48 << 20
+KNOWN_CHARS = 64
+#: Remembered pairs a task holds at most, of some 150 bytes each.
+KNOWN_PAIRS = 150_000
+#: Bytes of text encoded at once.
+AT_ONCE = 1 << 20
+#: Units of repeated runs, in bytes, and distinct pairs that are merged everywhere at once.
+PERIOD = 64
+FEW_PAIRS = 256
 NONE = 1 << 40  # above any rank
 
 
@@ -51,26 +66,16 @@ class _Pairs(dict):
         self.ranks, self.tokens = ranks, tokens
 
     def __missing__(self, pair: int) -> int:
-        if len(self) >= CACHED:
+        if len(self) >= KNOWN_PAIRS:
             self.clear()
         rank = self.ranks.get(self.tokens[pair >> 32] + self.tokens[pair & 0xFFFFFFFF], NONE)
         self[pair] = rank
         return rank
 
 
-class _Known(dict):
-    """Packed ids of the matches met so far; long ones are not kept."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = packed(self.encode(piece.encode()))
-        if len(self) >= CACHED:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+def repeats(data: bytes) -> bool:
+    """Whether a long run repeats a unit of at most ``PERIOD`` bytes."""
+    return len(data) > 8 * PERIOD and any(data[p:3 * p] == data[:2 * p] and data[p:] == data[:-p] for p in range(1, PERIOD + 1))
 
 
 def packed(ids: list[int]) -> bytes:
@@ -87,7 +92,9 @@ class Codec:
         self.byte = [self.ranks[bytes([i])] for i in range(256)]
         self.cut = regex.compile(pattern).findall
         self.pairs = _Pairs(self.ranks, self.tokens)
-        self.known = _Known(self.piece)
+        self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
+        self.settled: dict[int, bool] = {}
 
     # tokens of one match
 
@@ -95,7 +102,8 @@ class Codec:
         """Tokens of a short run of bytes: the lowest rank merges first, the
         leftmost of equal ones.  A token's id is its rank."""
         if len(data) > 8 * PIECE_LEAF:
-            return self.merged_by_heap(data)
+            everywhere = self.merged_everywhere(data)
+            return self.merged_by_heap(data) if everywhere is None else everywhere
         ids, rank = [self.byte[x] for x in data], self.pairs.__getitem__
         pairs = [rank(a << 32 | b) for a, b in zip(ids, ids[1:])]
         while pairs and (best := min(pairs)) < NONE:
@@ -130,9 +138,36 @@ class Codec:
                 heapq.heappush(heap, (rank(ids[k] << 32 | made), k, ids[k], made))
         return [x for x in ids if x >= 0]
 
+    def merged_everywhere(self, data: bytes) -> list[int] | None:
+        """The same for a run of few distinct pairs: the lowest pair merges at
+        all its places at once, from the left.  None if the pairs are many, or
+        if a merge made a lower pair, which would have gone first."""
+        ids = np.array(self.byte, dtype=np.int64)[np.frombuffer(data, dtype=np.uint8)]
+        last = -1
+        while len(ids) > 1:
+            packed_pairs = ids[:-1] << 32 | ids[1:]
+            pairs = np.unique(packed_pairs)
+            if len(pairs) > FEW_PAIRS:
+                return None
+            ranks = [self.pairs[p] for p in pairs.tolist()]
+            made = min(ranks)
+            if made == NONE:
+                break
+            if made < last or ranks.count(made) > 1:
+                return None
+            last, pair = made, pairs[ranks.index(made)]
+            places = np.flatnonzero(packed_pairs == pair)
+            if pair >> 32 == pair & 0xFFFFFFFF:  # of overlapping places, every other one
+                firsts = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+                of = np.repeat(firsts, np.diff(firsts, append=len(places)))
+                places = places[(np.arange(len(places)) - of) % 2 == 0]
+            ids[places] = made
+            ids = np.delete(ids, places + 1)
+        return ids.tolist()
+
     def run(self, data: bytes) -> list[int]:
         """Tokens of a run of bytes of any length, by halves."""
-        if len(data) <= PIECE_LEAF:
+        if len(data) <= PIECE_LEAF or repeats(data):
             return self.merged(data)
         half = len(data) // 2
         return self.join_runs(self.run(data[:half]), self.run(data[half:]))
@@ -147,7 +182,13 @@ class Codec:
             wide *= 2
 
     def stable(self, a: int, b: int) -> bool:
-        return self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+        pair = a << 32 | b
+        known = self.settled.get(pair)
+        if known is None:
+            if len(self.settled) >= KNOWN_PAIRS:
+                self.settled.clear()
+            known = self.settled[pair] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+        return known
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one match."""
@@ -188,7 +229,19 @@ class Codec:
             b *= 2
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.pieces(text)))
+        known, out = self.known, []
+        for piece in self.pieces(text):
+            ids = known.get(piece)
+            if ids is None:
+                ids = packed(self.piece(piece.encode()))
+                if len(piece) <= KNOWN_CHARS:
+                    if self.known_bytes > KNOWN_BYTES:
+                        known.clear()
+                        self.known_bytes = 0
+                    known[piece] = ids
+                    self.known_bytes += sys.getsizeof(piece) + sys.getsizeof(ids) + 120  # with its place in the table
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= IDS_LEAF:
@@ -220,7 +273,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, and_back: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = make()
-        for part in slices(batches):
+        for part in slices(batches, size=AT_ONCE):
             ids = [codec.encode(t) if t else b"" for t in part.column(part.num_columns - 1).to_pylist()]
             columns = [*part.columns[:-1], pa.array(ids, pa.binary())]
             if and_back:
@@ -237,7 +290,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = make()
-        for part in slices(batches):
+        for part in slices(batches, size=AT_ONCE):
             back = [codec.decode_packed(x) for x in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(back, pa.binary())], [*part.schema.names, "decoded"])
 

@@ -4,11 +4,12 @@ hot key cannot skew."""
 from __future__ import annotations
 
 import string
-import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,15 +57,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local session without the
-    setting gets a fresh scratch folder, any other session must set it."""
+    """The folder in ``spark.checkpoint.dir``, or the checkpoint folder that the
+    session's owner has set.  A session of one machine (``local[...]``), whose
+    executors are the driver itself, may leave both unset: the folder is then in
+    the warehouse."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        if not (sc.master or "").startswith("local"):
+        if not (sc.master or "").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="thali-llm-"))
-        base = sc.getCheckpointDir()
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/thali-checkpoints"
     return base.rstrip("/")
 
 
@@ -79,12 +81,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches cut small, so a task holds the Python values of a few texts
-    at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut small, at most ``rows`` rows and, but for a single
+    longer row, ``size`` bytes of texts, so a task holds the Python values of a
+    few texts at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        lengths = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                lengths += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, parts: int = 1000) -> DataFrame:
