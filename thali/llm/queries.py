@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thali.llm import bpe, chat, exact_dedup, langid, licenses, mixing, quality, sharding, simhash, suffix_tree
+from thali.llm import bpe, chat, collocations, exact_dedup, langid, lexical, licenses, minhash, mixing, quality, sharding, simhash, suffix_tree
 from thali.llm.common import literal_rows, read_table
 
 # The white space class, as DuckDB's regex takes it.
@@ -191,3 +191,57 @@ select doc_id, n_words, len(places) as n_base, list_min(places) - 1 as first_wor
   array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') as labels, coalesce(best, 0.0) as score
 from b left join found using (rid)
 """
+
+
+@query
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(read_table(spark, sf_dir, "documents"), shingle=4)
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(read_table(spark, sf_dir, "documents"), longest=3, least=10, inside=50, top=2000)
+
+
+_STOPS = r"[.,;:!?\x0A-\x0D]"
+
+ORACLE["op12_collocations"] = rf"""
+with t as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as t from documents
+), p as (
+  select lang, unnest(regexp_split_to_array(t, '{_STOPS}')) as piece from t
+), s as (
+  select row_number() over () as pid, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from p
+), o as (
+  select pid, lang, unnest(w) as word, generate_subscripts(w, 1) as i from s
+), grams as (
+  select lang, word as w1, lead(word) over at_piece as w2, lead(word, 2) over at_piece as w3 from o window at_piece as (partition by pid order by i)
+), f as (
+  select lang, 1 as k, w1 as phrase, count(*) as f from grams group by all
+  union all select lang, 2, w1 || ' ' || w2, count(*) from grams where w2 is not null group by all
+  union all select lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) from grams where w3 is not null group by all
+), totals as (
+  select lang, sum(f)::bigint as n from f where k = 1 group by lang
+), candidates as (
+  select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 10
+), cuts as (
+  select c.lang, c.phrase, a, j, l.f as l, r.f as r, (1000000::hugeint * a * a) // (l.f::hugeint * r.f) as s
+  from candidates c join (values (1), (2)) v(j) on j < c.k
+    join f l on l.lang = c.lang and l.phrase = array_to_string(w[1:j], ' ')
+    join f r on r.lang = c.lang and r.phrase = array_to_string(w[j + 1:], ' ')
+), best as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by s, j) = 1
+), around as (
+  select lang, phrase, max(a) as most from (
+    select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase, a from candidates where k = 3) group by all
+), ranked as (
+  select b.*, row_number() over (partition by b.lang order by s desc, b.a desc, b.phrase) as rank
+  from best b left join around o on o.lang = b.lang and o.phrase = b.phrase where o.most is null or 100 * o.most < 50 * b.a
+)
+select lang, rank, phrase, a, l, r, n, s::bigint as score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
+@query
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), top=20)
