@@ -70,14 +70,14 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
     This cuts the lineage with files that outlive any executor.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/thali-llm/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1 +1,370 @@
-def search(*a,**k): pass
+"""Ranked lexical search by Block-Max MaxScore over an inverted index in shards.
+
+Index: a shard is a run of at most ``SHARD_TERMS`` term occurrences of
+documents that one task read.  Each term of a shard has one row: its postings in
+blocks of ``BLOCK`` documents, each block compressed by itself, and for each
+block the last document and the impacts (most occurrences by least length: the
+pairs that no other pair of the block beats).  The whole corpus is indexed; N, L
+and df are sums over the index.
+
+Search: a query's terms are looked up in every shard.  Bounds of each list are
+its best impact under the corpus-wide weights, those of a block likewise.
+Terms are ordered by bound; with the twentieth best score so far as threshold,
+the longest prefix of the order whose bounds together stay below it is
+non-essential: a document with such terms alone cannot enter.  Candidates come
+from the essential lists, a range of documents at a time, and are completed list
+by list from the strongest non-essential one down.  Before a list is read, a
+candidate whose score, with the block maximum of its block there and the bounds
+of the weaker lists, does not reach the threshold is rejected, and only blocks
+that hold a candidate left are decompressed.  The shards' best ``top`` of each
+query are merged by rank.
+
+Scores are 64-bit integers and the bounds are exact, so the result is that of
+scoring every document.  Ties with the last are kept until they are ordered by
+id, so they are cut off as a full sort would.
+
+Defined results: null and empty texts have no terms and are never found, nor
+are they counted in N; an item without terms, or whose terms no document holds,
+has no row; a null ``doc_id`` comes after all others among equal scores;
+rows of one ``item_id``, null included, are one query; repeated rows are documents of their own; extra columns are ignored; an empty
+table on either side gives an empty result.
+"""
+
+from __future__ import annotations
+
+import re
+import struct
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
+
+from thali.llm.common import slices, stored
+
+TOP = 20
+BLOCK = 128
+#: Term occurrences of a shard, and documents; a longer text is a shard alone.
+SHARD_TERMS = 5_000_000
+SHARD_DOCS = 50_000
+#: Documents of a shard that are scored before the threshold is looked at anew.
+RANGE = 1024
+#: Queries that a task holds at once.
+QUERIES_AT_ONCE = 512
+# A term is a run of these, A-Z lowered.
+_TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def terms_of(text: str | None) -> list[bytes]:
+    """Letters of other scripts are bytes above 0x7F in UTF-8, so a run of
+    such bytes is a run of such characters."""
+    return _TERM.findall((text or "").encode().lower())
+
+
+def _narrow(values: np.ndarray) -> tuple[int, bytes]:
+    width = 1 if values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4
+    return width, values.astype(f"<u{width}").tobytes()
+
+
+def packed_block(docs: np.ndarray, tf: np.ndarray) -> bytes:
+    """Postings of one block: the widths, the gaps, the counts."""
+    (a, gaps), (b, counts) = _narrow(np.diff(docs, prepend=docs[0])), _narrow(tf)
+    return bytes((a, b)) + gaps + counts
+
+
+def read_block(data: bytes, first: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = data[0], data[1]
+    n = (len(data) - 2) // (a + b)
+    gaps = np.frombuffer(data, dtype=f"<u{a}", count=n, offset=2).astype(np.int64)
+    return first + np.cumsum(gaps), np.frombuffer(data, dtype=f"<u{b}", count=n, offset=2 + a * n).astype(np.int64)
+
+
+def impacts(tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The (occurrences, length) pairs that none with as many occurrences and
+    no more length beats."""
+    order = np.lexsort((length, -tf))
+    tf, length = tf[order], length[order]
+    least = np.minimum.accumulate(length)
+    keep = np.ones(len(tf), dtype=bool)
+    keep[1:] = length[1:] < least[:-1]
+    return np.stack([tf[keep], length[keep]])
+
+
+def _rare(own: list[int], length: list[int]):
+    """The parts of a list of few documents, each with few occurrences."""
+    docs, tf = own[::2], own[1::2]
+    gaps = [0, *(b - a for a, b in zip(docs, docs[1:]))]
+    if max(gaps) > 255 or max(tf) > 255:
+        return None
+    best: list[tuple[int, int]] = []
+    for t, n in sorted(((t, length[d]) for d, t in zip(docs, tf)), key=lambda x: (-x[0], x[1])):
+        if not best or n < best[-1][1]:
+            best.append((t, n))
+    many = len(best)
+    return (struct.pack("<4I", docs[0], docs[-1], 2 + 2 * len(docs), many), struct.pack(f"<{2 * many}I", *(t for t, _ in best), *(n for _, n in best)),
+            bytes((1, 1, *gaps, *tf)))
+
+
+def _lists(own: dict[bytes, list[int]], lengths: list[int]):
+    """One row a term: (term, df, heads, impacts, postings).  ``heads``: for
+    each block first and last document, where its postings and its impacts
+    end."""
+    length = np.array(lengths, dtype=np.int64)
+    for term in sorted(own):
+        both = own[term]
+        small = _rare(both, lengths) if len(both) <= 8 else None
+        if small:
+            yield term, len(both) // 2, *small
+            continue
+        docs, tf = np.array(both, dtype=np.int64).reshape(-1, 2).T
+        blobs, best, heads, at, many = [], [], [], 0, 0
+        for i in range(0, len(docs), BLOCK):
+            d, t = docs[i:i + BLOCK], tf[i:i + BLOCK]
+            blobs.append(packed_block(d, t))
+            best.append(impacts(t, length[d]))
+            at += len(blobs[-1])
+            many += best[-1].shape[1]
+            heads.append((d[0], d[-1], at, many))
+        yield term, len(docs), np.array(heads, dtype="<u4").tobytes(), np.concatenate(best, axis=1).astype("<u4").tobytes(), b"".join(blobs)
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """Rows of the index: (shard, term, df, heads, impacts, postings), and one
+    row a shard with a null term, where df is its documents with a term, heads
+    their lengths and ``ids`` their ids."""
+    ids = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
+    schema = f"shard string, term binary, df long, heads binary, impacts binary, postings binary, ids array<{ids}>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context, number = TaskContext.get(), 0
+        own: dict[bytes, list[int]] = {}  # document, occurrences, document, ...
+        names: list[pa.Array] = []
+        lengths: list[int] = []
+        seen, id_type = 0, None
+
+        def rows(part, shard):
+            made = list(zip(*part))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([shard] * len(part)), *[pa.array(c, t) for c, t in zip(made, (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                 pa.nulls(len(part), pa.list_(id_type))], ["shard", "term", "df", "heads", "impacts", "postings", "ids"])
+
+        def shard():
+            name = f"{context.partitionId()}-{context.taskAttemptId()}-{number}"
+            part, size = [], 0
+            for row in _lists(own, lengths):
+                part.append(row)
+                size += len(row[4]) + 200
+                if size > 4 << 20:
+                    yield rows(part, name)
+                    part, size = [], 0
+            if part:
+                yield rows(part, name)
+            held = pa.concat_arrays(names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.nulls(1, pa.binary()), pa.array([len(lengths)], pa.int64()), pa.array([np.array(lengths, dtype="<u4").tobytes()], pa.binary()),
+                 pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)],
+                ["shard", "term", "df", "heads", "impacts", "postings", "ids"])
+
+        for part in slices(batches):
+            id_type = part.column(0).type
+            with_terms = []
+            for i, text in enumerate(part.column(1).to_pylist()):
+                found = terms_of(text)
+                if found:
+                    at = len(lengths)
+                    for term, n in Counter(found).items():
+                        held = own.get(term)
+                        if held is None:
+                            own[term] = [at, n]
+                        else:
+                            held += (at, n)
+                    lengths.append(len(found))
+                    with_terms.append(i)
+                    seen += len(found)
+            if with_terms:
+                names.append(part.column(0).take(pa.array(with_terms)))
+            if seen >= SHARD_TERMS or len(lengths) >= SHARD_DOCS:
+                yield from shard()
+                own = {}
+                names, lengths, seen, number = [], [], 0, number + 1
+        if lengths:
+            yield from shard()
+
+    return stored(docs.select("doc_id", "text").mapInArrow(run, schema), "index", "zstd")
+
+
+class Postings:
+    """A term's list in one shard."""
+
+    def __init__(self, heads: bytes, best: bytes, postings: bytes, mean: tuple[int, int]):
+        self.data, self.mean = postings, mean
+        self.first, self.last, self.ends, many = np.frombuffer(heads, dtype="<u4").astype(np.int64).reshape(-1, 4).T
+        tf, length = np.frombuffer(best, dtype="<u4").astype(np.int64).reshape(2, -1)
+        self.most = np.maximum.reduceat(part_score(tf, length, mean), np.concatenate(([0], many[:-1])))
+        self.bound = int(self.most.max())
+        self.read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in self.read:
+            start = int(self.ends[i - 1]) if i else 0
+            self.read[i] = read_block(self.data[start:int(self.ends[i])], int(self.first[i]))
+        return self.read[i]
+
+    def within(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Postings of documents from ``low`` to below ``high``."""
+        a, b = np.searchsorted(self.last, low), np.searchsorted(self.first, high)
+        parts = [self.block(i) for i in range(a, b)]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        docs, tf = (np.concatenate(x) for x in zip(*parts))
+        i, j = np.searchsorted(docs, (low, high))
+        return docs[i:j], tf[i:j]
+
+    def maxima(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each document the block that would hold it (-1: none) and the
+        most it could score there; no block is read."""
+        at = np.searchsorted(self.last, docs)
+        there = at < len(self.last)
+        there[there] = self.first[at[there]] <= docs[there]
+        return np.where(there, at, -1), np.where(there, self.most[np.where(there, at, 0)], 0)
+
+    def occurrences(self, docs: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Occurrences in the documents, which lie in the given blocks."""
+        out = np.zeros(len(docs), dtype=np.int64)
+        for i in np.unique(blocks[blocks >= 0]).tolist():
+            of = np.flatnonzero(blocks == i)
+            own, tf = self.block(i)
+            at = np.minimum(np.searchsorted(own, docs[of]), len(own) - 1)
+            out[of] = np.where(own[at] == docs[of], tf[at], 0)
+        return out
+
+
+def part_score(tf: np.ndarray, length: np.ndarray, mean: tuple[int, int]) -> np.ndarray:
+    """What an occurrence count is worth in a document, before the weight."""
+    n, total = mean
+    m = 75 + (25 * length * n) // total
+    return (1_000_000_000 * tf) // (1000 * tf + 12 * m)
+
+
+def best_of_shard(lists: list[tuple[Postings, int]], length: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, scores) of the shard's ``top`` and of ties with the last of
+    them.  ``lists``: each term's postings and weight."""
+    lists = sorted(lists, key=lambda x: x[0].bound * x[1])
+    upto = np.cumsum([p.bound * w for p, w in lists])  # of the weakest lists together
+    docs_kept, scores_kept, threshold = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    for low in range(0, len(length), RANGE):
+        high = min(low + RANGE, len(length))
+        # lists whose bounds together stay below the threshold are not essential
+        essential = int(np.searchsorted(upto, threshold))
+        if essential == len(lists):
+            break
+        score = np.zeros(high - low, dtype=np.int64)
+        for p, w in lists[essential:]:
+            docs, tf = p.within(low, high)
+            if len(docs):
+                score[docs - low] += w * part_score(tf, length[docs], p.mean)
+        docs = np.flatnonzero(score) + low
+        score = score[docs - low]
+        for i in range(essential - 1, -1, -1):
+            p, w = lists[i]
+            blocks, most = p.maxima(docs)
+            left = score + w * most + (int(upto[i - 1]) if i else 0) >= threshold
+            docs, score, blocks = docs[left], score[left], blocks[left]
+            if not len(docs):
+                break
+            score = score + w * part_score(p.occurrences(docs, blocks), length[docs], p.mean)
+        left = (score >= threshold) & (score > 0)
+        docs_kept, scores_kept = np.concatenate((docs_kept, docs[left])), np.concatenate((scores_kept, score[left]))
+        if len(scores_kept) >= top:
+            threshold = int(np.partition(scores_kept, len(scores_kept) - top)[len(scores_kept) - top])
+            left = scores_kept >= threshold
+            docs_kept, scores_kept = docs_kept[left], scores_kept[left]
+    return docs_kept, scores_kept
+
+
+def query_terms(items: DataFrame) -> DataFrame:
+    """(item_id, term, times)."""
+    ids = items.select("item_id").schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            at, terms, times = [], [], []
+            for i, text in enumerate(part.column(1).to_pylist()):
+                for term, n in Counter(terms_of(text)).items():
+                    at.append(i)
+                    terms.append(term)
+                    times.append(n)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(terms, pa.binary()), pa.array(times, pa.int64())],
+                                             ["item_id", "term", "times"])
+
+    return items.select("item_id", "text").mapInArrow(run, f"item_id {ids}, term binary, times long")
+
+
+def search_index(index: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
+    """item_id, rank, doc_id, score: the ``top`` documents of each item."""
+    item, doc = items.schema["item_id"].dataType, index.schema["ids"].dataType.elementType
+    mean = corpus_totals(index)
+    n_docs = mean[0]
+    asked = stored(query_terms(items), "query_terms")
+    # of the index, the lists that any query needs
+    lists = stored(index.where("term is not null").drop("ids").join(asked.select("term").distinct(), "term"), "sought", "zstd")
+    df = lists.groupBy("term").agg(F.sum("df").alias("df"))
+    weights = df.select("term", F.floor(1000 * F.log((2 * F.lit(n_docs) + 2) / (2 * F.col("df") + 1))).cast("long").alias("w"))
+    # queries in blocks of about QUERIES_AT_ONCE; a list goes once to each block that needs it, with the items that do
+    blocks = max(1, -(-items.count() // QUERIES_AT_ONCE))
+    queries = (asked.join(weights, "term").where("w > 0")
+               .groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block"), "term")
+               .agg(F.collect_list("item_id").alias("items"), F.collect_list(F.col("w") * F.col("times")).alias("weights")))
+    lists = lists.join(queries, "term").select("shard", "block", "term", "heads", "impacts", "postings", "items", "weights")
+    about = index.where("term is null").select("shard", F.col("heads").alias("lengths"), "ids")
+    about = about.join(lists.select("shard", "block").distinct(), "shard").select(
+        F.col("shard").alias("of_shard"), F.col("block").alias("of_block"), "lengths", "ids")
+
+    def run(lists: pa.Table, about: pa.Table) -> pa.Table:
+        out_items, out_docs, out_scores = [], [], []
+        if about.num_rows and lists.num_rows:
+            length = np.frombuffer(about.column("lengths")[0].as_py(), dtype="<u4").astype(np.int64)
+            ids = about.column("ids")[0].values
+            of: dict = {}
+            for row in lists.select(["heads", "impacts", "postings", "items", "weights"]).to_batches():
+                for heads, best, postings, own, weights in zip(*(c.to_pylist() for c in row.columns)):
+                    p = Postings(heads, best, postings, mean)
+                    for i, w in zip(own, weights):
+                        of.setdefault(i, []).append((p, w))
+            for i, own in of.items():
+                docs, scores = best_of_shard(own, length, top)
+                named = list(zip((-scores).tolist(), ids.take(pa.array(docs)).to_pylist()))
+                named.sort(key=lambda x: (x[0], x[1] is None, x[1]))
+                for score, name in named[:top]:
+                    out_items.append(i)
+                    out_docs.append(name)
+                    out_scores.append(-score)
+        return pa.table({"item_id": pa.array(out_items, item_type), "doc_id": pa.array(out_docs, doc_type), "score": pa.array(out_scores, pa.int64())})
+
+    item_type, doc_type = to_arrow_type(item), to_arrow_type(doc)
+    schema = StructType([StructField("item_id", item), StructField("doc_id", doc), StructField("score", LongType())])
+    found = lists.groupBy("shard", "block").cogroup(about.groupBy("of_shard", "of_block")).applyInArrow(run, schema)
+    best = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
+
+
+def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
+    """The best ``top`` of all ``docs`` for each of ``items`` (item_id, text)."""
+    return search_index(build_index(docs), items, top)
+
+
+def corpus_totals(index: DataFrame) -> tuple[int, int]:
+    """Documents with a term, and their terms."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [int(np.frombuffer(x, dtype="<u4").sum(dtype=np.int64)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64())], ["n", "l"])
+
+    row = index.where("term is null").select("df", "heads").mapInArrow(run, "n long, l long").agg(F.sum("n"), F.sum("l")).first()
+    return row[0] or 0, row[1] or 0

@@ -245,3 +245,32 @@ select lang, rank, phrase, a, l, r, n, s::bigint as score from ranked join total
 @query
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), top=20)
+
+
+_TERMS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms(table: str, key: str) -> str:
+    text = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+    return f"select row_number() over () as rid, {key}, list_filter(regexp_split_to_array({text}, '{_TERMS}'), lambda x: x <> '') as w from {table}"
+
+
+ORACLE["op13_lexical"] = rf"""
+with d as ({_terms("documents", "doc_id")}
+), i as ({_terms("benchmark", "item_id")}
+), corpus as (
+  select count(*) as docs, sum(len(w))::bigint as terms from d where len(w) > 0
+), tf as (
+  select rid, term, count(*) as tf from (select rid, unnest(w) as term from d) group by all
+), weights as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w from tf, corpus group by term
+), asked as (
+  select item_id, term, count(*) as times from (select item_id, unnest(w) as term from i) group by all
+), scores as (
+  select item_id, d.rid, any_value(d.doc_id) as doc_id,
+    sum(times * weights.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(d.w) * docs) // terms))))::bigint as score
+  from asked join weights using (term) join tf using (term) join d on d.rid = tf.rid, corpus group by all
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from scores where score > 0 qualify rank <= 20
+"""
