@@ -8,9 +8,10 @@ universal hashes a*x+b mod 2^32: the first ``BANDS`` x ``ROWS`` are cut in bands
 and two bits of each make the signature.  Two sets of Jaccard similarity 0.8
 share a band but for a chance of 5e-8.
 
-A bucket (classes that share a band) is not paired out.  Its hub is the member
-whose buckets are the most crowded, which in a group of copies with edits is
-the one nearest to all.  Members are verified against the hub and linked.
+A bucket (classes that share a band) is not paired out.  Its hubs are the
+members whose buckets are the most crowded, which in a group of copies with
+edits are the ones nearest to all.  Members are verified against the first hub
+and linked, then, where they are not with them yet, against the others.
 Then only members of one bucket whose components still differ are compared:
 in the join itself, by their signatures, once a pair (in the first band that
 they share).  Who passes is confirmed on the full sets, so no link between
@@ -32,7 +33,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -42,8 +43,10 @@ from thali.llm.components import smallest_reachable
 SHINGLE = 5
 PERCENT = 80
 SEED = 42
-HASHES = 640
+HASHES = 1024
 BANDS, ROWS = 32, 4
+#: Hubs of a bucket.
+HUBS = 4
 #: Two bits a hash, 32 hashes a long.
 LANES = HASHES // 32
 #: Standard deviations that a linked pair's signature may lie below its mean.
@@ -198,30 +201,49 @@ def class_links(classes: DataFrame, texts: DataFrame, shingle: int, percent: int
     index = classes.select("cls", F.posexplode("bands").alias("band", "key"))
     shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     crowded = stored(index.join(shared, "key"), "buckets")
-    # each bucket's hub, and the members' links to it
-    score = crowded.groupBy("cls").agg(F.sum("crowd").alias("score"))
-    hubs = crowded.select("key", "cls").join(score, "cls").groupBy("key").agg(F.max(F.struct("score", "cls")).alias("hub")).select("key", F.col("hub.cls").alias("hub"))
-    star = crowded.select("key", "cls").join(hubs, "key").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
-    own = classes.select("cls", "bits")
-    near = (star.join(own.select(F.col("cls").alias("a"), F.col("bits").alias("bits_a")), "a")
-            .join(own.select(F.col("cls").alias("b"), F.col("bits").alias("bits_b")), "b")
-            .where(_differing("bits_a", "bits_b") <= most_differing(percent)).select("a", "b"))
-    near = stored(near, "near_hub")
     # texts of classes that share a bucket with any other, one a class
     involved = crowded.select("cls").distinct().join(classes.select("cls", "text_key"), "cls")
     own_text = stored(involved.join(texts, "text_key").select("cls", "text"), "texts")
-    linked = stored(confirmed(near, own_text, shingle, percent), "hub_links")
-    placed = smallest_reachable(linked)
+    # each bucket's hubs, and the members' links to them
+    score = crowded.groupBy("cls").agg(F.sum("crowd").alias("score"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "cls"))
+    hubs = crowded.select("key", "cls").join(score, "cls").withColumn("place", place).where(F.col("place") <= HUBS)
+    hubs = stored(hubs.select("key", F.col("cls").alias("hub"), "place"), "hubs")
+    own, most = classes.select("cls", "bits"), most_differing(percent)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose signatures pass."""
+        return (pairs.distinct().join(own.select(F.col("cls").alias("a"), F.col("bits").alias("bits_a")), "a")
+                .join(own.select(F.col("cls").alias("b"), F.col("bits").alias("bits_b")), "b")
+                .where(_differing("bits_a", "bits_b") <= most).select("a", "b"))
+
+    def star(rows: DataFrame, which: Column) -> DataFrame:
+        return rows.join(hubs.where(which), "key").where("cls <> hub")
+
+    def tree(placed: DataFrame) -> DataFrame:
+        return placed.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+    def with_component(placed: DataFrame) -> DataFrame:
+        return (crowded.select("key", "band", "cls").join(placed.withColumnRenamed("node", "cls"), "cls", "left")
+                .withColumn("component", F.coalesce("component", "cls")))
+
+    first = stored(near(star(crowded.select("key", "cls"), F.col("place") == 1).select(F.col("cls").alias("a"), F.col("hub").alias("b"))), "near_hub")
+    placed = smallest_reachable(stored(confirmed(first, own_text, shingle, percent), "hub_links"))
+    # members that are not with their bucket's other hubs yet
+    of_hub = placed.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+    others = star(with_component(placed), F.col("place") > 1).join(of_hub, "hub", "left").where(F.col("component") != F.coalesce("hub_component", "hub"))
+    second = stored(near(others.select(F.col("cls").alias("a"), F.col("hub").alias("b"))), "near_hubs")
+    placed = smallest_reachable(stored(tree(placed).union(confirmed(second, own_text, shingle, percent)), "hub_links"))
     # members of one bucket in different components
-    member = crowded.select("key", "band", "cls").join(placed.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    member = with_component(placed)
     split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     rest = member.join(split, "key", "left_semi").join(classes.select("cls", "bits", F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("tags")), "cls")
     a = rest.select("key", "band", *[F.col(c).alias(f"{c}_a") for c in ("cls", "component", "bits", "tags")])
     b = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "component", "bits", "tags")])
     met = a.join(b, (a["key"] == b["key"]) & (F.col("component_a") < F.col("component_b"))
-                 & (_differing("bits_a", "bits_b") <= most_differing(percent)) & (_first_shared("tags_a", "tags_b") == F.col("band")))
+                 & (_differing("bits_a", "bits_b") <= most) & (_first_shared("tags_a", "tags_b") == F.col("band")))
     more = confirmed(met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")), own_text, shingle, percent)
-    return smallest_reachable(stored(placed.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "links"))
+    return smallest_reachable(stored(tree(placed).union(more), "links"))
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
