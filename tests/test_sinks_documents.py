@@ -73,12 +73,16 @@ def test_null_and_empty_stay_apart_in_csv(spark, scratch):
     assert _read(spark, os.path.join(scratch, "e"), frame) == _texts(frame)
 
 
-def test_activity_log_appends(spark, t, scratch):
+def test_activity_log_has_each_batch_once(spark, t, scratch):
     act = changes.apply_payment_changes(t["payments"], t["orders"], payment_change_batch({"orders": t["orders"]})).history
+    other = act.limit(3)
     path = os.path.join(scratch, "activity")
-    exports.append_activity(act, path)
-    exports.append_activity(act, path)
-    assert _texts(spark.read.parquet(path)) == _texts(act.unionByName(act))
+    for rows, batch in ((act, "2024-01-30"), (other, "2024-01-31"), (act, "2024-01-30")):  # the first is run again
+        exports.append_activity(rows, path, batch)
+    assert exports.read_activity(spark, path).count() == act.count() + 3
+    assert _texts(exports.read_activity(spark, os.path.join(path, "batch=2024-01-30"))) == _texts(act)
+    with pytest.raises(ValueError):
+        exports.append_activity(act, path, "../elsewhere")
 
 
 def test_snapshot_versions(spark, t, scratch):

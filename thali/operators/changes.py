@@ -1,8 +1,10 @@
 """Batch table changes as new snapshots.
 
 Parquet tables take no ``UPDATE``/``MERGE``, so a batch of changes yields
-*new* DataFrames (snapshot, history, rejects) that the caller writes to a
-new versioned folder (``thali.sinks.exports.write_snapshot``).
+*new* DataFrames (snapshot, history, rejects).  The caller writes a snapshot to
+a new versioned folder (``thali.sinks.exports.write_snapshot``), or applies the
+batch to a table kept in parts (``thali.sinks.versions``), which rewrites the
+parts that the batch touches.
 
 Several changes to one order collapse to one row per order with
 ``max_by`` aggregates (partial aggregation, so a hot order costs no extra), and
@@ -12,21 +14,31 @@ the snapshot is one left join on ``order_id``.  Changes of one order with equal
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thali.operators.ranges import in_ranges, looked_back
+
 # The status domains the change endpoints accept.
 ORDER_STATUSES = ("pending", "processing", "completed", "cancelled", "delivered")
 PAYMENT_STATUSES = ("pending", "completed", "failed", "refunded", "cancelled")
 
 
 class ChangeResult(NamedTuple):
+    """The frames of a batch.  The history is sorted into stored ranges, so it
+    is made when asked for."""
+
     snapshot: DataFrame
-    history: DataFrame
+    make_history: Callable[[], DataFrame]
     rejects: DataFrame
 
+    @property
+    def history(self) -> DataFrame:
+        return self.make_history()
+
 
 def _reason(status_col: str, domain: tuple[str, ...]):
     s = F.col(status_col)
@@ -60,21 +72,31 @@ def apply_status_changes(orders: DataFrame, changes: DataFrame) -> ChangeResult:
                 .drop("_new_status", "_new_notes", "_has_notes")
                 .select(*orders.columns))
     base = orders.select("order_id", F.col("status").alias("_base"), F.lit(True).alias("_known"))
-    w = Window.partitionBy("order_id").orderBy("seq", "new_status", "notes", "changed_by")
-    history = (valid.join(base, "order_id")
-               .withColumn("old_status", F.coalesce(F.lag("new_status").over(w), F.col("_base")))
-               .select("order_id", "seq", "old_status", "new_status", "changed_by", "notes"))
-    return ChangeResult(snapshot, history, _rejects(changes.join(base, "order_id", "left"), changes, "new_status", ORDER_STATUSES))
+    return ChangeResult(snapshot, lambda: _history(valid.join(base, "order_id")),
+                        _rejects(changes.join(base, "order_id", "left"), changes, "new_status", ORDER_STATUSES))
+
+
+def _history(known: DataFrame) -> DataFrame:
+    """Each valid change of a known order with the status before it.  One
+    change back is looked up over sorted ranges, so an order may have any number
+    of changes; equal ``seq`` follow in the order of their other values."""
+    laid = in_ranges(known, "order_id", [F.col(c) for c in ("seq", "new_status", "notes", "changed_by")], "changes")
+    return (looked_back(laid, "order_id", "new_status", "_before")
+            .withColumn("old_status", F.coalesce("_before", "_base"))
+            .select("order_id", "seq", "old_status", "new_status", "changed_by", "notes"))
 
 
-def apply_payment_changes(payments: DataFrame, orders: DataFrame, changes: DataFrame) -> ChangeResult:
+def apply_payment_changes(payments: DataFrame, orders: DataFrame, changes: DataFrame,
+                          all_payments: DataFrame | None = None) -> ChangeResult:
     """``changes`` (order_id, payment_status, transaction_id, changed_at, seq).
 
     Every payment row of the order takes the last status; transaction id =
     last non-empty one; payment_date = time of the last ``completed``
     change.  Orders without a payment get one built from the order (the
     first change inserts it, so its time is not a completion time).  The
-    ``history`` frame holds activity rows for the log sink (K5).
+    ``history`` frame holds activity rows for the log sink (K5).  Where
+    ``payments`` is a part of the table, ``all_payments`` is the whole, above
+    whose ids new ones lie.
     """
     valid = changes.where(_reason("payment_status", PAYMENT_STATUSES).isNull())
     st, tx = F.col("payment_status"), F.col("transaction_id")
@@ -92,7 +114,7 @@ def apply_payment_changes(payments: DataFrame, orders: DataFrame, changes: DataF
     base = orders.select("order_id", F.col("user_id").alias("_user"), F.col("total_amount").alias("_amount"),
                          F.col("payment_mode").alias("_mode"), F.lit(True).alias("_known"))
     # a new id is above all given ones, and one payment is new per order
-    above = payments.agg(F.coalesce(F.max("payment_id"), F.lit(0))).scalar()
+    above = (payments if all_payments is None else all_payments).agg(F.coalesce(F.max("payment_id"), F.lit(0))).scalar()
     both = payments.withColumn("_old", F.lit(True)).join(per_order.join(base, "order_id"), "order_id", "full")
     old = F.col("_old").isNotNull()
     new = {
@@ -115,7 +137,7 @@ def apply_payment_changes(payments: DataFrame, orders: DataFrame, changes: DataF
         .alias("description"),
         F.lit(None).cast("string").alias("ip_address"), F.lit(None).cast("string").alias("user_agent"),
         F.col("changed_at").alias("created_at"))
-    return ChangeResult(snapshot, activity, rejects)
+    return ChangeResult(snapshot, lambda: activity, rejects)
 
 
 def bulk_status_changes(ids: DataFrame, status: str, changed_by: str = "bulk",

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from thali.functions.ordering import order_desc, pg_asc, pg_desc
 from thali.functions.temporal import on_ist_days, on_utc_days
+from thali.operators.ranges import in_ranges, numbered
 
 PAGE_SIZE = 20
 # Status -> badge as the recent-activity list writes it (no delivered).
@@ -171,9 +172,11 @@ def customer_default_address(users: DataFrame, addresses: DataFrame) -> DataFram
 
 def customer_addresses(users: DataFrame, addresses: DataFrame) -> DataFrame:
     """Every customer with each of its addresses, default first then newest;
-    ``address_rank`` numbers them (NULL for a customer without addresses)."""
-    w = Window.partitionBy("user_id").orderBy(*_address_order(addresses))
-    ranked = addresses.withColumn("address_rank", F.row_number().over(w))
+    ``address_rank`` numbers them (NULL for a customer without addresses).
+
+    Numbered over sorted ranges, so the addresses of one customer may be of any
+    number."""
+    ranked = numbered(in_ranges(addresses, "user_id", _address_order(addresses), "addresses"), "user_id", "address_rank")
     a = _addr(ranked, "address_rank")
     return users.select("id", "full_name").join(a, F.col("id") == F.col("_uid"), "left").drop("_uid")
 

@@ -8,6 +8,8 @@ their size grows with the data:
   status ``refunded`` (seq 2, rejected); every order with a completed payment
   is marked completed (seq 3, no note, so the seq-1 note stays); every hundredth
   order's negative id is completed (seq 4): no such order exists.
+* stored changes: one month's pending orders are cancelled, its delivered orders
+  paid, its cancelled orders deleted, in tables kept by parts.
 * payment changes: delivered orders are paid at their delivery time with a
   transaction id (seq 1); cancelled orders get payment status ``cancelled``
   and an empty transaction id (seq 2).
@@ -15,14 +17,22 @@ their size grows with the data:
 
 from __future__ import annotations
 
-from datetime import timedelta
+import uuid
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from thali.functions.temporal import ntz
 from thali.operators import changes, documents
 from thali.plans import q_kpis  # noqa: F401  its oracles are used below
-from thali.plans.registry import AS_OF, REGISTRY, dbl, register, sql
+from thali.plans.registry import AS_OF, REGISTRY, dbl, register, sql, ts
+from thali.session import shared_folder
 from thali.sinks import exports
+from thali.sinks.versions import PartedTable, hash_part, month_part
+
+# The month that the stored changes touch; parts of the payments.
+MONTH_START, MONTH_END = date(1997, 3, 1), date(1997, 4, 1)
+PAYMENT_PARTS = 32
 
 
 def status_change_batch(t):
@@ -44,7 +54,7 @@ def status_change_batch(t):
     return own.unionByName(paid)
 
 
-_STATUS_BATCH_SQL = """
+STATUS_BATCH_SQL = """
 batch as (
   select order_id, 'cancelled' new_status, 'auto-cancel' notes, 'rules' changed_by, 1 seq from f_orders
   where status = 'pending' and order_date < timestamp '1998-01-01 00:00:00'
@@ -65,7 +75,7 @@ last as (
 
 
 @register("apply_status_changes", sql("orders", "payments")(f"""
-with {_STATUS_BATCH_SQL}
+with {STATUS_BATCH_SQL}
 select o.* replace (cast(o.total_amount as double) as total_amount,
                     coalesce(l.ns, o.status) as status,
                     case when l.has_notes > 0 then l.nn else o.notes end as notes)
@@ -76,7 +86,7 @@ def _c1(t):
 
 
 @register("status_history", sql("orders", "payments")(f"""
-with {_STATUS_BATCH_SQL}
+with {STATUS_BATCH_SQL}
 select v.order_id, v.seq, coalesce(lag(v.new_status) over (partition by v.order_id order by v.seq), o.status) old_status,
   v.new_status, v.changed_by, v.notes
 from valid v join f_orders o on v.order_id = o.order_id
@@ -86,7 +96,7 @@ def _c1h(t):
 
 
 @register("status_rejects", sql("orders", "payments")(f"""
-with {_STATUS_BATCH_SQL}
+with {STATUS_BATCH_SQL}
 select *, case when order_id not in (select order_id from f_orders) then 'unknown_order'
                else 'invalid_status' end reason
 from batch where new_status not in ('pending', 'processing', 'completed', 'cancelled', 'delivered')
@@ -171,6 +181,69 @@ def _c4(t):
     return _c4_tables(t)[1]
 
 
+def _stored(t, name, table, column, part):
+    """A table kept in parts, in a folder of this run."""
+    made = PartedTable(t.spark, f"{shared_folder(t.spark)}/thali/{uuid.uuid4().hex}/{name}", column, part)
+    made.create(t[table])
+    return made
+
+
+def _of_month(t):
+    return t["orders"].where((F.col("order_date") >= ntz(MONTH_START)) & (F.col("order_date") < ntz(MONTH_END)))
+
+
+_IN_MONTH = f"order_date >= {ts(MONTH_START)} and order_date < {ts(MONTH_END)}"
+
+
+@register("status_changes_stored", sql("orders")(f"""
+select * replace (cast(total_amount as double) as total_amount,
+  case when status = 'pending' and {_IN_MONTH} then 'cancelled' else status end as status,
+  case when status = 'pending' and {_IN_MONTH} then 'month closed' else notes end as notes)
+from f_orders
+"""))
+def _c1_stored(t):
+    """C1 on orders kept by month: one month's pending orders are cancelled."""
+    table = _stored(t, "orders", "orders", "order_date", month_part)
+    late = _of_month(t).where(F.col("status") == "pending")
+    batch = late.select("order_id", "order_date", F.lit("cancelled").alias("new_status"), F.lit("month closed").alias("notes"),
+                        F.lit("rules").alias("changed_by"), F.lit(1).cast("long").alias("seq"))
+    table.update(batch, "order_id", lambda rows: changes.apply_status_changes(rows, batch.drop("order_date")).snapshot)
+    return table.read().drop("part")
+
+
+@register("payment_changes_stored", sql("orders", "payments")(f"""
+with batch as (select order_id, user_id, total_amount, payment_mode, delivery_date from f_orders where status = 'delivered' and {_IN_MONTH})
+select y.payment_id, y.order_id, y.user_id, cast(y.amount as double) amount, y.payment_mode,
+  case when b.order_id is not null then 'completed' else y.payment_status end payment_status,
+  case when b.order_id is not null then 'TXN' || cast(y.order_id as varchar) else y.transaction_id end transaction_id,
+  coalesce(b.delivery_date, y.payment_date) payment_date, y.razorpay_order_id, y.razorpay_payment_id, y.razorpay_signature
+from f_payments y left join batch b on y.order_id = b.order_id
+union all
+select (select max(payment_id) from f_payments) + order_id, order_id, user_id, cast(total_amount as double), payment_mode, 'completed',
+  'TXN' || cast(order_id as varchar), null, null, null, null
+from batch where order_id not in (select order_id from f_payments)
+"""))
+def _c2_stored(t):
+    """C2 on payments kept by a hash of the order: one month's delivered orders
+    are paid."""
+    table = _stored(t, "payments", "payments", "order_id", hash_part(PAYMENT_PARTS))
+    batch = payment_change_batch({"orders": _of_month(t).where(F.col("status") == "delivered")})
+    whole = table.read().drop("part")
+    table.update(batch, "order_id", lambda rows: changes.apply_payment_changes(rows, t["orders"], batch, whole).snapshot, create=True)
+    return table.read().drop("part")
+
+
+@register("bulk_delete_stored", sql("orders")(f"""
+select * {dbl('total_amount')} from f_orders where not coalesce(status = 'cancelled' and {_IN_MONTH}, false)
+"""))
+def _c4_stored(t):
+    """C4 on orders kept by month: one month's cancelled orders are deleted."""
+    table = _stored(t, "orders", "orders", "order_date", month_part)
+    ids = _of_month(t).where(F.col("status") == "cancelled").select("order_id")
+    table.update(ids, "order_id", lambda rows: rows.join(ids, "order_id", "left_anti"))
+    return table.read().drop("part")
+
+
 _LINK = ("case when {p}latitude is not null and {p}longitude is not null then 'https://www.google.com/maps?q=' "
          "|| cast({p}latitude as varchar) || ',' || cast({p}longitude as varchar) || '&z=15' end")
 _IST = "case when {x} is not null then strftime({x} + interval 330 minute, '%d %b %Y, %I:%M %p') end"

@@ -6,6 +6,8 @@ the tests check that the stream's final state equals these batch results.
 
 from __future__ import annotations
 
+from thali.operators import changes
+from thali.plans.q_changes import STATUS_BATCH_SQL, status_change_batch
 from thali.plans.registry import register, sql
 from thali.streaming import live
 
@@ -19,6 +21,20 @@ def _x1(t):
     return live.live_counters(t["orders"])
 
 
+@register("live_counters_changed", sql("orders", "payments")(f"""
+with {STATUS_BATCH_SQL},
+now as (
+  select o.order_date, o.total_amount, coalesce(l.ns, o.status) status from f_orders o left join last l on o.order_id = l.order_id)
+select cast(order_date + interval 330 minute as date) "day", count(*) orders,
+  cast(coalesce(sum(case when status <> 'cancelled' then total_amount end), 0) as double) revenue
+from now where order_date is not null group by 1
+"""))
+def _x1_changed(t):
+    """The counters after a batch of status changes, by signed changes alone."""
+    history = changes.apply_status_changes(t["orders"], status_change_batch(t)).history
+    return live.day_totals(live.day_deltas(live.order_feed(t["orders"], history)))
+
+
 @register("update_counts", """
 with first as (select event_id, min(ts) ts from events where event_type = 'purchase' and ts is not null group by event_id)
 select timestamp '1970-01-01 00:00:00' + to_seconds(cast(floor(epoch(ts) / 30) * 30 as bigint)) window_start,

@@ -7,9 +7,10 @@ CSV writer), and the folder is the export.
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thali.functions.temporal import TRAILING_DAYS
@@ -78,15 +79,26 @@ ACTIVITY_SCHEMA = ("user_id int, activity_type string, description string, ip_ad
                    "user_agent string, created_at timestamp_ntz")
 
 
-def append_activity(activity: DataFrame, path: str) -> str:
-    """K5: append activity rows (the log is append-only parquet)."""
+def append_activity(activity: DataFrame, path: str, batch: str) -> str:
+    """K5: append a batch's activity rows to the log (parquet, a folder a batch).
+
+    A batch that is written again, by a rerun or a retry, replaces its own
+    rows and no others, so each action is in the log once.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", batch):
+        raise ValueError("a batch name has letters, digits, dots, dashes and underscores")
     cols = [c.split()[0] for c in ACTIVITY_SCHEMA.split(", ")]
     types = [c.split()[1] for c in ACTIVITY_SCHEMA.split(", ")]
     activity.select(*[F.col(c).cast(t).alias(c) for c, t in zip(cols, types)]) \
-        .write.mode("append").parquet(path)
+        .write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
     return path
 
 
+def read_activity(spark: SparkSession, path: str) -> DataFrame:
+    """The activity log, every batch once."""
+    return spark.read.schema(ACTIVITY_SCHEMA).parquet(path).drop("batch")
+
+
 def write_snapshot(df: DataFrame, base: str, version: str | int, partition_by: str | None = None) -> str:
     """Write a new table version to ``base/v=<version>`` (never in place).
 

@@ -14,12 +14,15 @@ hour watermark.
 
 Results are durable: every micro-batch is written by ``foreachBatch`` to its
 own folder ``batch=N``, overwritten if the batch runs again, so a restart from
-the checkpoint loses and repeats nothing.  ``latest`` reads the newest row of
-each key.
+the checkpoint loses and repeats nothing.  X1 and X2 write what a micro-batch
+adds, and ``live_totals`` and ``update_totals`` sum that; X3 writes changed rows,
+and ``latest`` reads the newest row of each key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -62,8 +65,9 @@ def _watermarked(df: DataFrame, col: str) -> DataFrame:
 
 
 def live_counters(orders: DataFrame) -> DataFrame:
-    """Orders and non-cancelled revenue per IST day (tumbling 1-day
-    windows offset to 18:30 UTC)."""
+    """X1 of a table: orders and non-cancelled revenue per IST day (tumbling
+    1-day windows offset to 18:30 UTC).  The stream reaches the same by signed
+    changes (``order_feed``, ``day_deltas``)."""
     ev = _watermarked(orders.select(to_instant("order_date").alias("et"), "status", "total_amount")
                       .where(F.col("et").isNotNull()), "et")
     nc = F.col("status") != "cancelled"
@@ -75,16 +79,67 @@ def live_counters(orders: DataFrame) -> DataFrame:
     return agg.select(day.alias("day"), "orders", "revenue")
 
 
+FEED_SCHEMA = ("order_id long, seq long, order_date timestamp_ntz, total_amount decimal(18,2), old_status string, "
+               "new_status string, is_new boolean, changed_at timestamp_ntz")
+
+
+def order_feed(orders: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """The change feed of the live counters: a row for each new order (``seq``
+    NULL) and one for each status change of C1's history, with the order's date
+    and amount.  A change takes back what its order counted before."""
+    own = orders.select("order_id", F.lit(None).cast("long").alias("seq"), "order_date", "total_amount",
+                        F.lit(None).cast("string").alias("old_status"), F.col("status").alias("new_status"),
+                        F.lit(True).alias("is_new"), F.col("order_date").alias("changed_at"))
+    if history is None:
+        return own
+    at = F.col("changed_at") if "changed_at" in history.columns else F.col("order_date")
+    changed = history.join(orders.select("order_id", "order_date", "total_amount"), "order_id").select(
+        "order_id", "seq", "order_date", "total_amount", "old_status", "new_status", F.lit(False).alias("is_new"), at.alias("changed_at"))
+    return own.unionByName(changed)
+
+
+def _counted(status: Column) -> Column:
+    return F.when(status != "cancelled", 1).otherwise(0)
+
+
+def day_deltas(feed: DataFrame) -> DataFrame:
+    """Signed changes of X1 per IST day: orders, and revenue as an exact decimal.
+    They add up over any split of the feed."""
+    gained = _counted(F.col("new_status")) - F.when(F.col("is_new"), 0).otherwise(_counted(F.col("old_status")))
+    seconds = F.floor(F.unix_micros(to_instant("order_date")) / 1_000_000)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor((seconds + IST_SECONDS) / 86400).cast("int"))
+    amount = F.coalesce(F.col("total_amount"), F.lit(0)).cast("decimal(18,2)")
+    rows = feed.where(F.col("order_date").isNotNull()).select(day.alias("day"), F.col("is_new").cast("int").alias("_one"), (amount * gained).alias("_gain"))
+    return rows.groupBy("day").agg(F.sum("_one").alias("orders"), F.sum("_gain").alias("revenue"))
+
+
+def day_totals(deltas: DataFrame) -> DataFrame:
+    """X1 from signed changes, as ``live_counters`` shows it."""
+    return deltas.groupBy("day").agg(F.sum("orders").cast("long").alias("orders"), F.sum("revenue").cast("double").alias("revenue"))
+
+
 def update_counts(events: DataFrame) -> DataFrame:
     """New order (purchase) events per 30-second poll window, each event
-    id counted once, at its earliest time (a stream, which cannot take an event
-    back, counts it at its first arrival)."""
-    ev = (events.where(F.col("event_type") == "purchase")
-          .select("event_id", to_instant("ts").alias("et")).where(F.col("et").isNotNull()))
-    if ev.isStreaming:
-        ev = ev.withWatermark("et", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
-    else:
-        ev = ev.groupBy("event_id").agg(F.min("et").alias("et"))
+    id counted once, at its earliest time."""
+    ev = _purchases(events).groupBy("event_id").agg(F.min("et").alias("et"))
+    return _polled(ev)
+
+
+def _purchases(events: DataFrame) -> DataFrame:
+    return (events.where(F.col("event_type") == "purchase")
+            .select("event_id", to_instant("ts").alias("et")).where(F.col("et").isNotNull()))
+
+
+def first_times(events: DataFrame) -> DataFrame:
+    """Each purchase event of a stream once, at its earliest time: its repeats,
+    which may come in any order, meet in a session that closes when the watermark
+    is an hour past the last of them."""
+    ev = _watermarked(_purchases(events), "et")
+    one = ev.groupBy("event_id", F.session_window("et", WATERMARK)).agg(F.min("et").alias("first"))
+    return one.select("event_id", F.col("first").alias("et"))
+
+
+def _polled(ev: DataFrame) -> DataFrame:
     agg = ev.groupBy(F.window("et", POLL).alias("w")).agg(F.count(F.lit(1)).alias("new_orders"))
     return agg.select(to_utc_ntz(F.col("w.start")).alias("window_start"), "new_orders")
 
@@ -130,9 +185,9 @@ def map_view_counts(views: DataFrame) -> DataFrame:
 # --- stream wiring -------------------------------------------------------------
 
 def _run(spark: SparkSession, out: DataFrame, name: str, path: str, mode: str, checkpoint: str | None,
-         trigger: str | None) -> StreamingQuery:
+         trigger: str | None, reduce: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> StreamingQuery:
     def keep(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+        reduce(rows).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
     place = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     w = out.writeStream.outputMode(mode).queryName(name).foreachBatch(keep).option("checkpointLocation", place)
@@ -151,16 +206,32 @@ def _source(spark: SparkSession, schema, kind: str, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).format(kind).load(folder)
 
 
-def start_live_counters(spark: SparkSession, orders_dir: str, schema, path: str, name: str = "live_counters",
+def start_live_counters(spark: SparkSession, feed_dir: str, path: str, name: str = "live_counters",
                         checkpoint: str | None = None, trigger: str | None = None) -> StreamingQuery:
-    """Run X1 over parquet files arriving in ``orders_dir``; changed days go to ``path``."""
-    return _run(spark, live_counters(_source(spark, schema, "parquet", orders_dir)), name, path, "update", checkpoint, trigger)
+    """Run X1 over parquet files of the change feed arriving in ``feed_dir``.
+    A row that is sent again within the watermark counts once; the signed
+    changes of each micro-batch go to ``path``."""
+    feed = _source(spark, FEED_SCHEMA, "parquet", feed_dir)
+    feed = feed.withColumn("et", F.coalesce(to_instant("changed_at"), F.timestamp_micros(F.lit(0))))
+    feed = feed.withWatermark("et", WATERMARK).dropDuplicatesWithinWatermark(["order_id", "seq", "is_new"])
+    return _run(spark, feed, name, path, "append", checkpoint, trigger, day_deltas)
+
+
+def live_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The counters that a run of X1 has reached."""
+    return day_totals(spark.read.parquet(path))
 
 
 def start_update_counts(spark: SparkSession, events_dir: str, schema, path: str, name: str = "update_counts",
                         checkpoint: str | None = None, trigger: str | None = POLL) -> StreamingQuery:
-    """Run X2 over parquet event files; closed windows go to ``path``."""
-    return _run(spark, update_counts(_source(spark, schema, "parquet", events_dir)), name, path, "append", checkpoint, trigger)
+    """Run X2 over parquet event files; each micro-batch adds the events that
+    are closed to the windows of ``path``."""
+    return _run(spark, first_times(_source(spark, schema, "parquet", events_dir)), name, path, "append", checkpoint, trigger, _polled)
+
+
+def update_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The windows that a run of X2 has counted."""
+    return spark.read.parquet(path).groupBy("window_start").agg(F.sum("new_orders").alias("new_orders"))
 
 
 def start_map_view_counts(spark: SparkSession, json_dir: str, path: str, name: str = "map_view_counts",
