@@ -42,7 +42,7 @@ BLANKS = r"[\x20\x09]+"
 #: Bits of the table that a task tests groups against: 8 MB whatever the input.
 BITS = 1 << 26
 #: Occurrences that a task groups at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 _BREAK = "\n"
 
 
@@ -180,8 +180,8 @@ def counted_groups(relation: DataFrame, length: int, frequent: list, exact: bool
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
         held, size = [], 0
-        for batch in batches:
-            lists = batch.column(0)
+        for part in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
+            lists = part.column(0)
             values = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
             held.append(np.insert(values, ends, 0))  # texts do not touch
