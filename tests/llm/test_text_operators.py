@@ -241,33 +241,35 @@ def test_drop_near_copies(odd):
 
 # LM scoring
 
-def test_suffix_tree_scores(docs):
-    pairs = both(docs)
-    got = {r["doc_id"]: r for r in suffix_tree.score(docs).collect()}
+def brute_scores(pairs):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     token_counts, seen = collections.Counter(), collections.defaultdict(collections.Counter)
     split = lambda t: words((t or "").translate(LOWER))
     spelled = lambda t: b"\n" + b"".join(w.encode() + b" " for w in split(t)) + b"\n"
+    learned = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1
     for i, t in pairs:
-        if zlib.crc32(str(i).encode()) % 5 != 1:
+        if learned(i):
             token_counts.update([*split(t), "\n"])
-            b = spelled(t)
+            b = spelled(t) if split(t) else b"\n\n"
             for j in range(1, len(b)):
                 for k in range(min(suffix_tree.DEPTH, j) + 1):
                     seen[b[j - k:j]][b[j]] += 1
     total = {k: sum(v.values()) for k, v in seen.items()}
-    often = {k for k in total if not k or total[k] >= suffix_tree.LEAST_SHARE * total[b""]}
     n, v = sum(token_counts.values()), len(token_counts)
 
-    def diverges(k):
-        return sum(c / total[k] * math.log(c / total[k] / (seen[k[1:]][x] / total[k[1:]])) for x, c in seen[k].items()) >= suffix_tree.LEAST_DIVERGENCE
+    def is_state(k):
+        if k not in total or total[k] < suffix_tree.LEAST:
+            return False
+        gain = sum(c * math.log(c / total[k] / (seen[k[1:]][x] / total[k[1:]])) for x, c in seen[k].items())
+        return gain >= 0.5 * len(seen[k]) * math.log(total[k]) + suffix_tree.MARGIN
 
     memo = {}
 
     def shares(k):
         if k not in memo:
             if not k:
-                memo[k] = [(seen[k][x] + 0.5) / (total[k] + 0.5 * 257) for x in range(256)]
-            elif diverges(k):
+                memo[k] = [(seen[k][x] + 0.5) / (total.get(k, 0) + 0.5 * 257) for x in range(256)]
+            elif is_state(k):
                 back, w = shares(k[1:]), len(seen[k])
                 memo[k] = [(seen[k][x] + w * back[x]) / (total[k] + w) for x in range(256)]
             else:
@@ -275,24 +277,58 @@ def test_suffix_tree_scores(docs):
         return memo[k]
 
     base_of = lambda w: (token_counts[w] + 0.5) / (n + 0.5 * (v + 1))
-    for i, t in pairs[:60]:
-        b, score, log, word = spelled(t), 0.0, 0.0, bytearray()
-        for j in range(1, len(b)):
-            state = next(b[j - k:j] for k in range(min(suffix_tree.DEPTH, j), -1, -1) if b[j - k:j] in often)
-            log += math.log10(shares(state)[b[j]])
-            if b[j] in (10, 32):
-                score += math.log10(0.5 * 10 ** log + 0.5 * base_of(word.decode() if b[j] == 32 else "\n"))
-                log, word = 0.0, bytearray()
-            else:
-                word.append(b[j])
+    out = []
+    for i, t in pairs:
+        b = spelled(t) if split(t) else b"\n\n"
+        score = sum(math.log10(shares(b[max(0, j - suffix_tree.DEPTH):j])[b[j]]) for j in range(1, len(b)))
         own = [*split(t), "\n"]
-        r = got[i]
-        assert r["score"] == pytest.approx(score, rel=1e-5)
-        assert r["base_score"] == pytest.approx(sum(math.log10(base_of(w)) for w in own), rel=1e-9)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(token_counts[w] > 0 for w in own), n)
-        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 1)
-    held = [r for r in got.values() if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+        out.append((i, not learned(i), len(own), sum(token_counts[w] > 0 for w in own), n, sum(math.log10(base_of(w)) for w in own), score))
+    return out
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2], r[6]))
+
+
+def test_suffix_tree_scores(docs):
+    got, want = ordered(tuple(r) for r in suffix_tree.score(docs).collect()), ordered(brute_scores(both(docs)))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for g, w in zip(got, want):
+        assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
+
+
+def test_suffix_tree_in_small_chunks(odd, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "CHUNK_TOKENS", 40)
+    monkeypatch.setattr(suffix_tree, "_HELD", 50)
+    monkeypatch.setattr(suffix_tree, "_AT_ONCE", 300)
+    got, want = ordered(tuple(r) for r in suffix_tree.score(odd).collect()), ordered(brute_scores(both(odd)))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for g, w in zip(got, want):
+        assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
+
+
+def test_suffix_tree_keeps_large_ids(spark):
+    ids = [2 ** 53 + k for k in (1, 3, 5, 7, 9, 11)] + [None, 2 ** 62 + 1]
+    df = spark.createDataFrame([(i, f"text of number {k}") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    got = suffix_tree.score(df).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(ids)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 == 1)
+
+
+def test_suffix_tree_grows_and_keeps_its_states(spark):
+    """A context's state does not go when unrelated text is added, however much."""
+    some = [(i, "zq zqx zq zqx") for i in range(40)]
+    more = [(i, " ".join(f"w{i * 50 + k}" for k in range(400))) for i in range(40, 240)]
+
+    def contexts(rows):
+        chunks = suffix_tree.read_chunks(spark.createDataFrame(rows, "doc_id long, text string"))
+        states, _ = suffix_tree.tree(chunks.where("kind = 'gram'").selectExpr("number as key", "n"))
+        return {r["context"] for r in states.select("context").collect()}
+
+    few, many = contexts(some), contexts(some + more)
+    spelled = lambda b: sum((x + 1) << 9 * k for k, x in enumerate(reversed(b)))
+    assert spelled(b"q") in few and spelled(b"q") in many and len(many) > 3 * len(few)
 
 
 def test_suffix_tree_odd_rows(odd):

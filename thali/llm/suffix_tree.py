@@ -2,27 +2,26 @@
 
 A text is its tokens: words, A-Z lowered, each with a space after, then an end
 mark.  The tree's symbols are the bytes of that stream (a text starts after an
-end mark), so a token's probability in the tree is the product of its bytes'.
-Contexts of up to ``DEPTH`` symbols are counted over all learned texts.  A
-context stays when it makes up at least ``LEAST_SHARE`` of all symbols and its
-next-symbol distribution diverges from its suffix's by at least
-``LEAST_DIVERGENCE`` nats (Kullback-Leibler).  Distributions are smoothed
-towards the suffix's with as much weight as they have distinct next symbols;
-the root adds 1/2 to each of 257 symbols.  A symbol is scored by the longest
-state that is a suffix of what precedes it.  The score smooths each token once
-more, with its base probability: ``BASE_WEIGHT`` of that and the rest of the
-tree's.  The base has one probability for all unknown words together, so in the
-score an unknown word gets that times the tree's probability of its spelling;
-over all tokens the score's probabilities sum to at most 1.
-
-The counts are Spark aggregates over all texts.  The tree itself is bounded
-whatever the input: each depth has at most ``1 / LEAST_SHARE`` contexts of that
-share, so the states fit the driver and a broadcast.
-
-The base score needs every token's count.  A chunk of texts (``CHUNK_TOKENS``
-tokens, within one task) sends each distinct word once to be counted, and gets
-back the counts of those that other chunks have too, so rows follow distinct
-words, not tokens.
+end mark), so a token's probability is the product of its bytes', and the
+text's that of its tokens'.
+
+Contexts of up to ``DEPTH`` symbols are counted over all learned texts, each
+depth from the counts of the next deeper one.  A context is a state if it was
+seen ``LEAST`` times or more and its next-symbol distribution diverges from its
+suffix's by more than it costs to describe: its count times the Kullback-Leibler
+divergence, in nats, is at least half its distinct symbols times the logarithm
+of its count, plus ``MARGIN``.  Neither bound depends on the size of the corpus,
+so a context that once is a state stays one when unrelated text is added, and
+the tree grows with what is learned.  A state's distribution is smoothed towards
+its longest suffix state's with as much weight as it has distinct symbols; the
+root adds 1/2 to each of 257 symbols.  A symbol is scored by the longest state
+that is a suffix of what precedes it.
+
+States are a stored table of any size.  A chunk of texts (``CHUNK_TOKENS``
+tokens, within one task) asks for the contexts that it has, once each, and gets
+those that are states; so it does for the counts of its words, which the base
+score needs.  Rows follow the distinct contexts and words of a chunk, not its
+tokens, and no task or driver holds the tree.
 
 Defined results: a null text is an empty one, which has the end mark alone; a
 null ``doc_id`` hashes as an empty string; repeated rows are texts of their
@@ -32,28 +31,31 @@ own; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from thali.llm.common import lookup, slices, stored
+from thali.llm.common import slices, stored
 
 DEPTH = 5
-LEAST_SHARE = 2e-5
-LEAST_DIVERGENCE = 0.002
+LEAST = 16
+MARGIN = 3.0
 CHUNK_TOKENS = 5_000_000
-BASE_WEIGHT = 0.5
 SYMBOLS = 257
 _BITS = 9
 _MASK = (1 << _BITS) - 1
+_COUNT = 48  # a symbol and its count in one long
 #: Distinct grams that a task holds before it hands them on.
 _HELD = 1 << 20
-#: Bytes of text that are counted at once.
+#: Bytes of text that are counted or scored at once.
 _AT_ONCE = 1 << 21
 
 
@@ -65,14 +67,20 @@ def stream(own: list[bytes]) -> bytes:
     return b" ".join([b"\n" + own[0], *own[1:], b"\n"]) if own else b"\n\n"
 
 
-def learned(doc_id) -> bool:
+def is_learned(doc_id: Column) -> Column:
     """Whether a document is learned from."""
-    return zlib.crc32(("" if doc_id is None or doc_id != doc_id else str(int(doc_id))).encode()) % 5 != 1
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 1
 
 
-def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, symbol) keys of ``DEPTH`` + 1 symbols, the newest in
-    the low bits, with counts; a context ends at its text's start mark."""
+def low(depth: int) -> int:
+    """A mask of the newest ``depth`` symbols."""
+    return (1 << _BITS * depth) - 1
+
+
+def gram_keys(streams: list[bytes]) -> np.ndarray:
+    """(context, symbol) of each symbol but the first of each stream: up to
+    ``DEPTH`` + 1 symbols, the newest in the low bits; a context ends at its
+    text's start mark."""
     data = np.frombuffer(b"".join(streams), dtype=np.uint8).astype(np.int64) + 1
     sizes = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams))
     place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -80,246 +88,254 @@ def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, DEPTH + 1):
         older = np.zeros_like(data)
         older[k:] = data[:-k]
-        key |= np.where(place >= k, older, 0) << (_BITS * k)
-    return np.unique(key[place > 0], return_counts=True)
+        older[place < k] = 0
+        key |= older << (_BITS * k)
+    return key[place > 0]
+
+
+def contexts_of(keys: np.ndarray) -> np.ndarray:
+    """All contexts, of any depth from 1, that the keys have."""
+    full = np.unique(keys >> _BITS)
+    return np.unique(np.concatenate([full, *(full & low(d) for d in range(1, DEPTH))]))
+
+
+class Grams:
+    """Distinct grams so far, with how often they were learned."""
 
+    def __init__(self):
+        self.keys, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-def added(keys: np.ndarray, times: np.ndarray, streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Counted keys with the grams of ``streams`` added."""
-    new, n = grams(streams)
-    keys, back = np.unique(np.concatenate((keys, new)), return_inverse=True)
-    return keys, np.bincount(back, weights=np.concatenate((times, n)), minlength=len(keys)).astype(np.int64)
+    def add(self, streams: list[bytes], learn: bool) -> None:
+        codes, new = pd.factorize(gram_keys(streams))
+        n = np.bincount(codes, minlength=len(new)) if learn else np.zeros(len(new), np.int64)
+        codes, self.keys = pd.factorize(np.concatenate((self.keys, new)))
+        self.times = np.bincount(codes, weights=np.concatenate((self.times, n)), minlength=len(self.keys)).astype(np.int64)
 
 
 def read_chunks(docs: DataFrame) -> DataFrame:
-    """One pass over the texts.  Rows by ``kind``: a document (chunk, number,
-    doc_id, its tokens as codes of the chunk), a word of a chunk (chunk, code,
-    word, learned count), all words of a chunk by code packed in one value
-    (``spelling``; ``counts`` likewise), a gram (key, learned count)."""
+    """One pass over the texts.  Rows by ``kind``: a document (chunk, its number
+    there, doc_id, learned, its words), a word of a chunk (chunk, its number by
+    first place, word, learned count), a context that a chunk has (chunk,
+    context), a gram (key, learned count)."""
     ids = docs.select("doc_id").schema["doc_id"]
-    schema = StructType([StructField("kind", StringType()), StructField("chunk", StringType()), StructField("number", LongType()),
-                         StructField("doc_id", ids.dataType), StructField("data", BinaryType()), StructField("n", LongType())])
+    id_type = to_arrow_type(ids.dataType)
+    schema = StructType([StructField("kind", StringType()), StructField("chunk", LongType()), StructField("number", LongType()),
+                         StructField("doc_id", ids.dataType), StructField("learned", BooleanType()), StructField("data", BinaryType()),
+                         StructField("n", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context = TaskContext.get()
-        task, chunk, id_type = f"{context.partitionId()}-{context.taskAttemptId()}", 0, None
-        code: dict[bytes, int] = {}
-        counts = np.zeros(0, dtype=np.int64)
-        keys, times, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        streams: list[bytes] = []
-        waiting = 0
-
-        def rows(kind, number, data, n, doc_id=None):
-            size = len(number)
-            columns = [pa.repeat(pa.scalar(kind), size), pa.repeat(pa.scalar(f"{task}-{chunk}"), size), pa.array(number, pa.int64()),
-                       pa.nulls(size, id_type) if doc_id is None else doc_id, pa.nulls(size, pa.binary()) if data is None else pa.array(data, pa.binary()),
-                       pa.array(n, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["kind", "chunk", "number", "doc_id", "data", "n"])
-
-        def words():
-            own, spelled = counts[:len(code)], list(code)
+        chunk, seen = TaskContext.get().partitionId() << 24, 0
+        words: Counter[bytes] = Counter()
+        grams, asked, texts = Grams(), np.zeros(0, np.int64), 0
+        waiting: dict[bool, list[bytes]] = {True: [], False: []}
+        size = {True: 0, False: 0}
+
+        def rows(kind, number, data=None, n=None, doc_id=None, learned=None):
+            many = len(number)
+            nulls = lambda t: pa.nulls(many, t)
+            return pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(kind), many), pa.repeat(pa.scalar(chunk, pa.int64()), many), pa.array(number, pa.int64()),
+                 nulls(id_type) if doc_id is None else doc_id, nulls(pa.bool_()) if learned is None else learned,
+                 nulls(pa.binary()) if data is None else pa.array(data, pa.binary()), nulls(pa.int64()) if n is None else pa.array(n, pa.int64())],
+                ["kind", "chunk", "number", "doc_id", "learned", "data", "n"])
+
+        def count(learn):
+            if waiting[learn]:
+                grams.add(waiting[learn], learn)
+                waiting[learn], size[learn] = [], 0
+
+        def counted():
+            nonlocal asked
+            asked = np.union1d(asked, contexts_of(grams.keys))
+            order = np.argsort(grams.keys)
+            keys, times = grams.keys[order], grams.times[order]
+            grams.keys, grams.times = grams.keys[:0], grams.times[:0]
+            yield rows("gram", keys[times > 0], n=times[times > 0])
+
+        def ended():
+            nonlocal asked
+            count(True)
+            count(False)
+            yield from counted()
+            spelled, own = list(words), np.fromiter(words.values(), dtype=np.int64, count=len(words))
             for at in range(0, len(spelled), 1 << 16):
                 part = spelled[at:at + (1 << 16)]
                 yield rows("word", np.arange(at, at + len(part)), part, own[at:at + len(part)])
-            yield rows("spelling", [0], [zlib.compress(b"\n".join(spelled), 1)], [0])
-            yield rows("counts", [0], [zlib.compress(own.tobytes(), 1)], [0])
+            yield rows("ask", asked)
+            words.clear()
+            asked = asked[:0]
 
         for part in slices(batches):
-            id_type = part.column(0).type
             data = []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for text, learn in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 own = tokens(text)
-                codes = np.fromiter((code.setdefault(w, len(code)) for w in own), dtype=np.uint32, count=len(own))
-                data.append(zlib.compress(codes.tobytes(), 1))
+                data.append(zlib.compress(b" ".join(own), 1))
+                words.update(own if learn else dict.fromkeys(own, 0))
+                waiting[learn].append(stream(own))
+                size[learn] += len(waiting[learn][-1])
                 seen += len(own)
-                if len(counts) < len(code):
-                    counts = np.concatenate((counts, np.zeros(max(len(code), len(counts)) + 1024, np.int64)))
-                if learned(doc_id):
-                    streams.append(stream(own))
-                    waiting += len(streams[-1])
-                    np.add.at(counts, codes, 1)
-            yield rows("doc", np.zeros(len(data), np.int64), data, np.zeros(len(data), np.int64), part.column(0))
-            if waiting > _AT_ONCE:
-                keys, times = added(keys, times, streams)
-                streams, waiting = [], 0
-            if len(keys) > _HELD:
-                yield rows("gram", keys, None, times)
-                keys, times = keys[:0], times[:0]
+                if size[learn] > _AT_ONCE:
+                    count(learn)
+            yield rows("doc", np.arange(texts, texts + len(data)), data, doc_id=part.column(0), learned=part.column(2))
+            texts += len(data)
+            if len(grams.keys) > _HELD:
+                yield from counted()
             if seen >= CHUNK_TOKENS:
-                yield from words()
-                chunk, seen, code, counts = chunk + 1, 0, {}, counts[:0]
-        if code:
-            yield from words()
-        if streams:
-            keys, times = added(keys, times, streams)
-        if len(keys):
-            yield rows("gram", keys, None, times)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
-def _low(depth: Column) -> Column:
-    """A mask of the newest ``depth`` symbols."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), (depth * _BITS).cast("int")) - 1
-
-
-def tree_counts(found: DataFrame) -> DataFrame:
-    """(depth, context, symbol, n, total, kept): next-symbol counts of the
-    contexts with enough share; ``kept`` where they also diverge."""
-    found = stored(found.groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    symbol = F.col("key").bitwiseAND(F.lit(_MASK))
-    all_ = found.agg(F.sum("n")).first()[0] or 0
-    depth = F.explode(F.array(*[F.lit(d) for d in range(DEPTH + 1)]))
-    context = F.col("full").bitwiseAND(_low(F.col("depth")))
-    each = found.select(F.shiftright("key", _BITS).alias("full"), symbol.alias("symbol"), "n").select("full", "symbol", "n", depth.alias("depth"))
-    each = each.withColumn("context", context)
-    # a context that stops at the start of its text has no older symbol
-    each = each.where((F.col("depth") == 0) | (F.col("context") > _low(F.col("depth") - 1)))
-    counts = each.groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy("depth", "context").agg(F.sum("n").alias("total")).where(
-        (F.col("depth") == 0) | (F.col("total") >= LEAST_SHARE * all_))
-    often = stored(counts.join(totals, ["depth", "context"]), "contexts")
-    shorter = often.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("suffix"), "symbol",
-                           F.col("n").alias("n_s"), F.col("total").alias("total_s"))
-    suffix = F.col("context").bitwiseAND(_low(F.col("depth") - 1))
-    both = often.where("depth > 0").withColumn("suffix", suffix).join(shorter, ["depth", "suffix", "symbol"])
-    p, q = F.col("n") / F.col("total"), F.col("n_s") / F.col("total_s")
-    kept = (both.groupBy("depth", "context").agg(F.sum(p * F.log(p / q)).alias("divergence"))
-            .where(F.col("divergence") >= LEAST_DIVERGENCE).select("depth", "context", F.lit(True).alias("kept")))
-    return often.join(kept, ["depth", "context"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-
-
-class Automaton:
-    """The tree as a table: for each state and symbol the log10 probability
-    and the next state.  States are all contexts with enough share; one that
-    was not kept speaks with the distribution of its longest kept suffix."""
-
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values(["depth", "context", "symbol"], kind="stable")
-        pairs = list(dict.fromkeys(zip(rows["depth"].tolist(), rows["context"].tolist())))
-        pairs = pairs or [(0, 0)]
-        number = {c: i for i, c in enumerate(pairs)}
-        row = np.fromiter((number[c] for c in zip(rows["depth"].tolist(), rows["context"].tolist())), dtype=np.int64, count=len(rows))
-        counts = np.zeros((len(pairs), SYMBOLS))
-        counts[row, rows["symbol"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
-        kept = np.zeros(len(pairs), dtype=bool)
-        kept[row] = rows["kept"].to_numpy(dtype=bool)
-        self.log = np.zeros((len(pairs), SYMBOLS), dtype=np.float32)
-        self.next = np.zeros((len(pairs), SYMBOLS), dtype=np.int32)
-        share = np.zeros((len(pairs), SYMBOLS))
-        suffix_of = lambda d, c: number[d - 1, c & ((1 << _BITS * (d - 1)) - 1)]
-        for i, (d, c) in enumerate(pairs):  # by depth: a suffix comes first
-            if d == 0:
-                share[i] = (counts[i] + 0.5) / (counts[i].sum() + 0.5 * SYMBOLS)
-                share[i, 0] = 0.5 / (counts[i].sum() + 0.5 * SYMBOLS)
-            else:
-                back = share[suffix_of(d, c)]
-                weight = np.count_nonzero(counts[i])
-                share[i] = (counts[i] + weight * back) / (counts[i].sum() + weight) if kept[i] else back
-            if d < DEPTH:
-                longer = self.next[suffix_of(d, c)].copy() if d else np.zeros(SYMBOLS, np.int32)
-            else:
-                longer = self.next[suffix_of(d, c)].copy()
-            for x in np.nonzero(counts[i])[0].tolist() if d < DEPTH else ():
-                to = number.get((d + 1, c << _BITS | x))
-                if to is not None:
-                    longer[x] = to
-            self.next[i] = longer
-        self.log = np.log10(share).astype(np.float32)
-
-
-def symbol_logs(log: np.ndarray, next_: np.ndarray, streams: list[bytes], span: int = 1024) -> np.ndarray:
-    """log10 probability of each symbol of the joined streams by an
-    automaton's tables; 0 for the first symbol of a stream.
-
-    Streams are cut in spans that run side by side; a span first takes the
-    ``DEPTH`` symbols before it, which settle its state.
-    """
-    sizes = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams))
-    firsts = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(streams), dtype=np.uint8)
-    n = -(-(sizes - 1) // span)
-    owner = np.repeat(np.arange(len(streams)), n)
-    at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * span + 1  # first symbol to score
-    lead = np.minimum(at, DEPTH)
-    start, length = firsts[owner] + at - lead, np.minimum(at + span, sizes[owner]) - at + lead
-    order = np.argsort(-length, kind="stable")
-    start, length, lead = start[order], length[order], lead[order]
-    state, out = np.zeros(len(order), np.int64), np.zeros(len(data), dtype=np.float32)
-    log, next_ = log.reshape(-1), next_.reshape(-1)
-    live = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")
-    for step, m in enumerate(live.tolist()):
-        place = start[:m] + step
-        cell = state[:m] * SYMBOLS + data[place] + 1
-        if step < DEPTH:
-            scored = step >= lead[:m]
-            out[place[scored]] = log[cell[scored]]
-        else:
-            out[place] = log[cell]
-        state[:m] = next_[cell]
-    return out
-
-
-def token_logs(log: np.ndarray, next_: np.ndarray, streams: list[bytes]) -> np.ndarray:
-    """log10 probability of each token of the streams, one after another."""
-    data = np.frombuffer(b"".join(streams), dtype=np.uint8)
-    sizes = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams))
-    last = (data == 32) | (data == 10)  # a token ends with a space or is the end mark
-    last[np.cumsum(sizes) - sizes] = False
-    ends = np.cumsum(symbol_logs(log, next_, streams), dtype=np.float64)[last]
-    return np.diff(ends, prepend=0.0)
+                yield from ended()
+                chunk, seen, texts = chunk + 1, 0, 0
+        yield from ended()
+
+    return docs.select("doc_id", "text", is_learned(F.col("doc_id")).alias("learned")).mapInArrow(run, schema)
+
+
+def _at_depth(depth: int) -> Column:
+    """A context of exactly that many symbols."""
+    return F.col("context") > low(depth - 1) if depth else F.col("context") == 0
+
+
+def tree(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The states but the root (context, next), and the root's counts
+    (symbol, n).  ``next`` has a long for each next symbol, its count in the low
+    bits.  ``grams``: key, n."""
+    level = grams.groupBy("key").agg(F.sum("n").alias("n"))
+    level = stored(level.select(F.shiftright("key", _BITS).alias("context"), F.col("key").bitwiseAND(_MASK).alias("symbol"), "n"), "grams")
+    count = lambda x: x.bitwiseAND((1 << _COUNT) - 1)
+    states = None
+    for depth in range(DEPTH, 0, -1):
+        own = (level.where(_at_depth(depth)).groupBy("context")
+               .agg(F.sum("n").alias("total"), F.collect_list(F.shiftleft("symbol", _COUNT).bitwiseOR(F.col("n"))).alias("next"))
+               .where(F.col("total") >= LEAST))  # a list has at most 257 symbols
+        level = stored(level.groupBy(F.col("context").bitwiseAND(low(depth - 1)).alias("context"), "symbol").agg(F.sum("n").alias("n")), f"grams_{depth - 1}")
+        suffix = (level.where(_at_depth(depth - 1)).groupBy(F.col("context").alias("suffix"))
+                  .agg(F.sum("n").alias("total_s"), F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("next_s")))
+        both = own.withColumn("suffix", F.col("context").bitwiseAND(low(depth - 1))).join(suffix, "suffix")
+
+        def gain(x: Column) -> Column:
+            n, n_s = count(x), F.col("next_s")[F.shiftrightunsigned(x, _COUNT)]
+            return n * F.log((n / F.col("total")) / (n_s / F.col("total_s")))
+
+        gained = F.aggregate("next", F.lit(0.0), lambda s, x: s + gain(x))
+        cost = 0.5 * F.size("next") * F.log("total") + MARGIN
+        kept = both.where(gained >= cost).select("context", "next")
+        states = kept if states is None else states.unionByName(kept)
+    return stored(states, "states", "zstd"), level.select("symbol", "n")
+
+
+class States:
+    """The states that a chunk has, and how they score grams."""
+
+    def __init__(self, root: np.ndarray, contexts: np.ndarray, next_: pa.ListArray):
+        self.root = root
+        order = np.argsort(contexts)
+        self.contexts = contexts[order]
+        sizes = np.diff(next_.offsets.to_numpy())
+        values = next_.flatten().to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        of = np.repeat(place, sizes)
+        cells = of << _BITS | values >> _COUNT
+        by_cell = np.argsort(cells)
+        self.cells, self.n = cells[by_cell], (values & ((1 << _COUNT) - 1))[by_cell]
+        self.total = np.bincount(of, weights=values & ((1 << _COUNT) - 1), minlength=len(order))
+        self.kinds = np.bincount(of, minlength=len(order)).astype(np.float64)
+
+    @staticmethod
+    def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Place of each key in a sorted table, -1 for none."""
+        if not len(table):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return np.where(table[at] == keys, at, -1)
+
+    def logs(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's symbol after its context."""
+        symbol = keys & _MASK
+        p = self.root[symbol]
+        of, contexts = pd.factorize(keys >> _BITS)
+        for depth in range(1, DEPTH + 1):
+            own = contexts & low(depth)
+            state = np.where(own > low(depth - 1), self._find(self.contexts, own), -1)[of]
+            rows = np.flatnonzero(state >= 0)
+            state = state[rows]
+            cell = self._find(self.cells, state << _BITS | symbol[rows])
+            n = np.where(cell >= 0, self.n[cell], 0) if len(self.n) else np.zeros(len(rows))
+            p[rows] = (n + self.kinds[state] * p[rows]) / (self.total[state] + self.kinds[state])
+        return np.log10(p)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score."""
-    spark = docs.sparkSession
-    chunks = stored(read_chunks(docs), "chunks")
-    rows = tree_counts(chunks.where("kind = 'gram'").select(F.col("number").alias("key"), "n")).toPandas()  # bounded, see above
-    automaton = Automaton(rows)
-    tree = spark.sparkContext.broadcast((automaton.log, automaton.next))  # arrays alone: tasks need no class of ours
-
-    words = chunks.where("kind = 'word'").select(F.col("chunk").alias("of"), F.col("number").alias("code"), F.col("data").alias("word"), "n")
-    known = stored(words.groupBy("word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("chunks")), "words")
-    texts = chunks.where("kind in ('doc', 'spelling', 'counts')").select("chunk", "kind", "doc_id", "data")
-    ends = chunks.where("kind = 'doc'").select("doc_id").where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 1).count()
-    sums = known.agg(F.sum("c").alias("c"), F.sum(F.when(F.col("c") > 0, 1)).alias("v"), F.sum("chunks").alias("rows")).first()
-    n_all, n_distinct = (sums["c"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    # what only one chunk has, it counted itself
-    counted = lookup(words.drop("n"), known.where("chunks > 1"), "word", "chunks", sums["rows"] or 0).where("c is not null").select("of", "code", "c")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = (f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-    def run(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        packed = {k: zlib.decompress(texts["data"][texts["kind"] == k].iloc[0]) if (texts["kind"] == k).any() else b""
-                  for k in ("spelling", "counts")}
-        texts = texts[texts["kind"] == "doc"]
-        own = np.frombuffer(packed["counts"], dtype=np.int64)
-        spelled = np.empty(len(own), dtype=object)
-        spelled[:] = packed["spelling"].split(b"\n") if len(own) else []
-        c = np.append(own.astype(np.float64), 0.0)
-        c[words["code"].to_numpy(dtype=np.int64)] = words["c"].to_numpy()
+    chunks = stored(read_chunks(docs), "chunks", "zstd")
+    states, root_counts = tree(chunks.where("kind = 'gram'").select(F.col("number").alias("key"), "n"))
+    root = np.full(SYMBOLS, 0.5)
+    for r in root_counts.collect():  # a row a symbol
+        root[r["symbol"]] += r["n"]
+    root /= root.sum()
+
+    # every word's count, at each chunk that has it; a word has a row a chunk
+    same = Window.partitionBy("word")
+    words = chunks.where("kind = 'word'").select("chunk", F.col("number").alias("code"), F.col("data").alias("word"), "n")
+    counted = words.select("chunk", "code", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("chunk")) == 1).alias("first"))
+    counted = stored(counted.where("c > 0"), "words", "zstd")
+    ends = chunks.where("kind = 'doc' and learned").count()
+    n_all = (chunks.where("kind = 'word'").agg(F.sum("n")).first()[0] or 0) + ends
+    n_distinct = counted.where("first").count() + (ends > 0)
+
+    answers = chunks.where("kind = 'ask'").select(F.col("chunk").alias("of"), F.col("number").alias("context")).join(states, "context")
+    right = (answers.select("of", F.col("context").alias("key"), F.lit(None).cast("long").alias("c"), "next")
+             .unionByName(counted.select(F.col("chunk").alias("of"), F.col("code").alias("key"), "c", F.lit(None).cast("array<long>").alias("next"))))
+    texts = chunks.where("kind = 'doc'").select("chunk", "number", "doc_id", "learned", "data")
+    ids = docs.select("doc_id").schema["doc_id"]
+    id_type = to_arrow_type(ids.dataType)
+    schema = StructType([ids, StructField("held_out", BooleanType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()),
+                         StructField("train_tokens", LongType()), StructField("base_score", DoubleType()), StructField("score", DoubleType())])
+
+    def run(texts: pa.Table, right: pa.Table) -> pa.Table:
+        texts = texts.sort_by("number")
+        is_state = right.column("next").is_valid()
+        of_states, of_words = right.filter(is_state), right.filter(pc.invert(is_state))
+        held = of_states.column("next").combine_chunks()
+        held = held if isinstance(held, pa.ListArray) else pa.concat_arrays(held.chunks or [pa.array([], pa.list_(pa.int64()))])
+        own = States(root, of_states.column("key").to_numpy(), held)
+        data = [zlib.decompress(x) for x in texts.column("data").to_pylist()]
+        code: dict[bytes, int] = {}
+        for d in data:  # numbered by first place, as they were
+            code.update(dict.fromkeys(d.split(b" ") if d else ()))
+        for i, w in enumerate(code):
+            code[w] = i
+        c = np.zeros(len(code) + 1)
+        c[of_words.column("key").to_numpy()] = of_words.column("c").to_numpy()
         c[-1] = ends
         log = np.log10((c + 0.5) / (n_all + 0.5 * (n_distinct + 1)))
-        out = []
-        for at in range(0, len(texts), 500):
-            part, codes, streams = texts.iloc[at:at + 500], [], []
-            for data in part["data"]:
-                codes.append(np.append(np.frombuffer(zlib.decompress(data), dtype=np.uint32), np.uint32(len(own))))
-                streams.append(stream(spelled[codes[-1][:-1]].tolist()))
-            sizes = [len(x) for x in codes]
-            firsts, codes = np.cumsum(sizes) - sizes, np.concatenate(codes)
-            base = log[codes]
-            spelling = token_logs(*tree.value, streams)
-            known_or_spelled = np.where(c[codes] > 0, base, base + spelling)
-            mixed = np.logaddexp(  # in logs: a long token's probability is below the smallest double
-                np.log(BASE_WEIGHT) + known_or_spelled * np.log(10), np.log(1 - BASE_WEIGHT) + spelling * np.log(10)) / np.log(10)
-            out.append(pd.DataFrame({
-                "doc_id": part["doc_id"], "held_out": [not learned(x) for x in part["doc_id"].tolist()], "n_tokens": sizes,
-                "n_known": np.add.reduceat((c[codes] > 0).astype(np.int64), firsts), "train_tokens": n_all,
-                "base_score": np.add.reduceat(base, firsts), "score": np.add.reduceat(mixed, firsts)}))
-        return pd.concat(out) if out else pd.DataFrame(columns=[f.split()[0] for f in schema.split(", ")])
-
-    return texts.groupBy("chunk").cogroup(counted.groupBy("of")).applyInPandas(run, schema)
+        n_tokens, n_known, base, scores = [], [], [], []
+        streams: list[bytes] = []
+
+        def scored():
+            if streams:
+                codes, keys = pd.factorize(gram_keys(streams))
+                sizes = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams)) - 1
+                scores.append(np.add.reduceat(own.logs(keys)[codes], np.cumsum(sizes) - sizes))
+                streams.clear()
+
+        waiting = 0
+        for d in data:
+            words = d.split(b" ") if d else []
+            codes = np.fromiter(map(code.__getitem__, words), dtype=np.int64, count=len(words))
+            n_tokens.append(len(words) + 1)
+            n_known.append(int(np.count_nonzero(c[codes])) + (ends > 0))
+            base.append(float(log[codes].sum() + log[-1]))
+            streams.append(stream(words))
+            waiting += len(streams[-1])
+            if waiting > _AT_ONCE:
+                scored()
+                waiting = 0
+        scored()
+        return pa.table({"doc_id": texts.column("doc_id").cast(id_type), "held_out": pc.invert(texts.column("learned")),
+                         "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
+                         "train_tokens": pa.array([n_all] * len(data), pa.int64()), "base_score": pa.array(base, pa.float64()),
+                         "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
+
+    return texts.groupBy("chunk").cogroup(right.groupBy("of")).applyInArrow(run, schema)
