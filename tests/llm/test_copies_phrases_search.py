@@ -215,30 +215,35 @@ def test_search(spark, odd, docs, monkeypatch, top, block, span):
         assert got == brute_search([(r["doc_id"], r["text"]) for r in df.collect()], [(r["item_id"], r["text"]) for r in items.collect()], top)
 
 
-def test_search_rejects_before_it_decompresses(monkeypatch):
+def lists_of(documents, mean):
+    """A shard of documents (lists of terms) as postings by term."""
+    code = {t: i for i, t in enumerate(dict.fromkeys(t for d in documents for t in d))}
+    lengths = np.array([len(d) for d in documents])
+    columns = lexical.posting_lists(list(code), np.array([code[t] for d in documents for t in d], dtype=np.int32), lengths)
+    return {t: lexical.Postings(df, h, b, p, mean) for t, df, h, b, p in zip(*(c.to_pylist() for c in columns))}, lengths
+
+
+def test_search_rejects_before_it_unpacks():
     """With a strong list and a weak one, blocks of the weak one without a
     candidate are never read."""
-    n = 20_000
-    length = [50] * n
-    rare, common = [x for d in (5, 11, 17) for x in (d, 30)], [x for d in range(n) for x in (d, 1)]
-    own = {b"rare": rare, b"common": common}
-    mean = (n, 50 * n)
-    lists = {t: lexical.Postings(h, b, p, mean) for t, _, h, b, p in lexical._lists(own, length)}
-    docs, scores = lexical.best_of_shard([(lists[b"rare"], 9000), (lists[b"common"], 1)], np.array(length), 3)
-    assert docs.tolist() == [5, 11, 17] and len(set(scores.tolist())) == 1
-    assert len(lists[b"common"].read) <= lexical.RANGE // lexical.BLOCK + 1
-
-
-def test_blocks_and_impacts():
-    rng = np.random.default_rng(2)
-    docs = np.cumsum(rng.integers(1, 70000, 128))
-    tf = rng.integers(1, 300, 128)
-    back = lexical.read_block(lexical.packed_block(docs, tf), int(docs[0]))
-    assert back[0].tolist() == docs.tolist() and back[1].tolist() == tf.tolist()
-    length = rng.integers(1, 4000, 128)
-    best = lexical.impacts(tf, length)
-    for mean in ((10, 100), (1000, 7), (3, 90000)):
-        assert lexical.part_score(best[0], best[1], mean).max() == lexical.part_score(tf, length, mean).max()
+    documents = [[b"common"] * (1 + d % 3) + ([b"rare"] * 30 if d in (5, 11, 17) else []) for d in range(20_000)]
+    lists, lengths = lists_of(documents, (20_000, sum(map(len, documents))))
+    docs, _ = lexical.best_of_shard([(lists[b"rare"], 9000), (lists[b"common"], 1)], lengths, 3)
+    assert docs.tolist() == [5, 11, 17]
+    assert len(lists[b"common"].first) > 150 and len(lists[b"common"].read) <= lexical.RANGE // lexical.BLOCK + 1
+
+
+def test_postings_and_block_maxima():
+    rng = random.Random(2)
+    documents = [[b"t%d" % rng.randrange(1 + rng.randrange(40)) for _ in range(rng.randint(1, 60))] for _ in range(700)]
+    documents[300] = [b"t1"] * 70_000  # more occurrences than two bytes hold
+    for mean in ((10, 100), (1000, 7), (3, 90_000)):
+        lists, lengths = lists_of(documents, mean)
+        for t, p in lists.items():
+            docs, tf = (np.concatenate(x) for x in zip(*(p.block(i) for i in range(len(p.first)))))
+            assert [(d, n) for d, n in zip(docs.tolist(), tf.tolist())] == [(d, x.count(t)) for d, x in enumerate(documents) if t in x]
+            worth = lexical.part_score(tf, lengths[docs], mean)
+            assert p.most.tolist() == [int(worth[i:i + lexical.BLOCK].max()) for i in range(0, len(docs), lexical.BLOCK)]
 
 
 def test_search_in_empty_tables(spark, docs):

@@ -2,7 +2,7 @@
 
 Index: a shard is a run of at most ``SHARD_TERMS`` term occurrences of
 documents that one task read.  Each term of a shard has one row: its postings in
-blocks of ``BLOCK`` documents, each block compressed by itself, and for each
+blocks of ``BLOCK`` documents, each block packed by itself, and for each
 block the last document and the impacts (most occurrences by least length: the
 pairs that no other pair of the block beats).  The whole corpus is indexed; N, L
 and df are sums over the index.
@@ -16,7 +16,7 @@ from the essential lists, a range of documents at a time, and are completed list
 by list from the strongest non-essential one down.  Before a list is read, a
 candidate whose score, with the block maximum of its block there and the bounds
 of the weaker lists, does not reach the threshold is rejected, and only blocks
-that hold a candidate left are decompressed.  The shards' best ``top`` of each
+that hold a candidate left are unpacked.  The shards' best ``top`` of each
 query are merged by rank.
 
 Scores are 64-bit integers and the bounds are exact, so the result is that of
@@ -32,9 +32,9 @@ table on either side gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import re
-import struct
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +50,7 @@ TOP = 20
 BLOCK = 128
 #: Term occurrences of a shard, and documents; a longer text is a shard alone.
 SHARD_TERMS = 5_000_000
-SHARD_DOCS = 50_000
+SHARD_DOCS = 50_000  # below 65,536, so a gap fits two bytes
 #: Documents of a shard that are scored before the threshold is looked at anew.
 RANGE = 1024
 #: Queries that a task holds at once.
@@ -65,71 +65,63 @@ def terms_of(text: str | None) -> list[bytes]:
     return _TERM.findall((text or "").encode().lower())
 
 
-def _narrow(values: np.ndarray) -> tuple[int, bytes]:
-    width = 1 if values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4
-    return width, values.astype(f"<u{width}").tobytes()
-
-
-def packed_block(docs: np.ndarray, tf: np.ndarray) -> bytes:
-    """Postings of one block: the widths, the gaps, the counts."""
-    (a, gaps), (b, counts) = _narrow(np.diff(docs, prepend=docs[0])), _narrow(tf)
-    return bytes((a, b)) + gaps + counts
-
-
-def read_block(data: bytes, first: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = data[0], data[1]
-    n = (len(data) - 2) // (a + b)
-    gaps = np.frombuffer(data, dtype=f"<u{a}", count=n, offset=2).astype(np.int64)
-    return first + np.cumsum(gaps), np.frombuffer(data, dtype=f"<u{b}", count=n, offset=2 + a * n).astype(np.int64)
-
-
-def impacts(tf: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The (occurrences, length) pairs that none with as many occurrences and
-    no more length beats."""
-    order = np.lexsort((length, -tf))
-    tf, length = tf[order], length[order]
-    least = np.minimum.accumulate(length)
-    keep = np.ones(len(tf), dtype=bool)
-    keep[1:] = length[1:] < least[:-1]
-    return np.stack([tf[keep], length[keep]])
-
-
-def _rare(own: list[int], length: list[int]):
-    """The parts of a list of few documents, each with few occurrences."""
-    docs, tf = own[::2], own[1::2]
-    gaps = [0, *(b - a for a, b in zip(docs, docs[1:]))]
-    if max(gaps) > 255 or max(tf) > 255:
-        return None
-    best: list[tuple[int, int]] = []
-    for t, n in sorted(((t, length[d]) for d, t in zip(docs, tf)), key=lambda x: (-x[0], x[1])):
-        if not best or n < best[-1][1]:
-            best.append((t, n))
-    many = len(best)
-    return (struct.pack("<4I", docs[0], docs[-1], 2 + 2 * len(docs), many), struct.pack(f"<{2 * many}I", *(t for t, _ in best), *(n for _, n in best)),
-            bytes((1, 1, *gaps, *tf)))
-
-
-def _lists(own: dict[bytes, list[int]], lengths: list[int]):
-    """One row a term: (term, df, heads, impacts, postings).  ``heads``: for
-    each block first and last document, where its postings and its impacts
-    end."""
-    length = np.array(lengths, dtype=np.int64)
-    for term in sorted(own):
-        both = own[term]
-        small = _rare(both, lengths) if len(both) <= 8 else None
-        if small:
-            yield term, len(both) // 2, *small
-            continue
-        docs, tf = np.array(both, dtype=np.int64).reshape(-1, 2).T
-        blobs, best, heads, at, many = [], [], [], 0, 0
-        for i in range(0, len(docs), BLOCK):
-            d, t = docs[i:i + BLOCK], tf[i:i + BLOCK]
-            blobs.append(packed_block(d, t))
-            best.append(impacts(t, length[d]))
-            at += len(blobs[-1])
-            many += best[-1].shape[1]
-            heads.append((d[0], d[-1], at, many))
-        yield term, len(docs), np.array(heads, dtype="<u4").tobytes(), np.concatenate(best, axis=1).astype("<u4").tobytes(), b"".join(blobs)
+def block_impacts(block: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places of the postings that are their block's impacts: the (occurrences,
+    length) pairs that none with as many occurrences and no more length beats.
+    ``block`` is sorted."""
+    wide = int(length.max()) + 1
+    order = np.lexsort(((int(tf.max()) - tf) * wide + length, block))
+    # running least length within a block: earlier blocks lie above later ones
+    above = length[order] + (block[-1] - block[order]) * wide
+    least = np.minimum.accumulate(above)
+    keep = np.ones(len(order), dtype=bool)
+    keep[1:] = above[1:] < least[:-1]
+    return order[keep]
+
+
+def _binary(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Binary values that lie one after another in ``data``, by their ends in
+    bytes."""
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def posting_lists(terms: list[bytes], codes: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
+    """Columns (term, df, heads, impacts, postings) of a shard's lists, by term.
+    ``codes``: the terms of all documents, one after another, as places in
+    ``terms``; ``lengths``: how many each document has.  ``heads``: for each block
+    first and last document, where its postings and its impacts end.  A posting
+    is the gap to the one before in its block and the occurrences."""
+    rank = np.empty(len(terms), dtype=np.int64)
+    by_term = sorted(range(len(terms)), key=terms.__getitem__)
+    rank[by_term] = np.arange(len(terms))
+    n_docs = len(lengths)
+    doc = np.repeat(np.arange(n_docs), lengths)
+    both, tf = np.unique(rank[codes] * n_docs + doc, return_counts=True)
+    term, doc = both // n_docs, both % n_docs
+    df = np.bincount(term, minlength=len(terms))
+    ends = np.cumsum(df)
+    place = np.arange(len(doc)) - np.repeat(ends - df, df)
+    new = place % BLOCK == 0
+    block = np.cumsum(new) - 1
+    firsts = np.flatnonzero(new)
+    lasts = np.append(firsts[1:], len(doc)) - 1
+    gap = np.diff(doc, prepend=0)
+    gap[firsts] = 0
+    count = "<u2" if tf.max() < 1 << 16 else "<u4"
+    postings = np.empty(len(doc), dtype=[("gap", "<u2"), ("tf", count)])
+    postings["gap"], postings["tf"] = gap, tf
+    best = block_impacts(block, tf, lengths[doc])
+    pairs = np.stack([tf[best], lengths[doc][best]], axis=1).astype("<u4")
+    # per term: blocks, and what of its list and impacts the blocks end at
+    n_blocks = -(-df // BLOCK)
+    block_ends = np.cumsum(n_blocks)
+    best_ends = np.cumsum(np.bincount(block[best], minlength=len(firsts)))
+    of_term = np.repeat(np.arange(len(df)), n_blocks)
+    before = np.concatenate(([0], best_ends))[block_ends - n_blocks]
+    heads = np.stack([doc[firsts], doc[lasts], place[lasts] + 1, best_ends - before[of_term]], axis=1).astype("<u4")
+    return [pa.array([terms[i] for i in by_term], pa.binary()), pa.array(df.astype(np.int64)), _binary(block_ends * 16, heads),
+            _binary(best_ends[block_ends - 1] * 8, pairs), _binary(ends * postings.itemsize, postings)]
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -143,47 +135,31 @@ def build_index(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         context, number = TaskContext.get(), 0
-        own: dict[bytes, list[int]] = {}  # document, occurrences, document, ...
-        names: list[pa.Array] = []
-        lengths: list[int] = []
-        seen, id_type = 0, None
-
-        def rows(part, shard):
-            made = list(zip(*part))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard] * len(part)), *[pa.array(c, t) for c, t in zip(made, (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                 pa.nulls(len(part), pa.list_(id_type))], ["shard", "term", "df", "heads", "impacts", "postings", "ids"])
+        id_type = None
+        columns = ["shard", "term", "df", "heads", "impacts", "postings", "ids"]
 
         def shard():
             name = f"{context.partitionId()}-{context.taskAttemptId()}-{number}"
-            part, size = [], 0
-            for row in _lists(own, lengths):
-                part.append(row)
-                size += len(row[4]) + 200
-                if size > 4 << 20:
-                    yield rows(part, name)
-                    part, size = [], 0
-            if part:
-                yield rows(part, name)
+            length = np.array(lengths, dtype=np.int64)
+            whole = posting_lists(list(code), np.concatenate(codes), length)
+            for at in range(0, len(whole[0]), 1 << 15):
+                part = [c.slice(at, 1 << 15) for c in whole]
+                many = len(part[0])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name), many), *part, pa.nulls(many, pa.list_(id_type))], columns)
             held = pa.concat_arrays(names)
+            none = pa.nulls(1, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.nulls(1, pa.binary()), pa.array([len(lengths)], pa.int64()), pa.array([np.array(lengths, dtype="<u4").tobytes()], pa.binary()),
-                 pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)],
-                ["shard", "term", "df", "heads", "impacts", "postings", "ids"])
+                [pa.array([name]), none, pa.array([len(length)], pa.int64()), pa.array([length.astype("<u4").tobytes()], pa.binary()), none, none,
+                 pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)], columns)
 
+        code, codes, names, lengths, seen = defaultdict(itertools.count().__next__), [], [], [], 0
         for part in slices(batches):
             id_type = part.column(0).type
             with_terms = []
             for i, text in enumerate(part.column(1).to_pylist()):
                 found = terms_of(text)
                 if found:
-                    at = len(lengths)
-                    for term, n in Counter(found).items():
-                        held = own.get(term)
-                        if held is None:
-                            own[term] = [at, n]
-                        else:
-                            held += (at, n)
+                    codes.append(np.fromiter(map(code.__getitem__, found), dtype=np.int32, count=len(found)))  # a new term takes the next number
                     lengths.append(len(found))
                     with_terms.append(i)
                     seen += len(found)
@@ -191,8 +167,8 @@ def build_index(docs: DataFrame) -> DataFrame:
                 names.append(part.column(0).take(pa.array(with_terms)))
             if seen >= SHARD_TERMS or len(lengths) >= SHARD_DOCS:
                 yield from shard()
-                own = {}
-                names, lengths, seen, number = [], [], 0, number + 1
+                code, codes, names, lengths, seen = defaultdict(itertools.count().__next__), [], [], [], 0
+                number += 1
         if lengths:
             yield from shard()
 
@@ -202,18 +178,20 @@ def build_index(docs: DataFrame) -> DataFrame:
 class Postings:
     """A term's list in one shard."""
 
-    def __init__(self, heads: bytes, best: bytes, postings: bytes, mean: tuple[int, int]):
-        self.data, self.mean = postings, mean
+    def __init__(self, df: int, heads: bytes, best: bytes, postings: bytes, mean: tuple[int, int]):
+        self.mean = mean
         self.first, self.last, self.ends, many = np.frombuffer(heads, dtype="<u4").astype(np.int64).reshape(-1, 4).T
-        tf, length = np.frombuffer(best, dtype="<u4").astype(np.int64).reshape(2, -1)
+        self.postings = np.frombuffer(postings, dtype=[("gap", "<u2"), ("tf", f"<u{len(postings) // df - 2}")])
+        tf, length = np.frombuffer(best, dtype="<u4").astype(np.int64).reshape(-1, 2).T
         self.most = np.maximum.reduceat(part_score(tf, length, mean), np.concatenate(([0], many[:-1])))
         self.bound = int(self.most.max())
         self.read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and occurrences of a block, unpacked when first needed."""
         if i not in self.read:
-            start = int(self.ends[i - 1]) if i else 0
-            self.read[i] = read_block(self.data[start:int(self.ends[i])], int(self.first[i]))
+            packed = self.postings[self.ends[i - 1] if i else 0:self.ends[i]]
+            self.read[i] = self.first[i] + np.cumsum(packed["gap"].astype(np.int64)), packed["tf"].astype(np.int64)
         return self.read[i]
 
     def within(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -309,8 +287,7 @@ def query_terms(items: DataFrame) -> DataFrame:
 def search_index(index: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     """item_id, rank, doc_id, score: the ``top`` documents of each item."""
     item, doc = items.schema["item_id"].dataType, index.schema["ids"].dataType.elementType
-    mean = corpus_totals(index)
-    n_docs = mean[0]
+    mean = n_docs, _ = corpus_totals(index)
     asked = stored(query_terms(items), "query_terms")
     # of the index, the lists that any query needs
     lists = stored(index.where("term is not null").drop("ids").join(asked.select("term").distinct(), "term"), "sought", "zstd")
@@ -321,7 +298,7 @@ def search_index(index: DataFrame, items: DataFrame, top: int = TOP) -> DataFram
     queries = (asked.join(weights, "term").where("w > 0")
                .groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block"), "term")
                .agg(F.collect_list("item_id").alias("items"), F.collect_list(F.col("w") * F.col("times")).alias("weights")))
-    lists = lists.join(queries, "term").select("shard", "block", "term", "heads", "impacts", "postings", "items", "weights")
+    lists = lists.join(queries, "term").select("shard", "block", "term", "df", "heads", "impacts", "postings", "items", "weights")
     about = index.where("term is null").select("shard", F.col("heads").alias("lengths"), "ids")
     about = about.join(lists.select("shard", "block").distinct(), "shard").select(
         F.col("shard").alias("of_shard"), F.col("block").alias("of_block"), "lengths", "ids")
@@ -332,9 +309,9 @@ def search_index(index: DataFrame, items: DataFrame, top: int = TOP) -> DataFram
             length = np.frombuffer(about.column("lengths")[0].as_py(), dtype="<u4").astype(np.int64)
             ids = about.column("ids")[0].values
             of: dict = {}
-            for row in lists.select(["heads", "impacts", "postings", "items", "weights"]).to_batches():
-                for heads, best, postings, own, weights in zip(*(c.to_pylist() for c in row.columns)):
-                    p = Postings(heads, best, postings, mean)
+            for row in lists.select(["df", "heads", "impacts", "postings", "items", "weights"]).to_batches():
+                for df, heads, best, postings, own, weights in zip(*(c.to_pylist() for c in row.columns)):
+                    p = Postings(df, heads, best, postings, mean)
                     for i, w in zip(own, weights):
                         of.setdefault(i, []).append((p, w))
             for i, own in of.items():
