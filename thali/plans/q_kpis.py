@@ -5,9 +5,10 @@ from __future__ import annotations
 from datetime import timedelta
 
 from thali.functions.temporal import check_range, period_days
-from thali.operators import kpis
+from thali.operators import day_states, kpis
 from thali.operators.listings import customer_rollup
 from thali.plans.registry import AS_OF, RANGE_END, RANGE_START, d, ist_day, register, sql, ts
+from thali.session import stored
 
 _TODAY = f"{ist_day('order_date')} = {d(AS_OF)}"
 _PERIODS = {
@@ -48,6 +49,16 @@ for _p, _cond in _PERIODS.items():
         lambda t, _p=_p: _kpis(t, _p))
 
 
+def _states(t):
+    """The daily states as the stored tables that reports read."""
+    return stored(day_states.day_sums(t["orders"]), "day_sums"), stored(day_states.day_customers(t["orders"]), "day_customers")
+
+
+for _p, _cond in _PERIODS.items():
+    register("period_kpis_by_days" if _p == "all" else f"period_kpis_by_days_{_p}", _kpi_sql(_cond))(
+        lambda t, _p=_p: day_states.period_kpis(*_states(t), _p, AS_OF, RANGE_START, RANGE_END))
+
+
 @register("header_counters", sql("orders")(f"""
 select count(case when {_TODAY} then 1 end) today_orders,
   count(case when status = 'pending' then 1 end) pending_orders,
@@ -58,6 +69,16 @@ def _header(t):
     return kpis.header_counters(t["orders"], AS_OF)
 
 
+@register("header_counters_by_days", sql("orders")(f"""
+select count(case when {_TODAY} then 1 end) today_orders,
+  count(case when status = 'pending' then 1 end) pending_orders,
+  cast(coalesce(sum(case when {_TODAY} and status <> 'cancelled' then total_amount end), 0) as double) today_revenue
+from f_orders
+"""))
+def _header_by_days(t):
+    return day_states.header_counters(stored(day_states.day_sums(t["orders"]), "day_sums"), AS_OF)
+
+
 @register("status_distribution", sql("orders")("""
 select status, count(*) "count",
   ((count(*) * 2000 + (select count(*) from f_orders)) // (2 * (select count(*) from f_orders))) / 10.0 percentage
@@ -106,6 +127,8 @@ from f_orders where {cond} group by {ist_day('order_date')}
 """)
 
 
+register("daily_breakdown_by_days", _daily_sql(_PERIODS["custom"], extra=True))(
+    lambda t: day_states.daily_breakdown(*_states(t), RANGE_START, RANGE_END))
 register("daily_sales_custom", _daily_sql(_PERIODS["custom"]))(
     lambda t: kpis.daily_sales(t.orders_between(RANGE_START, RANGE_END), start=RANGE_START, end=RANGE_END))
 register("daily_sales_week", _daily_sql(_PERIODS["week"]))(
