@@ -233,10 +233,29 @@ def test_components_of_a_chain(spark):
 
 
 def test_drop_near_copies(odd):
+    """One row of each component: of its smallest id."""
     out = simhash.drop_near_copies(odd)
     assert out.columns == odd.columns
-    stay = {i for i, _, c in brute_components(both(odd)) if i == c}
-    assert {i for i, _ in both(out)} == stay
+    components = collections.defaultdict(list)
+    for r in simhash.groups(odd).collect():
+        components[r["component"]].append(r["doc_id"])
+    least = [min((i for i in ids if i is not None), default=None) for ids in components.values()]
+    assert collections.Counter(i for i, _ in both(out)) == collections.Counter(least)
+
+
+def test_drop_near_copies_of_an_id_in_two_components(spark):
+    rows = [(0, "a b c d e f g h", "x"), (1, "a b c d e f g h", "y"), (1, "quite another text of some words", "z"), (None, "quite another text of some words", "n"),
+            (None, "a third text that is only here", "o")]
+    out = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, component string"))
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
+
+
+@pytest.mark.parametrize("digest", ["sha", "weak"])
+def test_drop_exact_copies_compares_contents(spark, digest):
+    how = {"digest": lambda c: exact_dedup.F.length(c).cast("string")} if digest == "weak" else {}
+    rows = [(1, "aa bb", "x"), (1, "bb aa", "y"), (2, "aa  bb", "z"), (2, "bb aa", "u"), (3, "cc cc", "v")]
+    out = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string, digest string"), **how)
+    assert sorted(tuple(r) for r in out.collect()) == [rows[0], rows[1], rows[4]]
 
 
 # LM scoring
@@ -537,6 +556,22 @@ def test_mixed_documents(odd, docs):
         assert out.columns == df.columns and got == collections.Counter({k: v for k, v in taken.items() if v})
 
 
+def test_mixed_documents_keep_each_row_its_own(spark):
+    """Rows of one id and text, and texts of one id, come back with their own columns."""
+    rows = [(1, "a b c", "s", "x"), (1, "a b c", "s", "y"), (1, "d e f g", "s", "z"), (None, "a b c", None, "n"), (None, "a b c", None, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, key string")
+    want = collections.Counter()
+    mix, spans = mixing.mixed(df)
+    for r in mix.join(spans, ["source_no", "offset"]).select("doc_id", "nth", "key", "round").distinct().collect():
+        want[r["doc_id"], bytes(r["key"])] += 1
+    got = collections.Counter((r["doc_id"], hashlib.sha256(r["text"].encode()).digest()) for r in mixing.mixed_documents(df).collect())
+    assert got == want
+    extra = {(r["doc_id"], r["text"]): set() for r in mixing.mixed_documents(df).collect()}
+    for r in mixing.mixed_documents(df).collect():
+        extra[r["doc_id"], r["text"]].add(r["key"])
+    assert extra[1, "a b c"] == {"x", "y"}
+
+
 # licenses
 
 def brute_licenses(text):

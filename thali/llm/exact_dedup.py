@@ -72,12 +72,22 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
                     (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    keep = _winners(_contents(docs, _sha256), salts).select(
-        F.col("keep_id").alias("_keep"), F.col("digest").alias("_of"))
+def drop_exact_copies(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column] = _sha256) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.  Rows are matched
+    to their group's winner by id and digest, and by content wherever two
+    contents have one digest."""
+    found = _winners(_contents(docs, digest), salts)
+    winners = stored(found.select("digest", "keep_id"), "winners")
+    shared = winners.groupBy("digest").count().where("count > 1").select(F.col("digest").alias("_of"))
     rows = nested(docs, "doc_id", "text")
-    rows = rows.withColumn("_digest", _sha256(F.regexp_replace(F.coalesce("text", F.lit("")), GAP, " ")))
-    joined = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("_of")), "left_semi")
-    first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "_digest").orderBy(F.xxhash64("_row"))
-    return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_row.*")
+    rows = rows.withColumn("_content", F.regexp_replace(F.coalesce("text", F.lit("")), GAP, " ")).withColumn("_digest", digest(F.col("_content")))
+    keep = winners.select(F.col("keep_id").alias("_keep"), F.col("digest").alias("_of"))
+    same = F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("_of"))
+    first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "_digest")
+    if shared.isEmpty():
+        joined = rows.drop("_content").join(keep, same, "left_semi")
+    else:
+        own = found.select(F.col("keep_id").alias("_keep"), F.col("digest").alias("_of"), F.col("content").alias("_kept"))
+        joined = rows.join(own, same & (F.col("_content") == F.col("_kept")), "left_semi")
+        first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "_digest", "_content")
+    return joined.withColumn("_n", F.row_number().over(first.orderBy(F.xxhash64("_row")))).where("_n = 1").select("_row.*")

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thali.llm.common import nested, stored, words
+from thali.llm.common import fenced, nested, stored, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
@@ -53,15 +53,23 @@ def targets(sizes: list[int], weights: list[float], most_times: float = MOST_TIM
     return out
 
 
+def _key(text: Column) -> Column:
+    """Rows of one key have one text; a null text is an empty one."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def laid_out(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, run, start): ``start`` is the document's first
-    word within its run of its source."""
+    """(doc_id, source, size, key, nth, run, start): ``start`` is the document's
+    first word within its run of its source, ``nth`` its number among rows of one
+    id, source and text, by the hash of the whole row."""
     size = F.size(words(F.coalesce(docs["text"], F.lit("")))).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)).cast("int").alias("run"),
-                       F.crc32(F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8")).alias("crc"))
-    order = Window.partitionBy("source", "run").orderBy("doc_id", "crc", "size")
+    rows = docs.select("doc_id", "source", size.alias("size"), _key(docs["text"]).alias("key"),
+                       F.xxhash64(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "key"), F.lit(RUNS)).cast("int"))
+    order = Window.partitionBy("source", "run").orderBy("doc_id", "key", "row")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumns({"start": F.coalesce(F.sum("size").over(before), F.lit(0)), "copy": F.row_number().over(order)})
+    equal = Window.partitionBy("source", "run", "doc_id", "key").orderBy("row")
+    return rows.withColumns({"start": F.coalesce(F.sum("size").over(before), F.lit(0)), "nth": F.row_number().over(equal)}).drop("row")
 
 
 def draws(blocks: list[int], wanted: list[int], shards: int, seed: int) -> np.ndarray:
@@ -136,7 +144,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BL
     """
     spark = docs.sparkSession
     rows = stored(laid_out(docs), "laid-out")
-    runs = rows.groupBy("source", "run").agg(F.sum("size").alias("words"), F.max("copy").alias("n_rows"))
+    runs = rows.groupBy("source", "run").agg(F.sum("size").alias("words"))
     # one row a source on the driver
     found = runs.groupBy("source").agg(F.sum("words").alias("words")).collect()
     found = sorted(found, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -153,8 +161,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BL
     bases = runs.select(F.col("source").alias("_s"), F.col("run").alias("_r"),
                         F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
     placed = (rows.join(bases, rows["source"].eqNullSafe(bases["_s"]) & (rows["run"] == bases["_r"]))
-              .join(F.broadcast(table), F.col("source").eqNullSafe(F.col("of")))
-              .select("doc_id", "source", "size", "crc", "copy", "source_size", "target", "source_no",
+              .join(table, F.col("source").eqNullSafe(F.col("of")))
+              .select("doc_id", "source", "size", "key", "nth", "source_size", "target", "source_no",
                       (F.col("base") + F.col("start")).alias("offset")))
 
     first, last = F.col("offset"), F.col("offset") + F.col("size")
@@ -189,12 +197,15 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
         F.sum("n_words").alias("got"), F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("parts"))
     # a document of n words has at most n / BLOCK + 2 spans a round
     got = rows.where("size > 0").join(got, ["source_no", "offset"]).select(
-        *[F.col(c).alias(f"_{c}") for c in ("doc_id", "size", "source", "crc", "got", "parts")])
-    whole = nested(docs, "doc_id", "text", "source").withColumn("_of", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "source", "_of").orderBy(F.xxhash64("_row"))
-    met = whole.withColumn("_n", F.row_number().over(first)).where("_n = 1").join(
-        got, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_of") == F.col("_crc")))
-    met = met.withColumn("_words", words(F.col("text")))
+        *[F.col(c).alias(f"_{c}") for c in ("doc_id", "size", "source", "key", "nth", "got", "parts")])
+    whole = nested(docs, "doc_id", "text", "source").withColumn("_of", _key(F.col("text")))
+    # each row meets its own spans: rows of one id, source and text are numbered as they were laid out
+    equal = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "source", "_of").orderBy(F.xxhash64("_row"))
+    met = whole.withColumn("_n", F.row_number().over(equal)).join(
+        got, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
+        & (F.col("_of") == F.col("_key")) & (F.col("_n") == F.col("_nth")))
+    # only texts that are cut are split, once each
+    met = met.withColumn("_words", fenced(F.when(F.col("_got") != F.col("_size"), words(F.col("text")))))
     # spans that follow one another are one run
     starts = F.filter(F.transform(F.col("_parts"), lambda p, i: F.when((i == 0) | (
         F.get(F.col("_parts"), i - 1)["from_word"] + F.get(F.col("_parts"), i - 1)["n_words"] < p["from_word"]),

@@ -65,14 +65,20 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+    """(doc_id, text_key, fp): an MD5 of the text, and the fingerprint as a signed
+    64-bit integer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             fp = np.array([fingerprint(t, shingle) if t else 0 for t in part.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(fp.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    schema = docs.select("doc_id", F.lit(0).cast("long").alias("fp")).schema
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    rows = docs.select("doc_id", "text", _text_key(F.col("text")).alias("text_key"))
+    return rows.mapInArrow(run, rows.select("doc_id", "text_key", F.lit(0).cast("long").alias("fp")).schema)
+
+
+def _text_key(text: Column) -> Column:
+    """Rows of one id and one key have one fingerprint."""
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def _segment(c: Column, s: int) -> Column:
@@ -108,23 +114,26 @@ def near_pairs(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """One row a document: doc_id, fp, component_id, component_size (documents)."""
+    """One row a document: doc_id, text_key, fp, component (a fingerprint of it),
+    component_id, component_size (documents)."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows")), "classes")
     linked = smallest_reachable(near_pairs(classes.select("fp"), most_bits))
     # a component's id: the smallest doc_id of its fingerprints
     members = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = members.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("n_rows").alias("component_size"))
-    placed = members.select("fp", "n_rows", "component").join(ids, "component").select("fp", "n_rows", "component_id", "component_size")
-    total = rows.count()
-    return lookup(rows, placed, "fp", "n_rows", total).select("doc_id", "fp", "component_id", "component_size")
+    placed = members.select("fp", "n_rows", "component").join(ids, "component").select("fp", "n_rows", "component", "component_id", "component_size")
+    return lookup(rows, placed, "fp", "n_rows", rows.count())
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest ``doc_id`` of each
-    component, once; an id that repeats with another text keeps both."""
-    keep = groups(docs, shingle, most_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col("component_id").alias("_keep"), F.col("fp").alias("_fp")).distinct()
-    rows = nested(docs, "doc_id", "text").join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    same = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), F.sha2("text", 256)).orderBy(F.xxhash64("_row"))
+    """One row of ``docs`` of each component, with all its columns: that of the
+    smallest ``doc_id`` (a null one last), of several texts under that id the one
+    whose key comes first, of equal rows any."""
+    found = groups(docs, shingle, most_bits)
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_key")).alias("k")
+    keep = found.groupBy("component").agg(first).select(F.col("k.doc_id").alias("_keep"), F.col("k.text_key").alias("_of"))
+    rows = nested(docs, "doc_id", "text").withColumn("_key", _text_key(F.col("text")))
+    rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_key") == F.col("_of")), "left_semi")
+    same = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "_key").orderBy(F.xxhash64("_row"))
     return rows.withColumn("_n", F.row_number().over(same)).where("_n = 1").select("_row.*")
