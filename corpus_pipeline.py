@@ -56,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", byte_bpe),
 ]
 
-#: Shingle hashes, label propagation, seeded draws and BPE merges are not SQL;
+#: Shingle hashes, alternating stars, seeded draws and BPE merges are not SQL;
 #: tests/llm hold the rows against a brute-force version.
 ORACLE_SQL: str | None = None
 
