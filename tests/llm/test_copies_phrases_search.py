@@ -142,7 +142,7 @@ def brute_phrases(rows, longest=3, least=10, inside=50, top=2000):
                   for lang, rows in out.items() for i, (s, a, p, l, r) in enumerate(sorted(rows)[:top]))
 
 
-@pytest.mark.parametrize("longest, least, top", [(3, 10, 2000), (4, 3, 50), (2, 2, 7)])
+@pytest.mark.parametrize("longest, least, top", [(3, 10, 2000), (4, 3, 50)])
 def test_collocations(odd, docs, longest, least, top):
     for df in (odd, docs):
         got = sorted(tuple(r) for r in collocations.top_phrases(df, longest, least, 50, top).collect())
@@ -169,11 +169,17 @@ def test_collocations_of_an_empty_table(spark):
     assert collocations.top_phrases(spark.createDataFrame([], DOCS)).collect() == []
 
 
-def test_seed_that_tells_words_apart(spark, monkeypatch):
-    words = spark.createDataFrame([("en", "a", 1), ("en", "b", 1)], "lang string, word string, n long")
-    own = collocations._key
-    monkeypatch.setattr(collocations, "_key", lambda lang, word, seed: own(lang, word, seed) if seed > 2 else collocations.F.lit(7))
-    assert collocations.distinct_seed(words) == 3
+def test_seed_that_tells_words_apart(docs, monkeypatch):
+    own = collocations.word_key
+    monkeypatch.setattr(collocations, "word_key", lambda lang, word, seed: own(lang, word, seed) if seed else 1 + len(word))
+    relation, words = collocations.occurrences(docs)
+    assert words.count() == words.select("key").distinct().count() > 1000 and relation.count() == docs.count()
+
+
+def test_small_parts_change_nothing(odd, monkeypatch):
+    monkeypatch.setattr(collocations, "AT_ONCE", 5)
+    got = sorted(tuple(r) for r in collocations.top_phrases(odd, 3, 2, 50, 100).collect())
+    assert got == brute_phrases([(r["lang"], r["text"]) for r in odd.collect()], 3, 2, 50, 100)
 
 
 # lexical search
@@ -202,7 +208,7 @@ def brute_search(pairs, items, top=20):
 ITEMS = [(1, "a b c word"), (2, "two two words"), (3, None), (4, ""), (5, "unknown thing"), (6, "x A \u00e9 big id null"), (7, "x")]
 
 
-@pytest.mark.parametrize("top, block, span", [(20, 128, 1024), (3, 2, 4), (1, 1, 1)])
+@pytest.mark.parametrize("top, block, span", [(20, 128, 1024), (3, 2, 4)])
 def test_search(spark, odd, docs, monkeypatch, top, block, span):
     monkeypatch.setattr(lexical, "BLOCK", block)
     monkeypatch.setattr(lexical, "RANGE", span)

@@ -26,62 +26,99 @@ UTF-8 order; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thali.llm.common import ascii_lower, stored
+from thali.llm.common import slices, stored
 
 LONGEST, LEAST, INSIDE, TOP = 3, 10, 50, 2000
-# Characters that end a piece, blanks between words.
-STOPS = r"[.,;:!?\x0A-\x0D]"
-BLANKS = r"[\x20\x09]+"
+# Characters that end a piece; the rest of the white space parts words.
+STOPS = b".,;:!?\n\x0b\x0c\r"
 #: Bits of the table that a task tests groups against: 8 MB whatever the input.
 BITS = 1 << 26
-#: Occurrences that a task groups at once.
+#: Occurrences that a task groups at once, and words that it numbers at once.
 AT_ONCE = 1 << 19
-_BREAK = "\n"
+_TO_BREAK = bytes.maketrans(STOPS, b"\n" * len(STOPS))
+_BREAK = b"\n"
 
 
-def marked_words(text: Column) -> Column:
-    """Words of a text in order, a line feed for each end of a piece."""
-    return F.split(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), STOPS, " \n "), BLANKS)
+def marked_words(text: str | None) -> list[bytes]:
+    """Words of a text in order, A-Z lowered, a line feed after each piece."""
+    out: list[bytes] = []
+    for piece in (text or "").encode().lower().translate(_TO_BREAK).split(_BREAK):
+        own = piece.split()  # only blanks and tabs are left to part words
+        if own:
+            out += own
+            out.append(_BREAK)
+    return out
 
 
-def _real(word: Column) -> Column:
-    return (word != "") & (word != _BREAK)
+def word_key(lang: bytes, word: bytes, seed: int) -> int:
+    return xxhash.xxh64_intdigest(b"%d:%b%b" % (len(lang), lang, word), seed) or 1
 
 
-def counted_words(docs: DataFrame) -> DataFrame:
-    """(lang, word, n) over all texts."""
-    word = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(marked_words(F.col("text"))).alias("word"))
-    return stored(word.where(_real(F.col("word"))).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
-
+def read(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """One pass over the texts.  Rows are either a document (keys: its words by
+    piece and position, 0 after each piece) or a word that a task met (lang,
+    word, key, n)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emptied():
+            number = itertools.count(1)
+            return defaultdict(lambda: defaultdict(number.__next__)), [], 0
+
+        code, held, size = emptied()  # lang: word: its number in this task
+
+        def flushed():
+            named = [(n, lang, word) for lang, own in code.items() for word, n in own.items() if word != _BREAK]
+            keys = np.zeros(1 + sum(map(len, code.values())), dtype=np.uint64)  # 0 for a break
+            keys[[n for n, _, _ in named]] = [word_key(lang, word, seed) for _, lang, word in named]
+            flat = np.concatenate(held)
+            ends = np.cumsum([len(x) for x in held])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(keys[flat].view(np.int64)))
+            none = lambda t, n: pa.nulls(n, t)
+            yield pa.RecordBatch.from_arrays([none(pa.string(), len(held)), none(pa.string(), len(held)), none(pa.int64(), len(held)), none(pa.int64(), len(held)), lists], names)
+            times = np.bincount(flat, minlength=len(keys))
+            for at in range(0, len(named), 1 << 16):
+                part = named[at:at + (1 << 16)]
+                place = np.array([n for n, _, _ in part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for _, x, _ in part], pa.binary()).cast(pa.string()), pa.array([x for _, _, x in part], pa.binary()).cast(pa.string()),
+                     pa.array(keys[place].view(np.int64)), pa.array(times[place]), none(pa.list_(pa.int64()), len(part))], names)
+
+        for part in slices(batches, size=1 << 20):
+            for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                own = code[lang.encode()]
+                own[_BREAK]  # has a number too, whose key is 0
+                words = marked_words(text)
+                held.append(np.fromiter(map(own.__getitem__, words), dtype=np.int64, count=len(words)))
+                size += len(words)
+                if size >= AT_ONCE:
+                    yield from flushed()
+                    code, held, size = emptied()
+        if held:
+            yield from flushed()
 
-def _key(lang: Column, word: Column, seed: int) -> Column:
-    key = F.xxhash64(F.lit(seed), lang, word)
-    return F.when(key == 0, 1).otherwise(key)
+    names = ["lang", "word", "key", "n", "keys"]
+    rows = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
+    return stored(rows.mapInArrow(run, "lang string, word string, key long, n long, keys array<long>"), "read", "zstd")
 
 
-def distinct_seed(words: DataFrame) -> int:
-    """A seed under which all words have keys of their own."""
-    total = words.count()
+def occurrences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sorted occurrence relation (keys), one row a document, and all words
+    (lang, word, key, n), under a seed for which no two words share a key."""
     for seed in range(100):
-        keys = words.select(_key(F.col("lang"), F.col("word"), seed).alias("key"))
-        if keys.groupBy("key").count().where("count > 1").limit(1).count() == 0:
-            return seed
-    raise ValueError(f"no seed tells {total} words apart")
-
-
-def occurrences(docs: DataFrame, seed: int) -> DataFrame:
-    """The sorted occurrence relation: one row a document, its word keys by
-    piece and position, 0 for each end of a piece."""
-    lang = F.coalesce("lang", F.lit("und"))
-    keys = F.transform(marked_words(F.col("text")), lambda w: F.when(_real(w), _key(lang, w, seed)).otherwise(F.lit(0).cast("long")))
-    return stored(docs.select(keys.alias("keys")), "occurrences")
+        rows = read(docs, seed)
+        words = stored(rows.where("word is not null").groupBy("lang", "word", "key").agg(F.sum("n").alias("n")), "words", "zstd")
+        if words.groupBy("key").count().where("count > 1").isEmpty():
+            return rows.where("keys is not null").select("keys"), words
+    raise ValueError("no seed tells the words apart")
 
 
 def _mixed(columns: list[np.ndarray]) -> np.ndarray:
@@ -212,10 +249,8 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
     """All words (lang, word, n), and for each length 1..longest the frequent
     phrases (w1.., n)."""
     spark = docs.sparkSession
-    words = counted_words(docs)
-    seed = distinct_seed(words)
-    often = stored(words.where(F.col("n") >= least).select(_key(F.col("lang"), F.col("word"), seed).alias("w1"), "lang", "word", "n"), "frequent")
-    relation = occurrences(docs, seed)
+    relation, words = occurrences(docs)
+    often = stored(words.where(F.col("n") >= least).select(F.col("key").alias("w1"), "lang", "word", "n"), "frequent")
     found, tables = [often], [spark.sparkContext.broadcast(bit_table(_hash_rows(often, 1)))]
     for length in range(2, longest + 1):
         rough = stored(counted_groups(relation, length, tables, exact=False).where(F.col("n") >= least).select("h"), f"rough_{length}")
