@@ -66,12 +66,10 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 THRESHOLD = 0.9
-#: A run has at most this many times the words of its template, repeats counted.
+#: A run has at most this many times the words of its template, repeats counted:
+#: room for a name, a year or a link put into a notice, but not for a second
+#: sentence of its length.
 SPAN = 1.5
-#: The line blocks of the SQL statement, which the operator does not use: there
-#: templates of more words than LINE_WORDS are looked for in windows of WRAP lines.
-LINE_WORDS = 12
-WRAP = 6
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

@@ -3,6 +3,9 @@ its production parameters, to its whole table."""
 
 from __future__ import annotations
 
+import math
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,6 +159,13 @@ def _places(phrase: str) -> str:
     return f"list_filter(range(1, len(w) + 1), lambda i: {same})"
 
 
+def _license(k: int, label: str, text: str) -> tuple:
+    own = licenses.template_words(text)
+    return k, label, own, len(own), math.ceil(licenses.THRESHOLD * len(own) - 1e-9), int(licenses.SPAN * len(re.findall("[0-9A-Za-z]+", text)))
+
+
+_LICENSES = [_license(k, label, text) for k, (label, text) in enumerate(licenses.TEMPLATES)]
+
 ORACLE["op10_licenses"] = rf"""
 with t as (
   select row_number() over () as rid, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as t from documents
@@ -167,24 +177,31 @@ with t as (
   select rid, doc_id, n_words, {" || ".join(f"p{k}" for k in range(len(licenses.PHRASES)))} as places,
     {" || ".join(f"case when len(p{k}) > 0 then ['{name}'] else [] end" for k, (_, name) in enumerate(licenses.PHRASES))} as base
   from p
-), lines as (
-  select rid, n, list_distinct(list_filter(regexp_split_to_array(l, '{_WORDS}'), lambda x: x <> '')) as own from (
-    select rid, unnest(string_split(t, chr(10))) as l, generate_subscripts(string_split(t, chr(10)), 1) as n from t)
-), blocks as (
-  select rid, n, own, list_distinct(flatten(list(own) over (partition by rid order by n rows between current row and {licenses.WRAP - 1} following))) as wide
-  from lines
-), templates(k, label, words) as (
-  values {", ".join(f"({k}, '{label}', [{_values(licenses.template_words(text))}])" for k, (label, text) in enumerate(licenses.TEMPLATES))}
-), hits as (
-  select rid, n, k, label, words, len(words) > {licenses.LINE_WORDS} as long,
-    len(list_intersect(case when len(words) > {licenses.LINE_WORDS} then wide else own end, words)) / len(words) as share
-  from blocks, templates where len(list_intersect(wide, words)) >= ceil({licenses.THRESHOLD} * len(words) - 1e-9)
-), matched as (
-  select h.* from hits h where share >= {licenses.THRESHOLD} - 1e-9 and not exists (
-    select 1 from hits o where o.rid = h.rid and o.n = h.n and o.long = h.long and o.share >= {licenses.THRESHOLD} - 1e-9
-      and len(o.words) > len(h.words) and len(list_intersect(o.words, h.words)) = len(h.words))
+), w as (
+  select rid, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from d
+), templates(k, label, size, need, reach) as (
+  values {", ".join(f"({k}, '{label}', {size}, {need}, {reach})" for k, label, _, size, need, reach in _LICENSES)}
+), own(k, word) as (
+  values {", ".join(f"({k}, '{x}')" for k, _, own, *_ in _LICENSES for x in own)}
+), near as (
+  select rid, k, i, word, need, reach from w join own using (word) join templates using (k)
+  qualify count(distinct word) over (partition by rid, k) >= need
+), firsts as (
+  select a.rid, a.k, a.i as first, o.word, min(o.i) as place, any_value(a.need) as need
+  from near a join near o on o.rid = a.rid and o.k = a.k and o.i >= a.i and o.i < a.i + a.reach group by all
+), runs as (
+  select rid, k, first, max(place) as last, count(*) as n from firsts group by rid, k, first having count(*) >= any_value(need)
+), least as (
+  select * from runs r where not exists (
+    select 1 from runs o where o.rid = r.rid and o.k = r.k and o.first > r.first and o.last <= r.last and o.n >= r.n)
+), wider as (
+  select a.k, b.k as wide from templates a, templates b where b.size > a.size
+    and not exists (select 1 from own x where x.k = a.k and x.word not in (select y.word from own y where y.k = b.k))
+), named as (
+  select * from least l where not exists (
+    select 1 from wider v join least o on o.k = v.wide where v.k = l.k and o.rid = l.rid and o.first <= l.first and o.last >= l.last)
 ), found as (
-  select rid, list(distinct label) as labels, max(share) as best from matched group by rid
+  select rid, list(distinct label) as labels, max(n / size) as best from named join templates using (k) group by rid
 )
 select doc_id, n_words, len(places) as n_base, list_min(places) - 1 as first_word, list_max(places) - 1 as last_word,
   array_to_string(list_sort(base), ',') as base_labels,
