@@ -269,6 +269,22 @@ def test_nearest_of_two_depots_metres_apart(spark):
     assert _near(spark, [(1.0, 1.0)], []) == {0: (None, None)}
 
 
+def test_nearest_of_very_many_depots_in_one_block(spark):
+    """100,000 depots within 300 metres: cells are cut until few are in one."""
+    rng = random.Random(9)
+    depots = spark.range(100_000).select(
+        F.col("id").alias("depot_id"), (19 + F.pmod(F.xxhash64("id"), F.lit(100_003)) / 100_003 * 0.0027).alias("latitude"),
+        (73 + F.pmod(F.xxhash64(F.col("id") + 7), F.lit(100_019)) / 100_019 * 0.0027).alias("longitude"))
+    places = [(r["latitude"], r["longitude"]) for r in depots.orderBy("depot_id").collect()]
+    points = [(19 + rng.uniform(-0.001, 0.004), 73 + rng.uniform(-0.001, 0.004)) for _ in range(30)]
+    a = spark.createDataFrame([(i, i, *p) for i, p in enumerate(points)], "address_id long, user_id long, latitude double, longitude double")
+    got = {r["address_id"]: (r["depot_id"], r["distance"]) for r in geo.nearest_depot(a, depots).collect()}
+    for i, (x, y) in enumerate(points):
+        best = min(range(len(places)), key=lambda j: (x - places[j][0]) ** 2 + ((y - places[j][1]) * math.cos(math.radians(19))) ** 2)
+        flat = lambda j: math.hypot(x - places[j][0], (y - places[j][1]) * math.cos(math.radians(19)))
+        assert flat(got[i][0]) <= flat(best) * 1.0001, (i, got[i], best)
+
+
 def test_status_tables(spark):
     # Fixed values, written out here a second time.
     orders = {

@@ -6,6 +6,8 @@ join for any number of depots, see ``nearest_depot``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,13 @@ _NUMBER = rf"^\s*[+-]?(({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS}
 EARTH_RADIUS = {"K": 6371.0, "M": 3958.8, "N": 3440.1}
 # Fixed value: the maps address.
 MAPS = "https://www.google.com/maps"
-#: Cells along each axis of the cube around the earth, from coarse to fine; a
-#: cell has at most 16 x 16 x 16 cells of the next level, the finest is 390 m.
-GRID = (8, 128, 2048, 32768)
-# Rounding room of the pruning bounds (squared chords; 6 m on the ground).
-_ROOM = 1e-12
+#: Cells along each axis of the cube around the earth at the first level; each
+#: level cuts a cell in 16 x 16 x 16, and the last one's cells are 6 mm wide.
+GRID, SPLIT, LEVELS = 8, 16, 8
+#: A cell of more depots than this is cut further.
+FEW = 32
+# Rounding room of the pruning bounds, as a chord (0.6 micrometres on the ground).
+_ROOM = 1e-13
 
 
 def _num(part: Column) -> Column:
@@ -155,9 +159,8 @@ def _on_sphere(points: DataFrame) -> DataFrame:
 
 
 def _cell(n: int) -> Column:
-    """Number of the grid cell of ``x, y, z`` at ``n`` cells an axis."""
-    at = [F.least(F.floor((F.col(c) + 1) / 2 * n), F.lit(n - 1)).cast("long") for c in "xyz"]
-    return (at[0] * n + at[1]) * n + at[2]
+    """The grid cell of ``x, y, z`` at ``n`` cells an axis."""
+    return F.struct(*[F.least(F.floor((F.col(c) + 1) / 2 * n), F.lit(n - 1)).cast("long").alias(c) for c in "xyz"])
 
 
 def _bounds(box: Column) -> tuple[Column, Column]:
@@ -171,50 +174,68 @@ def _bounds(box: Column) -> tuple[Column, Column]:
     return near, far
 
 
-def _pruned(rows: DataFrame, boxes: str, over: Window | None) -> DataFrame:
+def _pruned(rows: DataFrame, over: Window | None) -> DataFrame:
     """``rows`` once for each of their ``boxes`` that may hold the nearest
-    depot: no box whose nearest corner is farther than another's farthest."""
-    met = F.transform(boxes, lambda b: F.struct(b["cell"].alias("cell"), _bounds(b)[0].alias("near"), _bounds(b)[1].alias("far")))
+    depot: no box whose nearest corner is farther than ``best``, the least of the
+    farthest corners that the point has met."""
+    met = F.transform("boxes", lambda b: F.struct(b["cell"].alias("cell"), b["n"].alias("n"), _bounds(b)[0].alias("near"), _bounds(b)[1].alias("far")))
     rows = rows.withColumn("met", met)
-    best = F.array_min(F.transform("met", lambda m: m["far"]))
+    best = F.least("best", F.array_min(F.transform("met", lambda m: m["far"])))
     rows = rows.withColumn("best", F.min(best).over(over) if over is not None else best)
-    left = F.filter("met", lambda m: m["near"] <= F.col("best") + _ROOM)
-    return rows.select("lat", "lon", "x", "y", "z", F.explode(F.transform(left, lambda m: m["cell"])).alias("cell"))
+    left = F.filter("met", lambda m: _within(m["near"], F.col("best")))
+    return rows.select("lat", "lon", "x", "y", "z", "best", F.inline(F.transform(left, lambda m: F.struct(
+        m["cell"].alias("cell"), m["n"].alias("n"), m["near"].alias("near")))))
+
+
+def _within(near: Column, best: Column) -> Column:
+    return near <= F.pow(F.sqrt(best) + _ROOM, F.lit(2))
 
 
 def nearest_depot(addresses: DataFrame, depots: DataFrame, unit: str = "K") -> DataFrame:
     """Each address with its nearest depot and the distance.
 
-    ``depots`` (depot_id, latitude, longitude) may have any number of rows.
-    Points on the unit sphere fall in a cube grid of several levels.  Level by
-    level, a point keeps the cells that may hold its nearest depot, and meets
-    the boxes of their occupied sub-cells by an equi-join on the cell; depots
-    are met one by one in the finest cells only.  No level pairs a point with
-    more than the sub-cells of a few cells.  Distances are compared exactly
-    and rounded after; ties go to the lower depot id.  Invalid addresses, and
-    all addresses without a valid depot, get NULLs.
+    ``depots`` (depot_id, latitude, longitude) may have any number of rows, and
+    any number of them may stand close together.  Points on the unit sphere fall
+    in a cube grid whose cells are cut until ``FEW`` depots or fewer are in one,
+    so a dense town is cut as finely as it needs.  Level by level, a point keeps
+    the cells that may hold its nearest depot, and meets the boxes of their
+    occupied sub-cells by an equi-join on the cell; depots are met one by one in
+    uncut cells only.  Distances are compared exactly and rounded after; ties go
+    to the lower depot id.  Invalid addresses, and all addresses without a valid
+    depot, get NULLs.
     """
     lat, lon = F.col("latitude"), F.col("longitude")
     ok = valid_point(lat, lon)
     # depots at one place: the lowest id stands for all
     sites = _on_sphere(depots.where(ok).groupBy(lat.alias("lat"), lon.alias("lon")).agg(F.min("depot_id").alias("depot_id")))
     box = [f(c).alias(f"{c}{i}") for c in "xyz" for i, f in ((0, F.min), (1, F.max))]
-
-    def occupied(level: int) -> DataFrame:
-        n = GRID[level]
-        cells = sites.withColumns({"cell": _cell(n), "parent": _cell(GRID[level - 1]) if level else F.lit(0).cast("long")})
-        cells = cells.groupBy("parent", "cell").agg(*box)
-        return cells.groupBy("parent").agg(F.collect_list(F.struct("cell", *[f"{c}{i}" for c in "xyz" for i in (0, 1)])).alias("boxes"))
-
-    points = _on_sphere(addresses.where(ok).select(lat.alias("lat"), lon.alias("lon")).distinct())
-    top = occupied(0).select("boxes").scalar()  # at most 8 x 8 x 8 boxes
-    rows = _pruned(points.withColumn("boxes", top), "boxes", None)
+    rows = _on_sphere(addresses.where(ok).select(lat.alias("lat"), lon.alias("lon")).distinct()).withColumn("best", F.lit(float("inf")))
     same = Window.partitionBy("lat", "lon")
-    for level in range(1, len(GRID)):
-        met = rows.join(occupied(level), rows["cell"] == F.col("parent")).drop("parent", "cell")
-        rows = _pruned(met, "boxes", same)
-    leaf = sites.select(_cell(GRID[-1]).alias("_cell"), "depot_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    met = rows.join(leaf, F.col("cell") == F.col("_cell"))
+    kept, leaves, parent, n = [], [], 1, GRID
+    for level in range(LEVELS):
+        sites = sites.withColumns({"parent": _cell(parent), "cell": _cell(n)})
+        cells = sites.groupBy("parent", "cell").agg(F.count(F.lit(1)).alias("n"), *box)
+        crowded = cells.where(F.col("n") > FEW)
+        last = level == LEVELS - 1 or crowded.isEmpty()
+        boxes = cells.groupBy("parent").agg(F.collect_list(F.struct("cell", "n", *[f"{c}{i}" for c in "xyz" for i in (0, 1)])).alias("boxes"))
+        if level == 0:
+            rows = _pruned(rows.withColumn("boxes", boxes.select("boxes").scalar()), None)  # at most 8 x 8 x 8 boxes
+        else:
+            rows = _pruned(rows.drop("n", "near").join(boxes, rows["cell"] == F.col("parent")).drop("parent", "cell"), same)
+        few = F.lit(True) if last else F.col("n") <= FEW
+        kept.append(rows.where(few).select("lat", "lon", "best", "near", F.lit(level).alias("level"), "cell"))
+        whole = cells.where(few).select("cell")
+        leaves.append(sites.join(whole, "cell", "left_semi").select(
+            F.lit(level).alias("_level"), F.col("cell").alias("_cell"), "depot_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")))
+        if last:
+            break
+        rows = rows.where(F.col("n") > FEW)
+        sites = sites.join(crowded.select("cell"), "cell", "left_semi").drop("parent", "cell")
+        parent, n = n, n * SPLIT
+    rows, leaf = (reduce(DataFrame.unionByName, x) for x in (kept, leaves))
+    if len(kept) > 1:  # deeper levels know better bounds
+        rows = rows.withColumn("best", F.min("best").over(same)).where(_within(F.col("near"), F.col("best")))
+    met = rows.join(leaf, (F.col("level") == F.col("_level")) & (F.col("cell") == F.col("_cell")))
     far = great_circle(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"), unit)
     best = met.groupBy("lat", "lon").agg(F.min(F.struct(far.alias("far"), "depot_id")).alias("best"))
     return (addresses.select("address_id", "user_id", "latitude", "longitude")
