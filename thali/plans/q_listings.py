@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
 
-from thali.operators import kpis, listings
+from thali.operators import kpis, listings, pages, text_search
 from thali.plans.registry import AS_OF, d, dbl, ist_day, register, sql, ts
+from thali.session import shared_folder
 
 # Fixed parameters of the registered listing queries.
 ORDER_SEARCH = "USER12"          # case-insensitive, hits e-mails and ids
 CUSTOMER_SEARCH = "er#0000001"  # hits names
+DEEP_PAGE = 60
 STATUS = "pending"
 UTC_FROM, UTC_TO = date(1996, 1, 1), date(1998, 12, 31)
 SEGMENT = "BUILDING"             # customers whose orders F9 lists
@@ -125,6 +128,17 @@ def _f1(t):
     return listings.search_orders(t["orders"], ORDER_SEARCH)
 
 
+def _folder(t, name):
+    """A folder of this run."""
+    return f"{shared_folder(t.spark)}/thali/{uuid.uuid4().hex}/{name}"
+
+
+@register("orders_search_indexed", sql("orders")(f"select * {dbl('total_amount')} from f_orders where {_SEARCH}"))
+def _f1_indexed(t):
+    index = text_search.TextIndex(t.spark, _folder(t, "order_texts"), "order_id").build(t["orders"], text_search.order_texts())
+    return index.search(t["orders"], ORDER_SEARCH, listings.search_orders)
+
+
 _CSEARCH = (f"(full_name ilike '%{CUSTOMER_SEARCH}%' or phone ilike '%{CUSTOMER_SEARCH}%' "
             f"or email ilike '%{CUSTOMER_SEARCH}%')")
 
@@ -134,6 +148,12 @@ def _f2(t):
     return listings.search_customers(t["users"], CUSTOMER_SEARCH)
 
 
+@register("customers_search_indexed", sql("users")(f"select * from f_users where {_CSEARCH}"))
+def _f2_indexed(t):
+    index = text_search.TextIndex(t.spark, _folder(t, "customer_texts"), "id").build(t["users"], text_search.customer_texts())
+    return index.search(t["users"], CUSTOMER_SEARCH, listings.search_customers)
+
+
 @register("orders_filter", sql("orders")(f"select * {dbl('total_amount')} from f_orders where {_FILTER}"))
 def _f4(t):
     return listings.filter_orders(t["orders"], STATUS, UTC_FROM, UTC_TO)
@@ -180,6 +200,14 @@ def _o1(t):
     return listings.orders_page(t["orders"], t["order_items"], t["payments"], 1)
 
 
+@register("orders_page_deep", sql("orders", "order_items", "payments")(
+    "with " + _j2() + f" select * {dbl('total_amount')} from j2 order by {_LISTING_SORT} limit 20 offset {20 * (DEEP_PAGE - 1)}"))
+def _o1_deep(t):
+    listing = listings.orders_listing(t["orders"], t["order_items"], t["payments"])
+    laid = pages.PagedListing(t.spark, _folder(t, "listing")).lay_out(listing, listings._listing_sort())
+    return laid.page(DEEP_PAGE, listings._listing_sort())
+
+
 @register("orders_page_filtered", sql("orders", "order_items", "payments")(
     "with " + _j2(_FILTER) + f" select * {dbl('total_amount')} from j2 order by {_LISTING_SORT} limit 20 offset 20"))
 def _o1b(t):
