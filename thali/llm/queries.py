@@ -35,7 +35,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_by_bytes(read_table(spark, sf_dir, "documents"), n_shards=40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-                       F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+                       F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "moved")
 
 
 @query
