@@ -28,8 +28,6 @@ from __future__ import annotations
 import math
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -152,19 +150,17 @@ def most_differing(percent: int) -> int:
 
 def _differing(a: str, b: str) -> Column:
     """Lanes in which two signatures differ."""
-    def lanes(i: int) -> Column:
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_EVEN)))
+    def lanes(x: Column, y: Column) -> Column:
+        bits = x.bitwiseXOR(y)
+        return F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(_EVEN)))
 
-    return reduce(lambda s, t: s + t, [lanes(i) for i in range(LANES)])
+    # as a loop: written out, the condition is too long a method for the JIT compiler
+    return F.aggregate(F.zip_with(a, b, lanes), F.lit(0), lambda s, n: s + n)
 
 
 def _first_shared(a: str, b: str) -> Column:
     """The first band in which two classes agree."""
-    same = F.when(F.col(a)[0] == F.col(b)[0], 0)
-    for i in range(1, BANDS):
-        same = same.when(F.col(a)[i] == F.col(b)[i], i)
-    return same
+    return F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
