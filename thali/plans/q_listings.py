@@ -164,6 +164,11 @@ def _f8(t):
     return listings.filter_customers(t["users"], "active")
 
 
+@register("customers_inactive", sql("users")("select * from f_users where not is_active"))
+def _f8_inactive(t):
+    return listings.filter_customers(t["users"], "inactive")
+
+
 @register("customer_orders", sql("orders", "users")(f"""
 select * {dbl('total_amount')} from f_orders where user_id in (select id from f_users where location = '{SEGMENT}')
 """))
@@ -247,6 +252,12 @@ def _o3(t):
     return listings.customers_page(t["users"], t["orders"], 3, "most_spent")
 
 
+# the other three orders of the list, its second page
+for _sort, _by in {"newest": "created_at desc nulls first", "oldest": "created_at asc nulls last", "most_orders": "total_orders desc nulls first"}.items():
+    register(f"customers_{_sort}", sql("users", "orders")("with " + _J7 + f" select * from j7 order by {_by}, id limit 20 offset 20"))(
+        lambda t, _sort=_sort: listings.customers_page(t["users"], t["orders"], 2, _sort))
+
+
 @register("customer_recent_orders", sql("orders")("""
 select * from (
   select user_id, order_id, cast(total_amount as double) total_amount, status, order_date,
