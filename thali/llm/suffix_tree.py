@@ -55,8 +55,10 @@ _MASK = (1 << _BITS) - 1
 _COUNT = 48  # a symbol and its count in one long
 #: Distinct grams that a task holds before it hands them on.
 _HELD = 1 << 20
-#: Bytes of text that are counted or scored at once.
+#: Bytes of text that are counted or scored at once, and symbols whose keys are
+#: made at once.
 _AT_ONCE = 1 << 21
+_IN_CACHE = 1 << 16
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -81,16 +83,23 @@ def gram_keys(streams: list[bytes]) -> np.ndarray:
     """(context, symbol) of each symbol but the first of each stream: up to
     ``DEPTH`` + 1 symbols, the newest in the low bits; a context ends at its
     text's start mark."""
-    data = np.frombuffer(b"".join(streams), dtype=np.uint8).astype(np.int64) + 1
     sizes = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams))
-    place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    key = data.copy()
-    for k in range(1, DEPTH + 1):
-        older = np.zeros_like(data)
-        older[k:] = data[:-k]
-        older[place < k] = 0
-        key |= older << (_BITS * k)
-    return key[place > 0]
+    apart = b"\0" * DEPTH  # before each stream; no symbol there
+    data = np.frombuffer(apart + apart.join(streams), dtype=np.uint8).astype(np.int16) + np.int16(1)
+    starts = np.cumsum(sizes + DEPTH) - sizes
+    data[(starts[:, None] - np.arange(1, DEPTH + 1)).ravel()] = 0
+    out = np.empty(len(data) - DEPTH, dtype=np.int64)
+    for at in range(0, len(out), _IN_CACHE):
+        key = out[at:at + _IN_CACHE]
+        key[:] = data[at:at + len(key)]
+        for k in range(1, DEPTH + 1):
+            key <<= _BITS
+            key |= data[at + k:at + k + len(key)]
+    scored = np.ones(len(out), dtype=bool)  # neither between the streams nor their first symbols
+    scored[starts - DEPTH] = False
+    after = (starts + sizes)[:-1, None] - DEPTH + np.arange(DEPTH)
+    scored[after.ravel()] = False
+    return out[scored]
 
 
 def contexts_of(keys: np.ndarray) -> np.ndarray:
@@ -103,13 +112,24 @@ class Grams:
     """Distinct grams so far, with how often they were learned."""
 
     def __init__(self):
-        self.keys, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
 
     def add(self, streams: list[bytes], learn: bool) -> None:
         codes, new = pd.factorize(gram_keys(streams))
         n = np.bincount(codes, minlength=len(new)) if learn else np.zeros(len(new), np.int64)
-        codes, self.keys = pd.factorize(np.concatenate((self.keys, new)))
-        self.times = np.bincount(codes, weights=np.concatenate((self.times, n)), minlength=len(self.keys)).astype(np.int64)
+        self.parts.append((new, n))
+        self.size += len(new)
+        if self.size > 4 * _HELD:  # what many parts share counts once
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            keys, n = (np.concatenate(x) for x in zip(*self.parts))
+            codes, keys = pd.factorize(keys)
+            self.parts = [(keys, np.bincount(codes, weights=n, minlength=len(keys)).astype(np.int64))]
+            self.size = len(keys)
+        return self.parts[0] if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def read_chunks(docs: DataFrame) -> DataFrame:
@@ -148,10 +168,11 @@ def read_chunks(docs: DataFrame) -> DataFrame:
 
         def counted():
             nonlocal asked
-            asked = np.union1d(asked, contexts_of(grams.keys))
-            order = np.argsort(grams.keys)
-            keys, times = grams.keys[order], grams.times[order]
-            grams.keys, grams.times = grams.keys[:0], grams.times[:0]
+            keys, times = grams.merge()
+            grams.parts, grams.size = [], 0
+            asked = np.union1d(asked, contexts_of(keys))
+            order = np.argsort(keys)
+            keys, times = keys[order], times[order]
             yield rows("gram", keys[times > 0], n=times[times > 0])
 
         def ended():
@@ -180,7 +201,7 @@ def read_chunks(docs: DataFrame) -> DataFrame:
                     count(learn)
             yield rows("doc", np.arange(texts, texts + len(data)), data, doc_id=part.column(0), learned=part.column(2))
             texts += len(data)
-            if len(grams.keys) > _HELD:
+            if grams.size > 2 * _HELD and len(grams.parts) == 1:
                 yield from counted()
             if seen >= CHUNK_TOKENS:
                 yield from ended()
@@ -284,22 +305,29 @@ def score(docs: DataFrame) -> DataFrame:
     n_all = (chunks.where("kind = 'word'").agg(F.sum("n")).first()[0] or 0) + ends
     n_distinct = counted.where("first").count() + (ends > 0)
 
-    answers = chunks.where("kind = 'ask'").select(F.col("chunk").alias("of"), F.col("number").alias("context")).join(states, "context")
-    right = (answers.select("of", F.col("context").alias("key"), F.lit(None).cast("long").alias("c"), "next")
-             .unionByName(counted.select(F.col("chunk").alias("of"), F.col("code").alias("key"), "c", F.lit(None).cast("array<long>").alias("next"))))
-    texts = chunks.where("kind = 'doc'").select("chunk", "number", "doc_id", "learned", "data")
+    # each chunk's states, words and texts side by side: one shuffle, no join of groups
+    ids_type = docs.select("doc_id").schema["doc_id"].dataType
+    none = {"c": F.lit(None).cast("long"), "next": F.lit(None).cast("array<long>"), "doc_id": F.lit(None).cast(ids_type),
+            "learned": F.lit(None).cast("boolean"), "data": F.lit(None).cast("binary")}
+
+    def rows(df: DataFrame, order: int, key: str, *own: str) -> DataFrame:
+        return df.select("chunk", F.lit(order).alias("order"), F.col(key).alias("key"), *[F.col(c) if c in own else v.alias(c) for c, v in none.items()])
+
+    answers = chunks.where("kind = 'ask'").select("chunk", F.col("number").alias("context")).join(states, "context")
+    texts = chunks.where("kind = 'doc'")
+    all_rows = (rows(answers, 0, "context", "next").unionByName(rows(counted, 1, "code", "c"))
+                .unionByName(rows(texts, 2, "number", "doc_id", "learned", "data")))
+    all_rows = all_rows.repartition("chunk").sortWithinPartitions("chunk", "order", "key")
     ids = docs.select("doc_id").schema["doc_id"]
     id_type = to_arrow_type(ids.dataType)
     schema = StructType([ids, StructField("held_out", BooleanType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()),
                          StructField("train_tokens", LongType()), StructField("base_score", DoubleType()), StructField("score", DoubleType())])
 
-    def run(texts: pa.Table, right: pa.Table) -> pa.Table:
-        texts = texts.sort_by("number")
-        is_state = right.column("next").is_valid()
-        of_states, of_words = right.filter(is_state), right.filter(pc.invert(is_state))
-        held = of_states.column("next").combine_chunks()
-        held = held if isinstance(held, pa.ListArray) else pa.concat_arrays(held.chunks or [pa.array([], pa.list_(pa.int64()))])
-        own = States(root, of_states.column("key").to_numpy(), held)
+    def scores_of(rows: pa.Table) -> list[pa.RecordBatch]:
+        """A chunk's documents, from all rows of the chunk in order."""
+        first, second = np.searchsorted(rows.column("order").to_numpy(), (1, 2)).tolist()
+        of_states, of_words, texts = rows.slice(0, first), rows.slice(first, second - first), rows.slice(second)
+        own = States(root, of_states.column("key").to_numpy(), pa.concat_arrays(of_states.column("next").chunks or [pa.array([], pa.list_(pa.int64()))]))
         data = [zlib.decompress(x) for x in texts.column("data").to_pylist()]
         code: dict[bytes, int] = {}
         for d in data:  # numbered by first place, as they were
@@ -329,13 +357,29 @@ def score(docs: DataFrame) -> DataFrame:
             base.append(float(log[codes].sum() + log[-1]))
             streams.append(stream(words))
             waiting += len(streams[-1])
-            if waiting > _AT_ONCE:
+            if waiting > 2 * _AT_ONCE:
                 scored()
                 waiting = 0
         scored()
-        return pa.table({"doc_id": texts.column("doc_id").cast(id_type), "held_out": pc.invert(texts.column("learned")),
-                         "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-                         "train_tokens": pa.array([n_all] * len(data), pa.int64()), "base_score": pa.array(base, pa.float64()),
-                         "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
+        out = pa.table({"doc_id": texts.column("doc_id").cast(id_type), "held_out": pc.invert(texts.column("learned")),
+                        "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
+                        "train_tokens": pa.array([n_all] * len(data), pa.int64()), "base_score": pa.array(base, pa.float64()),
+                        "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
+        return out.combine_chunks().to_batches()
 
-    return texts.groupBy("chunk").cogroup(right.groupBy("of")).applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chunk = batch.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for low_, high in zip(cuts, cuts[1:]):
+                if held and held[-1].column("chunk")[0].as_py() != chunk[low_]:
+                    yield from scores_of(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(low_, high - low_))
+        if held:
+            yield from scores_of(pa.Table.from_batches(held))
+
+    return all_rows.mapInArrow(run, schema)
