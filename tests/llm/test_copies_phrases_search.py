@@ -178,6 +178,7 @@ def test_seed_that_tells_words_apart(docs, monkeypatch):
 
 def test_small_parts_change_nothing(odd, monkeypatch):
     monkeypatch.setattr(collocations, "AT_ONCE", 5)
+    monkeypatch.setattr(collocations, "WORDS_AT_ONCE", 7)
     got = sorted(tuple(r) for r in collocations.top_phrases(odd, 3, 2, 50, 100).collect())
     assert got == brute_phrases([(r["lang"], r["text"]) for r in odd.collect()], 3, 2, 50, 100)
 

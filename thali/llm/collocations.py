@@ -12,9 +12,10 @@ A word's key is the XXH64 of its lang and text under a seed for which no two
 words of the corpus share a key (checked against all of them; the next seed is
 tried otherwise), so counting by keys is exact.
 
-Lengths are counted in two steps, as groups that are frequent are few: all
-groups of a length are counted by one hash (groups of one hash together, so no
-frequent one is missed), then those in question by their words.  The semi-join
+Pairs are counted in two steps, as few of them are frequent: all by one hash
+(pairs of one hash together, so no frequent one is missed), then those in
+question by their words.  Longer groups are counted by their words at once, as
+their parts have left few.  The semi-join
 inside tasks is a bit table of fixed size (``BITS``) that may pass too much and
 never too little; the joins with the counts decide.
 
@@ -43,8 +44,9 @@ LONGEST, LEAST, INSIDE, TOP = 3, 10, 50, 2000
 STOPS = b".,;:!?\n\x0b\x0c\r"
 #: Bits of the table that a task tests groups against: 8 MB whatever the input.
 BITS = 1 << 26
-#: Occurrences that a task groups at once, and words that it numbers at once.
-AT_ONCE = 1 << 19
+#: Words that a task numbers at once, and occurrences that it groups at once.
+WORDS_AT_ONCE = 1 << 19
+AT_ONCE = 1 << 17
 _TO_BREAK = bytes.maketrans(STOPS, b"\n" * len(STOPS))
 _BREAK = b"\n"
 
@@ -99,7 +101,7 @@ def read(docs: DataFrame, seed: int = 0) -> DataFrame:
                 words = marked_words(text)
                 held.append(np.fromiter(map(own.__getitem__, words), dtype=np.int64, count=len(words)))
                 size += len(words)
-                if size >= AT_ONCE:
+                if size >= WORDS_AT_ONCE:
                     yield from flushed()
                     code, held, size = emptied()
         if held:
@@ -253,10 +255,12 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
     often = stored(words.where(F.col("n") >= least).select(F.col("key").alias("w1"), "lang", "word", "n"), "frequent")
     found, tables = [often], [spark.sparkContext.broadcast(bit_table(_hash_rows(often, 1)))]
     for length in range(2, longest + 1):
-        rough = stored(counted_groups(relation, length, tables, exact=False).where(F.col("n") >= least).select("h"), f"rough_{length}")
-        tables.append(spark.sparkContext.broadcast(bit_table(rough)))
-        exact = counted_groups(relation, length, tables, exact=True).where(F.col("n") >= least)
-        found.append(stored(exact, f"phrases_{length}"))
+        if length == 2:  # most pairs of words are rare: what may be frequent is found by hash first
+            rough = stored(counted_groups(relation, length, tables, exact=False).where(F.col("n") >= least).select("h"), "rough")
+            tables.append(spark.sparkContext.broadcast(bit_table(rough)))
+        found.append(stored(counted_groups(relation, length, tables, exact=True).where(F.col("n") >= least), f"phrases_{length}"))
+        if 2 < length < longest:
+            tables.append(spark.sparkContext.broadcast(bit_table(_hash_rows(found[-1], length))))
     for t in tables:
         t.unpersist()
     return words, found
