@@ -11,6 +11,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -18,6 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from thali.llm import bpe, chat, exact_dedup, langid, licenses, mixing, quality, sharding, simhash, suffix_tree
+from thali.llm.common import stored
 from thali.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -350,6 +352,30 @@ def test_suffix_tree_in_small_chunks(odd, monkeypatch):
         assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
 
 
+def test_suffix_tree_in_small_parts(odd, monkeypatch):
+    for name, size in (("CHUNK_TOKENS", 40), ("_AT_ONCE", 30), ("_LOOKED_UP", 60), ("_PACKED", 10)):
+        monkeypatch.setattr(suffix_tree, name, size)
+    got, want = ordered(tuple(r) for r in suffix_tree.score(odd).collect()), ordered(brute_scores(both(odd)))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for g, w in zip(got, want):
+        assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
+
+
+def test_suffix_tree_sends_arrays(spark, monkeypatch):
+    """A chunk gets the counts of its words in a row a task, not in a row a word."""
+    kept = {}
+    monkeypatch.setattr(suffix_tree, "stored", lambda df, name, *a: kept.setdefault(name, stored(df, name, *a)))
+    rows = [(i, " ".join(f"w{i * 100 + k}" for k in range(100))) for i in range(30)]
+    got = suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(got) == 30 and 0 < kept["words"].count() <= 8
+
+
+def test_suffix_tree_words():
+    texts = ["a  b\tc", None, "", " \n", " x\x0by\x0c z\r", "\x00 \x1c \x85 \xa0 \u2003", "É é  "]
+    got = suffix_tree.split_words(pa.array(["cut", *texts], pa.string())[1:]).to_pylist()
+    assert got == [[w.decode() for w in (t or "").encode().split()] for t in texts]
+
+
 def test_suffix_tree_keeps_large_ids(spark):
     ids = [2 ** 53 + k for k in (1, 3, 5, 7, 9, 11)] + [None, 2 ** 62 + 1]
     df = spark.createDataFrame([(i, f"text of number {k}") for k, i in enumerate(ids)], "doc_id long, text string").coalesce(1)

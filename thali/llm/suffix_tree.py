@@ -21,7 +21,8 @@ States are a stored table of any size.  A chunk of texts (``CHUNK_TOKENS``
 tokens, within one task) asks for the contexts that it has, once each, and gets
 those that are states; so it does for the counts of its words, which the base
 score needs.  Rows follow the distinct contexts and words of a chunk, not its
-tokens, and no task or driver holds the tree.
+tokens, and no task or driver holds the tree.  What a task of the join has for a
+chunk goes there as one row of arrays.
 
 Defined results: a null text is an empty one, which has the end mark alone; a
 null ``doc_id`` hashes as an empty string; repeated rows are texts of their
@@ -30,12 +31,10 @@ own; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -55,18 +54,72 @@ _MASK = (1 << _BITS) - 1
 _COUNT = 48  # a symbol and its count in one long
 #: Distinct grams that a task holds before it hands them on.
 _HELD = 1 << 20
-#: Bytes of text that are counted or scored at once, and symbols whose keys are
-#: made at once.
-_AT_ONCE = 1 << 21
+#: Bytes of text that are counted or scored at once, symbols whose keys are made
+#: at once, symbols whose states are looked up at once, and longs that a task
+#: holds before it hands them on as arrays.
+_AT_ONCE = 1 << 22
 _IN_CACHE = 1 << 16
+_LOOKED_UP = 1 << 24
+_PACKED = 1 << 21
+#: A text's number beside a key in one long.
+_TEXT_BITS = 63 - _BITS * (DEPTH + 1)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """The words of each text, as they are written; a null text has none."""
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = parts.flatten()
+    has = pc.greater(pc.binary_length(flat), 0)  # none before the first space or after the last
+    ends = np.concatenate([[0], np.cumsum(has.to_numpy(zero_copy_only=False))])
+    offsets = parts.offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]], pa.int32()), flat.filter(has))
 
 
-def stream(own: list[bytes]) -> bytes:
-    return b" ".join([b"\n" + own[0], *own[1:], b"\n"]) if own else b"\n\n"
+class Words:
+    """The words of a chunk, numbered by first place once all are added."""
+
+    def __init__(self):
+        self.parts: list[pa.Array] = []
+
+    def add(self, words: pa.Array) -> np.ndarray:
+        """The place of each word among the distinct ones that are added with it."""
+        own = words.view(pa.binary()).dictionary_encode()
+        self.parts.append(own.dictionary.cast(pa.large_binary()))
+        return own.indices.to_numpy()
+
+    def numbered(self) -> tuple[pa.Array, list[np.ndarray]]:
+        """All words by number, and for each ``add`` the numbers by place."""
+        both = pa.concat_arrays([pa.array([], pa.large_binary()), *self.parts]).dictionary_encode()
+        return both.dictionary, np.split(both.indices.to_numpy(), np.cumsum([len(x) for x in self.parts])[:-1])
+
+
+def squeezed(text: bytes) -> bytes:
+    return len(text).to_bytes(8, "little") + _codec().compress(text, asbytes=True)
+
+
+def restored(data: bytes) -> bytes:
+    return _codec().decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+@functools.cache
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
+def stream(joined: bytes) -> bytes:
+    return b"\n" + joined + b" \n" if joined else b"\n\n"
+
+
+def runs(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct value of a sorted array starts."""
+    new = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[runs(keys)]
 
 
 def is_learned(doc_id: Column) -> Column:
@@ -85,16 +138,18 @@ def gram_keys(streams: list[bytes]) -> np.ndarray:
     text's start mark."""
     sizes = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams))
     apart = b"\0" * DEPTH  # before each stream; no symbol there
-    data = np.frombuffer(apart + apart.join(streams), dtype=np.uint8).astype(np.int16) + np.int16(1)
+    data = np.frombuffer(apart + apart.join(streams), dtype=np.uint8).astype(np.int32)
+    data += 1
     starts = np.cumsum(sizes + DEPTH) - sizes
     data[(starts[:, None] - np.arange(1, DEPTH + 1)).ravel()] = 0
     out = np.empty(len(data) - DEPTH, dtype=np.int64)
     for at in range(0, len(out), _IN_CACHE):
         key = out[at:at + _IN_CACHE]
-        key[:] = data[at:at + len(key)]
-        for k in range(1, DEPTH + 1):
-            key <<= _BITS
-            key |= data[at + k:at + k + len(key)]
+        part = data[at:at + len(key) + DEPTH]
+        three = (part[:-2] << 2 * _BITS) | (part[1:-1] << _BITS) | part[2:]  # half a key
+        key[:] = three[:len(key)]
+        key <<= 3 * _BITS
+        key |= three[3:]
     scored = np.ones(len(out), dtype=bool)  # neither between the streams nor their first symbols
     scored[starts - DEPTH] = False
     after = (starts + sizes)[:-1, None] - DEPTH + np.arange(DEPTH)
@@ -104,8 +159,8 @@ def gram_keys(streams: list[bytes]) -> np.ndarray:
 
 def contexts_of(keys: np.ndarray) -> np.ndarray:
     """All contexts, of any depth from 1, that the keys have."""
-    full = np.unique(keys >> _BITS)
-    return np.unique(np.concatenate([full, *(full & low(d) for d in range(1, DEPTH))]))
+    full = distinct(keys >> _BITS)
+    return distinct(np.concatenate([full, *(distinct(full & low(d)) for d in range(1, DEPTH))]))
 
 
 class Grams:
@@ -116,19 +171,24 @@ class Grams:
         self.size = 0
 
     def add(self, streams: list[bytes], learn: bool) -> None:
-        codes, new = pd.factorize(gram_keys(streams))
-        n = np.bincount(codes, minlength=len(new)) if learn else np.zeros(len(new), np.int64)
-        self.parts.append((new, n))
-        self.size += len(new)
+        keys = gram_keys(streams)
+        keys.sort()
+        starts = runs(keys)
+        n = np.diff(starts, append=len(keys)) if learn else np.zeros(len(starts), np.int64)
+        self.parts.append((keys[starts], n))
+        self.size += len(starts)
         if self.size > 4 * _HELD:  # what many parts share counts once
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        """The grams in order, and their counts."""
         if len(self.parts) > 1:
             keys, n = (np.concatenate(x) for x in zip(*self.parts))
-            codes, keys = pd.factorize(keys)
-            self.parts = [(keys, np.bincount(codes, weights=n, minlength=len(keys)).astype(np.int64))]
-            self.size = len(keys)
+            order = np.argsort(keys)
+            keys = keys[order]
+            starts = runs(keys)
+            self.parts = [(keys[starts], np.add.reduceat(n[order], starts))]
+            self.size = len(starts)
         return self.parts[0] if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -147,7 +207,7 @@ def read_chunks(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         chunk, seen = TaskContext.get().partitionId() << 24, 0
-        words: Counter[bytes] = Counter()
+        words, learned = Words(), []
         grams, asked, texts = Grams(), np.zeros(0, np.int64), 0
         waiting: dict[bool, list[bytes]] = {True: [], False: []}
         size = {True: 0, False: 0}
@@ -170,33 +230,36 @@ def read_chunks(docs: DataFrame) -> DataFrame:
             nonlocal asked
             keys, times = grams.merge()
             grams.parts, grams.size = [], 0
-            asked = np.union1d(asked, contexts_of(keys))
-            order = np.argsort(keys)
-            keys, times = keys[order], times[order]
+            asked = distinct(np.concatenate([asked, contexts_of(keys)]))
             yield rows("gram", keys[times > 0], n=times[times > 0])
 
         def ended():
-            nonlocal asked
+            nonlocal asked, words
             count(True)
             count(False)
             yield from counted()
-            spelled, own = list(words), np.fromiter(words.values(), dtype=np.int64, count=len(words))
+            spelled, numbers = words.numbered()
+            n = np.zeros(len(spelled), np.int64)
+            for own, times in zip(numbers, learned):
+                n[own] += times  # the words of a part are distinct
             for at in range(0, len(spelled), 1 << 16):
                 part = spelled[at:at + (1 << 16)]
-                yield rows("word", np.arange(at, at + len(part)), part, own[at:at + len(part)])
+                yield rows("word", np.arange(at, at + len(part)), part.cast(pa.binary()), n[at:at + len(part)])
             yield rows("ask", asked)
-            words.clear()
-            asked = asked[:0]
+            words, asked = Words(), asked[:0]
+            learned.clear()
 
         for part in slices(batches):
             data = []
-            for text, learn in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                own = tokens(text)
-                data.append(zlib.compress(b" ".join(own), 1))
-                words.update(own if learn else dict.fromkeys(own, 0))
-                waiting[learn].append(stream(own))
+            own = split_words(pc.ascii_lower(part.column(1)))
+            places = words.add(own.values)
+            of_learned = np.repeat(part.column(2).to_numpy(zero_copy_only=False), np.diff(own.offsets.to_numpy()))
+            learned.append(np.bincount(places[of_learned], minlength=len(words.parts[-1])))
+            seen += len(places)
+            for joined, learn in zip(pc.binary_join(own, " ").view(pa.binary()).to_pylist(), part.column(2).to_pylist()):
+                data.append(squeezed(joined))
+                waiting[learn].append(stream(joined))
                 size[learn] += len(waiting[learn][-1])
-                seen += len(own)
                 if size[learn] > _AT_ONCE:
                     count(learn)
             yield rows("doc", np.arange(texts, texts + len(data)), data, doc_id=part.column(0), learned=part.column(2))
@@ -244,15 +307,62 @@ def tree(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(states, "states", "zstd"), level.select("symbol", "n")
 
 
+def in_arrays(rows: DataFrame) -> DataFrame:
+    """``rows`` (chunk, key, value: a long or a list of longs, first: counted or
+    null) with a row a chunk, or a few, in each task: keys, sizes of the lists and
+    values as arrays of longs."""
+    schema = StructType([StructField("chunk", LongType()), StructField("keys", BinaryType()), StructField("sizes", BinaryType()),
+                         StructField("values", BinaryType()), StructField("firsts", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def ended():
+            nonlocal size
+            chunk = np.concatenate([b.column("chunk").to_numpy() for b in held])
+            order = np.argsort(chunk, kind="stable")
+            table = pa.Table.from_batches(held).take(pa.array(order)).combine_chunks()
+            held.clear()
+            size = 0
+            chunk, keys = chunk[order], table.column("key").to_numpy()
+            first = pc.fill_null(table.column("first"), False).to_numpy()
+            value = table.column("value").chunk(0)
+            lists = pa.types.is_list(value.type)
+            offsets = value.offsets.to_numpy() if lists else np.arange(len(value) + 1)
+            values = (value.values if lists else value).to_numpy()
+            starts = runs(chunk)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(chunk)]):
+                sizes = np.diff(offsets[a:b + 1]).astype(np.int64).tobytes() if lists else None
+                own = [int(chunk[a]), keys[a:b].tobytes(), sizes, values[offsets[a]:offsets[b]].tobytes(), int(first[a:b].sum())]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(own, (pa.int64(), *[pa.binary()] * 3, pa.int64()))], schema.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            value = batch.column("value")
+            size += len(value.flatten()) if pa.types.is_list(value.type) else len(value)
+            if size > _PACKED:
+                yield from ended()
+        if held:
+            yield from ended()
+
+    return rows.select("chunk", "key", "value", "first").mapInArrow(run, schema)
+
+
+def longs(column: pa.ChunkedArray) -> np.ndarray:
+    """What the rows' arrays hold, one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int64)
+
+
 class States:
     """The states that a chunk has, and how they score grams."""
 
-    def __init__(self, root: np.ndarray, contexts: np.ndarray, next_: pa.ListArray):
+    def __init__(self, root: np.ndarray, contexts: np.ndarray, sizes: np.ndarray, values: np.ndarray):
         self.root = root
         order = np.argsort(contexts)
         self.contexts = contexts[order]
-        sizes = np.diff(next_.offsets.to_numpy())
-        values = next_.flatten().to_numpy()
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         of = np.repeat(place, sizes)
@@ -271,10 +381,14 @@ class States:
         return np.where(table[at] == keys, at, -1)
 
     def logs(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's symbol after its context."""
+        """log10 probability of each gram's symbol after its context; the keys are
+        sorted and distinct."""
         symbol = keys & _MASK
         p = self.root[symbol]
-        of, contexts = pd.factorize(keys >> _BITS)
+        contexts = keys >> _BITS
+        starts = runs(contexts)
+        of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(keys)))
+        contexts = contexts[starts]
         for depth in range(1, DEPTH + 1):
             own = contexts & low(depth)
             state = np.where(own > low(depth - 1), self._find(self.contexts, own), -1)[of]
@@ -299,25 +413,28 @@ def score(docs: DataFrame) -> DataFrame:
     # every word's count, at each chunk that has it; a word has a row a chunk
     same = Window.partitionBy("word")
     words = chunks.where("kind = 'word'").select("chunk", F.col("number").alias("code"), F.col("data").alias("word"), "n")
-    counted = words.select("chunk", "code", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("chunk")) == 1).alias("first"))
-    counted = stored(counted.where("c > 0"), "words", "zstd")
+    counted = words.select("chunk", F.col("code").alias("key"), F.sum("n").over(same).alias("value"),
+                           (F.row_number().over(same.orderBy("chunk")) == 1).alias("first"))
+    counted = stored(in_arrays(counted.where("value > 0")), "words", "zstd")
     ends = chunks.where("kind = 'doc' and learned").count()
     n_all = (chunks.where("kind = 'word'").agg(F.sum("n")).first()[0] or 0) + ends
-    n_distinct = counted.where("first").count() + (ends > 0)
+    n_distinct = (counted.agg(F.sum("firsts")).first()[0] or 0) + (ends > 0)
 
     # each chunk's states, words and texts side by side: one shuffle, no join of groups
     ids_type = docs.select("doc_id").schema["doc_id"].dataType
-    none = {"c": F.lit(None).cast("long"), "next": F.lit(None).cast("array<long>"), "doc_id": F.lit(None).cast(ids_type),
-            "learned": F.lit(None).cast("boolean"), "data": F.lit(None).cast("binary")}
+    none = {"keys": F.lit(None).cast("binary"), "sizes": F.lit(None).cast("binary"), "values": F.lit(None).cast("binary"),
+            "number": F.lit(None).cast("long"), "doc_id": F.lit(None).cast(ids_type), "learned": F.lit(None).cast("boolean"),
+            "data": F.lit(None).cast("binary")}
 
-    def rows(df: DataFrame, order: int, key: str, *own: str) -> DataFrame:
-        return df.select("chunk", F.lit(order).alias("order"), F.col(key).alias("key"), *[F.col(c) if c in own else v.alias(c) for c, v in none.items()])
+    def rows(df: DataFrame, order: int, *own: str) -> DataFrame:
+        return df.select("chunk", F.lit(order).alias("order"), *[F.col(c) if c in own else v.alias(c) for c, v in none.items()])
 
     answers = chunks.where("kind = 'ask'").select("chunk", F.col("number").alias("context")).join(states, "context")
+    answers = answers.select("chunk", F.col("context").alias("key"), F.col("next").alias("value"), F.lit(None).cast("boolean").alias("first"))
     texts = chunks.where("kind = 'doc'")
-    all_rows = (rows(answers, 0, "context", "next").unionByName(rows(counted, 1, "code", "c"))
+    all_rows = (rows(in_arrays(answers), 0, "keys", "sizes", "values").unionByName(rows(counted, 1, "keys", "values"))
                 .unionByName(rows(texts, 2, "number", "doc_id", "learned", "data")))
-    all_rows = all_rows.repartition("chunk").sortWithinPartitions("chunk", "order", "key")
+    all_rows = all_rows.repartition("chunk").sortWithinPartitions("chunk", "order", "number")
     ids = docs.select("doc_id").schema["doc_id"]
     id_type = to_arrow_type(ids.dataType)
     schema = StructType([ids, StructField("held_out", BooleanType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()),
@@ -327,44 +444,63 @@ def score(docs: DataFrame) -> DataFrame:
         """A chunk's documents, from all rows of the chunk in order."""
         first, second = np.searchsorted(rows.column("order").to_numpy(), (1, 2)).tolist()
         of_states, of_words, texts = rows.slice(0, first), rows.slice(first, second - first), rows.slice(second)
-        own = States(root, of_states.column("key").to_numpy(), pa.concat_arrays(of_states.column("next").chunks or [pa.array([], pa.list_(pa.int64()))]))
-        data = [zlib.decompress(x) for x in texts.column("data").to_pylist()]
-        code: dict[bytes, int] = {}
-        for d in data:  # numbered by first place, as they were
-            code.update(dict.fromkeys(d.split(b" ") if d else ()))
-        for i, w in enumerate(code):
-            code[w] = i
-        c = np.zeros(len(code) + 1)
-        c[of_words.column("key").to_numpy()] = of_words.column("c").to_numpy()
-        c[-1] = ends
-        log = np.log10((c + 0.5) / (n_all + 0.5 * (n_distinct + 1)))
+        tree_ = States(root, *(longs(of_states.column(c)) for c in ("keys", "sizes", "values")))
+        codes, values = longs(of_words.column("keys")), longs(of_words.column("values"))
+        c = np.zeros(int(codes.max(initial=-1)) + 2)  # by number; the last for all words that have none
+        c[codes] = values
+        log = np.log10((np.append(c, ends) + 0.5) / (n_all + 0.5 * (n_distinct + 1)))
+        words = Words()  # numbered as they were
+        said: list[tuple[np.ndarray, np.ndarray]] = []
         n_tokens, n_known, base, scores = [], [], [], []
-        streams: list[bytes] = []
+        held: list[tuple[np.ndarray, int]] = []
+        part: list[bytes] = []
+        waiting = looked_up = 0
+
+        def keyed():
+            own = split_words(pa.array(part, pa.binary()).view(pa.string()))
+            said.append((np.diff(own.offsets.to_numpy()), words.add(own.values)))
+            streams = [stream(x) for x in part]
+            keys = gram_keys(streams) << _TEXT_BITS
+            keys |= np.repeat(np.arange(len(part)), np.fromiter(map(len, streams), dtype=np.int64, count=len(part)) - 1)
+            keys.sort()
+            held.append((keys, len(part)))
+            part.clear()
 
         def scored():
-            if streams:
-                codes, keys = pd.factorize(gram_keys(streams))
-                sizes = np.fromiter(map(len, streams), dtype=np.int64, count=len(streams)) - 1
-                scores.append(np.add.reduceat(own.logs(keys)[codes], np.cumsum(sizes) - sizes))
-                streams.clear()
-
-        waiting = 0
-        for d in data:
-            words = d.split(b" ") if d else []
-            codes = np.fromiter(map(code.__getitem__, words), dtype=np.int64, count=len(words))
-            n_tokens.append(len(words) + 1)
-            n_known.append(int(np.count_nonzero(c[codes])) + (ends > 0))
-            base.append(float(log[codes].sum() + log[-1]))
-            streams.append(stream(words))
-            waiting += len(streams[-1])
-            if waiting > 2 * _AT_ONCE:
-                scored()
-                waiting = 0
-        scored()
+            starts = [runs(keys >> _TEXT_BITS) for keys, _ in held]
+            grams = [keys[at] >> _TEXT_BITS for (keys, _), at in zip(held, starts)]
+            every = distinct(np.concatenate(grams))
+            logs = tree_.logs(every)
+            for (keys, n), at, own in zip(held, starts, grams):
+                each = np.repeat(logs[np.searchsorted(every, own)], np.diff(at, append=len(keys)))
+                scores.append(np.bincount(keys & ((1 << _TEXT_BITS) - 1), weights=each, minlength=n))
+            held.clear()
+
+        for x in texts.column("data").to_pylist():
+            part.append(restored(x))
+            waiting += len(part[-1])
+            if waiting > _AT_ONCE or len(part) == 1 << _TEXT_BITS:
+                looked_up, waiting = looked_up + waiting, 0
+                keyed()
+                if looked_up > _LOOKED_UP:
+                    scored()
+                    looked_up = 0
+        if part:
+            keyed()
+        if held:
+            scored()
+        if not texts.num_rows:
+            return []
+        for (sizes, places), number in zip(said, words.numbered()[1]):
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            codes = np.minimum(number, len(c) - 1)[places]
+            n_tokens.append(sizes + 1)
+            n_known.append(np.bincount(of[c[codes] > 0], minlength=len(sizes)) + (ends > 0))
+            base.append(np.bincount(of, weights=log[codes], minlength=len(sizes)) + log[-1])
         out = pa.table({"doc_id": texts.column("doc_id").cast(id_type), "held_out": pc.invert(texts.column("learned")),
-                        "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-                        "train_tokens": pa.array([n_all] * len(data), pa.int64()), "base_score": pa.array(base, pa.float64()),
-                        "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
+                        "n_tokens": pa.array(np.concatenate(n_tokens), pa.int64()), "n_known": pa.array(np.concatenate(n_known), pa.int64()),
+                        "train_tokens": pa.array([n_all] * texts.num_rows, pa.int64()), "base_score": pa.array(np.concatenate(base), pa.float64()),
+                        "score": pa.array(np.concatenate(scores), pa.float64())})
         return out.combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
